@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules, simhash
+from tessera.llm import chat, packing, quality_rules, simhash, warc
 from tessera.llm.common import table
 
 
@@ -18,9 +18,22 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.read_back(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op6_warc, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL}
