@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, packing, quality_rules, simhash, warc
+from tessera.llm import chat, decontaminate, packing, quality_rules, simhash, warc
 from tessera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -32,7 +36,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op6_warc, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
