@@ -77,12 +77,19 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder_for(path: str) -> WordEncoder:
+    """One for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32)."""
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, WordEncoder(path)) if path not in _encoders else _encoders[path]
+        encoder = encoder_for(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

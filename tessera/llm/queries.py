@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, packing, pii, quality_rules, simhash, warc
+from tessera.llm import chat, decontaminate, packing, pii, quality_rules, simhash, suffix_dedup, warc
 from tessera.llm.common import table
 
 
@@ -39,8 +39,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op9_best_fit_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
