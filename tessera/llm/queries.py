@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html_text, packing, pii, quality_rules, simhash, suffix_dedup, warc
+from tessera.llm import chat, decontaminate, html_text, lm_quality, packing, pii, quality_rules, simhash, suffix_dedup, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
