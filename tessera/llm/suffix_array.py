@@ -22,7 +22,7 @@ import numpy as np
 
 DEPTH = 120
 #: Tuples a queue holds in memory, and tuples a block that is worked on at once.
-QUEUE, BLOCK = 1 << 20, 1 << 20
+QUEUE, BLOCK = 1 << 17, 1 << 18
 _NONE = np.int16(32000)
 
 

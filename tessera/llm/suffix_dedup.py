@@ -40,7 +40,7 @@ from tessera.llm.common import documents, settle
 MATCH, GRAM = 100, 36
 BEFORE = MATCH - GRAM
 #: Bytes that are hashed at once, and shards a shuffle partition gets.
-SLAB, SHARDS_EACH = 1 << 22, 3
+SLAB, SHARDS_EACH = 1 << 20, 4
 #: Document keys from here on stand for null ids.
 NULL_KEY = 1 << 62
 _BASE = 0xD6E8FEB86659FD93
@@ -278,9 +278,6 @@ def by_document(rows: DataFrame, *kinds: str) -> DataFrame:
     return rows.repartition("bucket").select("bucket", "blob").mapInArrow(run, "key long, marks binary")
 
 
-CONTEXT = ("<i8", "<u4", "<u2", "<u1", "<u1")
-
-
 def fetch_contexts(texts: DataFrame, open_: DataFrame, shards: int) -> DataFrame:
     """The bytes of the contexts that are open, dealt by their anchor's hash."""
     joined = texts.join(by_document(open_, "<u4", "<u8"), "key")
@@ -387,14 +384,16 @@ def ranges(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def compare(contexts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        shards: dict[int, list[bytes]] = {}
         for batch in batches:
-            for blob in batch.column(2).to_pylist():
-                blob = decompress(blob)
+            for shard, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shards.setdefault(shard, []).append(blob)
+        while shards:
+            parts = []
+            for blob in map(decompress, shards.popitem()[1]):
                 n = int.from_bytes(blob[:4], "little")
                 key, start, length = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), np.frombuffer(blob, "<u2", n, 4 + 12 * n)
                 parts.append((key, start, length, np.frombuffer(blob, np.uint8, -1, 4 + 14 * n)))
-        if parts:
             key, first, last = ranges(*repeated_starts(parts))
             yield rows_of(dealt(RANGE, doc_bucket(key, buckets), True, key, first.astype("<u4"), last.astype("<u4")))
 
