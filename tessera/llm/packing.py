@@ -12,8 +12,11 @@ doc_id stays null; an empty table gives an empty result; columns other than doc_
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, settle
 
 CAPACITY, CLOSING = 4096, 1
-#: Distinct words whose ids a worker keeps, and pieces a bucket of ranks should have.
-WORDS_KEPT, BUCKET = 400_000, 50_000
+#: Distinct words whose ids a worker keeps, words that are encoded as one line, and pieces a bucket of ranks should have.
+WORDS_KEPT, LINE, BUCKET = 500_000, 500, 50_000
+
+
+class _Numbers(dict):
+    """Word -> number; a new word gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordEncoder:
@@ -42,36 +58,67 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat = self.first = self.count = np.zeros(0, np.int64)
-
-    def learn(self, words: list[list[str]]) -> None:
-        new = [w for w in set().union(*words) if w not in self.index]
+        self.numbers = _Numbers()
+        self.flat = np.zeros(0, np.uint32)
+        self.first = self.count = np.zeros(0, np.int64)
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Does the tokenizer keep the word's length, so that places in a line of words can be told apart?"""
+        return "<|" not in word and len(word.lower()) == len(word) and unicodedata.is_normalized("NFC", word) and word.isprintable()
+
+    def learn(self) -> None:
+        """Encode the words that are new: many plain ones as one line, the others one by one."""
+        new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        for w in new:
-            self.index[w] = len(self.index)
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.flat) + np.cumsum(count) - count
-        flat = np.fromiter((x for y in ids for x in y), np.int64, int(count.sum()))
-        self.flat, self.first, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        at, count, flat, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
+        plain, others = [], []
+        for k, w in enumerate(new):
+            (plain if w and self.plain(w) else others).append(k)
+        for k in range(0, len(plain), LINE):
+            own = np.array(plain[k : k + LINE])
+            words = [new[i] for i in own]
+            starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            cuts = np.r_[0, np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)]
+            at[own], count[own] = n + cuts[:-1], np.diff(cuts)
+            flat.append(np.array(e.ids, np.uint32))
+            n += len(e)
+        for k in others:
+            ids = self.tokenizer.encode(new[k], add_special_tokens=False).ids if new[k] else []
+            at[k], count[k] = n, len(ids)
+            flat.append(np.array(ids, np.uint32))
+            n += len(ids)
+        self.flat, self.first, self.count = np.concatenate(flat), np.concatenate([self.first, at]), np.concatenate([self.count, count])
+
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        """The text's words. In plain Latin text, letters and signs are parted where the tokenizer parts them, and all is lower case."""
+        text = text or ""
+        if "<|" not in text and not _other.search(text):
+            text = _seam.sub(r" \g<0> ", text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text its ids, closed by the closing id, as unsigned 32-bit numbers."""
-        words = [[w for x in (t or "").split("\n") for w in x.split(" ") if w] for t in texts]
-        if len(self.index) > WORDS_KEPT:
+        if not texts:
+            return []
+        if len(self.numbers) > WORDS_KEPT:
             self.clear()
-        self.learn(words)
-        out = []
-        for own in words:
-            w = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            count = self.count[w]
-            ids = np.full(int(count.sum()) + 1, self.closing, np.uint32)
-            ids[:-1] = self.flat[np.repeat(self.first[w] - (np.cumsum(count) - count), count) + np.arange(len(ids) - 1)]
-            out.append(ids)
-        return out
+        words = [self.words(t) for t in texts]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        w = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self.learn()
+        count = self.count[w]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[w] - (ends - count), count) + np.arange(int(count.sum()))]
+        return [np.append(part, np.uint32(self.closing)) for part in np.split(ids, np.r_[0, ends][np.cumsum(n)[:-1]])]
+
+
+#: Characters beyond the Latin blocks; and whole runs of signs, where the tokenizer parts words.
+_other = re.compile("[^\x00-\u024f]")
+_seam = re.compile(r"(?<![^a-z0-9\u00e0-\u00f6\u00f8-\u00ff \n])[.,!?;:#$%&*|]+(?![^a-z0-9\u00e0-\u00f6\u00f8-\u00ff \n])")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -91,8 +138,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 rows = [
                     (doc, k, k * capacity, len(part), zlib.crc32(part.astype("<u4").tobytes()))
                     for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True)
