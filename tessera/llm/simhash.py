@@ -26,6 +26,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Distinct fingerprints that the upper tree is built from, and fingerprints a shard and a block should have at most.
 SAMPLE, SHARD, LEAF = 8192, 65536, 192
 LEAST_LEVELS, MOST_LEVELS = 5, 11
+#: Document keys from here on stand for null ids.
+NULL_KEY = 1 << 62
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -192,9 +194,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
     """``docs``, all columns, with one row left of each near-duplicate group: that of its smallest doc_id.
 
-    Rows that repeat a doc_id are one document and leave one row. Rows with a null doc_id stay only if their whole class
-    has null ids, one for each such class and text.
+    Rows that repeat a doc_id are one document and leave one row. A row with a null doc_id stands after all others, in the
+    order of its text's hash, so it stays if no other row of its group does.
     """
-    found = near_duplicates(docs, shingle, reach)
-    gone = found.where("doc_id IS NULL AND component_id IS NOT NULL OR doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone._gone_id), "left_anti").dropDuplicates(["doc_id"])
+    key = "__document_key"
+    stand_in = F.lit(NULL_KEY).bitwiseOR(F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NULL_KEY - 1)))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, reach)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

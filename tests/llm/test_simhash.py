@@ -83,6 +83,8 @@ def test_keep_one(docs_of, awkward):
     assert 3 in ids and 4 not in ids and len(ids) == len(set(ids))
     assert 0 in ids and 1 not in ids and 2 not in ids  # fingerprint zero is one group
     assert out.columns == docs_of(awkward).columns
+    other = [(None, "one text of its own with several words in it"), (None, "quite another text that shares nothing with the first"), (None, "quite another text that shares nothing with the first")]
+    assert S.keep_one(docs_of([*awkward, *other])).where("doc_id IS NULL AND text LIKE '%text%'").count() == 2
 
 
 def test_empty(docs_of):
