@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import settle
 
 ORDER, BITS, FENCE, SLICE, HELD_OUT = 5, 12, 4.0, 2_000_000, 5
+#: N-grams that a task holds before it passes them on, and trusted ids that are broadcast; with more, the texts are shuffled to them.
+HELD_GRAMS, BROADCAST_IDS = 300_000, 4_000_000
 LEAST_SPREAD = 0.02
 MASK = (1 << BITS) - 1
 
@@ -53,21 +55,36 @@ def rows_in(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
+def merged(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal n-grams added up."""
+    if not len(g):
+        return g, n
+    order = np.argsort(g, kind="stable")
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    return g[first], np.add.reduceat(n, first)
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(lang, g, n): highest-order n-grams, combined within each batch and then by shard."""
 
+    def row(lang: str, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(g)), pa.array(g), pa.array(n)], ["lang", "g", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
+            by_lang: dict[str, list[str | None]] = {}
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(codes(text))
-            for lang, parts in by_lang.items():
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
                 g, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for k in range(0, len(parts), 512):  # a bounded number of characters is sorted at once
-                    own, count = np.unique(np.concatenate(parts[k : k + 512]), return_counts=True)
-                    g, at = np.unique(np.concatenate([g, own]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([n, count]), len(g)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "g", "n"])
+                for k in range(0, len(texts), 128):  # a bounded number of characters and n-grams is sorted at once
+                    own, count = np.unique(np.concatenate([codes(t) for t in texts[k : k + 128]]), return_counts=True)
+                    g, n = merged(np.concatenate([g, own]), np.concatenate([n, count]))
+                    if len(g) > HELD_GRAMS:
+                        yield row(lang, g, n)
+                        g, n = g[:0], n[:0]
+                yield row(lang, g, n)
 
     return rows.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
@@ -130,7 +147,7 @@ class Scores:
     """Look-up of n-grams in an open-addressed table; what is not in it counts as zero and is not counted."""
 
     def __init__(self, g: np.ndarray, logs: np.ndarray):
-        self.bits = max(4, int(2 * len(g)).bit_length())
+        self.bits = max(4, int(1.5 * len(g)).bit_length())
         self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         at, left = self._home(g), np.arange(len(g))
         while len(left):
@@ -175,7 +192,10 @@ def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) ->
     rows = rows_in(docs)
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    model = Model(gram_counts(rows.join(good.where(~held_out), "doc_id", "left_semi")))
+    learnt = good.where(~held_out)
+    if learnt.count() <= BROADCAST_IDS:
+        learnt = F.broadcast(learnt)
+    model = Model(gram_counts(rows.join(learnt, "doc_id", "left_semi")))
     wanted = settle(gram_counts(rows).select("lang", "g"))
     scored = settle(model.score(wanted).select("lang", "g", F.log("p").cast("float").alias("log_p")))
     n = max(1, -(-scored.count() // slice_))
