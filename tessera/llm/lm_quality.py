@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import settle
 
 ORDER, BITS, FENCE, SLICE, HELD_OUT = 5, 12, 4.0, 2_000_000, 5
-#: N-grams that a task holds before it passes them on, and trusted ids that are broadcast; with more, the texts are shuffled to them.
-HELD_GRAMS, BROADCAST_IDS = 300_000, 4_000_000
+#: N-grams that a task holds before it passes them on; trusted ids and languages that are broadcast: with more, their joins are shuffled.
+HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 300_000, 4_000_000, 10_000
 LEAST_SPREAD = 0.02
 MASK = (1 << BITS) - 1
 
@@ -119,7 +119,9 @@ class Model:
         table = highest
         for k in range(order, 0, -1):
             table = settle(table)
-            self.counts[k] = table.join(F.broadcast(discounts(table).limit(10_000)), "lang").select("lang", "g", (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
+            cuts = settle(discounts(table))  # a row a language
+            cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
+            self.counts[k] = table.join(cuts, "lang").select("lang", "g", (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
             self.contexts[k] = self.counts[k].groupBy("lang", context(F.col("g")).alias("h")).agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut"))
             if k > 1:
                 table = table.groupBy("lang", suffix(F.col("g"), k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
