@@ -44,7 +44,8 @@ def cascade(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0
     """(node, score): the best product of seed score and weight · decay over walks of at most ``depth`` edges, either way."""
     both = undirected(edges, "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
     best = seeds.groupBy("node").agg(F.max("score").alias("score"))
-    for _ in range(depth):
+    for k in range(depth):
+        best = settle(best) if k > 2 else best  # deep cascades: each round uses the scores twice
         step = best.join(both, best.node == both.a).select(F.col("b").alias("node"), (F.col("score") * F.col("weight") * decay).alias("score"))
         best = best.unionByName(step).groupBy("node").agg(F.max("score").alias("score"))
     return best
@@ -126,17 +127,17 @@ def pagerank(nodes: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds:
     Mass of rooms without neighbours is dropped. A round goes through the wings (room to wing to room), so the rooms of a wing
     never meet in pairs: what a room gets from a wing is the wing's inflow less its own.
     """
+    nodes = settle(nodes.select("room", "wings"))  # read in every round
     links = nodes.select("room", F.explode("wings").alias("wing")).distinct()
     sizes = links.groupBy("wing").agg(F.count(F.lit(1)).alias("size"))
     degree = links.join(sizes, "wing").groupBy("room").agg(F.sum(F.col("size") - 1).alias("degree"))
     total = seeds.agg(F.sum("mass").alias("total"))
     base = nodes.select("room").join(seeds, "room", "left").crossJoin(F.broadcast(total)).select("room", (F.coalesce("mass", F.lit(0.0)) / F.col("total")).alias("base"))
     rank = base.select("room", F.col("base").alias("rank"))
-    for k in range(rounds):
+    for _ in range(rounds):
         sent = rank.join(degree, "room").where("degree > 0").join(links, "room").select("room", "wing", (F.col("rank") / F.col("degree")).alias("out"))
         inflow = sent.groupBy("wing").agg(F.sum("out").alias("inflow"))
         got = sent.join(inflow, "wing").groupBy("room").agg(F.sum(F.col("inflow") - F.col("out")).alias("got"))
         rank = base.join(got, "room", "left").select("room", (teleport * F.col("base") + (1 - teleport) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
-            rank = settle(rank)
+        rank = settle(rank)  # a round uses the ranks twice, so uncut plans would double each time
     return rank
