@@ -41,6 +41,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables as Parquet in the shared folder: smaller than checkpoints, and gone with ``clear``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.paths.append(path := new_path(self.spark, "table"))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """For when what was made from the tables has itself been stored."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def documents(docs: DataFrame, text_type: str = "string") -> DataFrame:
     """doc_id and text alone, in fixed types; other columns (whatever their names) are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast(text_type).alias("text"))

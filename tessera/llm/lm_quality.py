@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import settle
+from tessera.llm.common import Tables, settle
 
 ORDER, BITS, FENCE, SLICE, HELD_OUT = 5, 12, 4.0, 2_000_000, 5
 #: N-grams that a task holds before it passes them on; trusted ids and languages that are broadcast: with more, their joins are shuffled.
@@ -114,11 +114,11 @@ def discount(n: Column) -> Column:
 class Model:
     """Count tables of all orders; ``counts[k]``: (lang, g, n), ``contexts[k]``: (lang, h, total, weight of what was discounted)."""
 
-    def __init__(self, highest: DataFrame, order: int = ORDER):
+    def __init__(self, highest: DataFrame, tables: Tables, order: int = ORDER):
         self.order, self.counts, self.contexts = order, {}, {}
         table = highest
         for k in range(order, 0, -1):
-            table = settle(table)
+            table = tables.store(table)
             cuts = settle(discounts(table))  # a row a language
             cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
             self.counts[k] = table.join(cuts, "lang").select("lang", "g", (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
@@ -197,9 +197,11 @@ def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) ->
     learnt = good.where(~held_out)
     if learnt.count() <= BROADCAST_IDS:
         learnt = F.broadcast(learnt)
-    model = Model(gram_counts(rows.join(learnt, "doc_id", "left_semi")))
-    wanted = settle(gram_counts(rows).select("lang", "g"))
+    tables = Tables(docs.sparkSession)
+    model = Model(gram_counts(rows.join(learnt, "doc_id", "left_semi")), tables)
+    wanted = tables.store(gram_counts(rows).select("lang", "g"))
     scored = settle(model.score(wanted).select("lang", "g", F.log("p").cast("float").alias("log_p")))
+    tables.clear()
     n = max(1, -(-scored.count() // slice_))
     parts = []
     for k in range(n):
