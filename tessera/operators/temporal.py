@@ -75,11 +75,13 @@ def close_conflicts(triples: DataFrame, single_valued: Sequence[str] | None = No
 
 
 def add_triples(existing: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Upsert: rejects facts that end before they start, skips those that are open already, closes open conflicts."""
+    """Upsert: rejects facts that end before they start, skips those that are open already, closes open conflicts. Of new rows for one fact the one that ends last is taken."""
     good = new.where(F.col("valid_to").isNull() | F.col("valid_from").isNull() | (F.col("valid_to") >= F.col("valid_from")))
     open_ = existing.where("valid_to IS NULL").select("subject", "predicate", "object")
-    fresh = good.join(open_, ["subject", "predicate", "object"], "left_anti").dropDuplicates(["subject", "predicate", "object"]).withColumn("t_created", F.coalesce("t_created", now))
-    starts = fresh.groupBy("subject", "predicate").agg(F.min(F.coalesce("valid_from", now)).alias("_end"))
+    latest = F.row_number().over(Window.partitionBy("subject", "predicate", "object").orderBy(F.desc_nulls_last("valid_to"), "triple_id"))
+    added = good.join(open_, ["subject", "predicate", "object"], "left_anti")
+    fresh = added.withColumn("_n", latest).where("_n = 1").drop("_n").withColumn("t_created", F.coalesce("t_created", now))
+    starts = added.groupBy("subject", "predicate").agg(F.min(F.coalesce("valid_from", now)).alias("_end"))
     closed = existing.join(starts, ["subject", "predicate"], "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("_end")).otherwise(F.col("valid_to"))).drop("_end")
     return closed.unionByName(fresh.select(*existing.columns))
 
