@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, pii, quality_rules, simhash
+from tessera.llm import decontaminate, packing, pii, quality_rules, shingle_dedup
 from tessera.llm.common import new_path, table
 
 
@@ -20,8 +20,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group whose five-word shingles are similar by 0.8 or more, that with the smallest doc_id."""
+    return shingle_dedup.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
