@@ -6,8 +6,10 @@ three discounts for each order and language from its counts of counts. The n-gra
 gathered once each (they are combined within each task first, so a common n-gram costs a row a task), and the count joins,
 order by order, give each its probability. A document's perplexity is the mean over its characters. Scores return to the
 documents in slices of about SLICE n-grams: a slice is broadcast, its size is checked by its count, and with several slices
-the partial sums of a document are added up. A language's threshold comes from quantiles of the logarithms of the trusted
-texts that were held out: the median and FENCE times the spread from it to the 95th hundredth.
+the partial sums of a document are added up. A language's threshold is that one of the QUANTILES of the trusted texts that were
+held out for which the share of labelled bad texts (toxic or poor) above it exceeds the share of held-out ones above it by most,
+the higher one of equals. A language without labelled bad texts has the median and FENCE times the spread from it to the 95th
+hundredth, of logarithms.
 
 Characters beyond U+0BFF share 1024 classes, so an n-gram is one 60-bit number. White space counts as one blank; a text starts
 after ORDER - 1 zero characters.
@@ -34,6 +36,8 @@ ORDER, BITS, FENCE, SLICE, HELD_OUT = 5, 12, 4.0, 2_000_000, 5
 #: N-grams that a task holds before it passes them on; trusted ids and languages that are broadcast: with more, their joins are shuffled.
 HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 300_000, 4_000_000, 10_000
 LEAST_SPREAD = 0.02
+#: The quantiles of held-out trusted texts that a threshold is chosen from: one in ten to one in a hundred of them are lost.
+QUANTILES = (0.9, 0.925, 0.95, 0.975, 0.99)
 MASK = (1 << BITS) - 1
 
 
@@ -217,7 +221,14 @@ def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) ->
 def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept: one row for each row of ``docs``."""
     scores = settle(document_scores(docs, labels))
-    logs = scores.where("held_out AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), [0.5, 0.95], 10_000).alias("q"))
-    limits = logs.select("lang", F.exp(F.col("q")[0] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("threshold"))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", "threshold", kept.alias("kept"))
+    marked = scores.withColumn("log", F.log("perplexity")).where("log IS NOT NULL")
+    logs = marked.where("held_out").groupBy("lang").agg(F.percentile_approx("log", [0.5, 0.95, *QUANTILES], 10_000).alias("q"))
+    bad = labels.where("toxic = 1 OR quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = marked.where("held_out").select("lang", "log", F.lit(False).alias("bad")).union(marked.where("NOT held_out").join(bad, "doc_id", "left_semi").select("lang", "log", F.lit(True)))
+    above = lambda k, bad: F.avg(F.when(F.col("bad") == bad, (F.col("log") > F.col("q")[2 + k]).cast("double")))
+    gains = [F.struct((above(k, True) - above(k, False)).alias("gain"), F.first(F.col("q")[2 + k]).alias("limit")) for k in range(len(QUANTILES))]
+    chosen = marked.join(logs, "lang").groupBy("lang").agg(F.array_max(F.array(*gains)).alias("best"))
+    fenced = F.col("q")[0] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
+    limits = settle(logs.join(chosen, "lang").select("lang", F.when(F.col("best.gain").isNull(), fenced).otherwise(F.col("best.limit")).alias("limit")))
+    kept = F.coalesce(F.log("perplexity") <= F.col("limit"), F.lit(True))
+    return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", F.exp("limit").alias("threshold"), kept.alias("kept"))

@@ -87,3 +87,12 @@ def test_lookup_table():
     total, found = s.sum(np.concatenate([g[10:20], g[10:12], r.integers(0, 2**60, 100)]))
     assert found == 12 and total == sum(range(10, 20)) + 10 + 11
     assert L.Scores(g[:0], np.zeros(0, np.float32)).sum(g[:5]) == (0.0, 0)
+
+
+def test_threshold_rejects_labelled_toxic_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = L.classify(docs, labels).join(labels, "doc_id").where("lang = 'en'").collect()
+    toxic, clean = [x for x in got if x.toxic], [x for x in got if x.quality and not x.toxic]
+    assert sum(not x.kept for x in toxic) >= 0.8 * len(toxic)
+    assert sum(not x.kept for x in clean) <= 0.1 * len(clean)
