@@ -15,9 +15,9 @@ Characters beyond U+0BFF share 1024 classes, so an n-gram is one 60-bit number.
 after ORDER - 1 zero characters.
 
 Defined results: a null or blank text has no characters, a null perplexity, and is kept; a null language is a language; a
-language without trusted texts has no threshold and keeps its documents; repeated rows are scored each on its own (a repeated
-doc_id with several texts counts as one where slices are added up, so it must be unique beyond SLICE n-grams); empty tables
-give an empty result; other columns are not looked at.
+language without trusted texts has no threshold and keeps its documents; repeated rows, and rows with null ids, are scored each
+on its own, in one slice or several (sums are kept by doc_id, language and a hash of the text, and equal rows are counted); empty
+tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,10 +188,19 @@ def add_up(rows: DataFrame, scores: dict[str, Scores]) -> DataFrame:
         own = held.value
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            sums = [own[lang].sum(codes(text)) if lang in own else (0.0, 0) for lang, text in zip(langs, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], ["doc_id", "lang", "log_p", "n"])
+            texts = batch.column(2).to_pylist()
+            keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
+            sums = [own[lang].sum(codes(text)) if lang in own else (0.0, 0) for lang, text in zip(langs, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([s for s, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], ["doc_id", "lang", "key", "log_p", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, lang string, log_p double, n long")
+    return rows.mapInArrow(run, "doc_id long, lang string, key binary, log_p double, n long")
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """The sums of all slices, one row for each row of a slice."""
+    sums = reduce(DataFrame.union, parts).groupBy("doc_id", "lang", "key").agg((F.count(F.lit(1)) / len(parts)).cast("long").alias("copies"), F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    each = sums.select("doc_id", "lang", (F.col("log_p") / F.col("copies")).alias("log_p"), (F.col("n") / F.col("copies")).cast("long").alias("n"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("copy"))
+    return each.withColumn("copy", F.explode("copy")).drop("copy")
 
 
 def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) -> DataFrame:
@@ -213,7 +223,7 @@ def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) ->
         lang, g, logs = picked.column("lang").combine_chunks().dictionary_encode(), picked.column("g").to_numpy(), picked.column("log_p").to_numpy()
         at = lang.indices.to_numpy(zero_copy_only=False) if picked.num_rows else np.zeros(0, np.int64)
         parts.append(add_up(rows, {x: Scores(g[at == i], logs[at == i]) for i, x in enumerate(lang.dictionary.to_pylist())}))
-    sums = parts[0] if n == 1 else reduce(DataFrame.union, parts).groupBy("doc_id", "lang").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    sums = parts[0] if n == 1 else joined(parts)
     marked = sums.join(good.where(held_out).withColumn("held_out", F.lit(True)), "doc_id", "left")
     return marked.select("doc_id", "lang", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity"))
 

@@ -96,3 +96,13 @@ def test_threshold_rejects_labelled_toxic_texts(spark):
     toxic, clean = [x for x in got if x.toxic], [x for x in got if x.quality and not x.toxic]
     assert sum(not x.kept for x in toxic) >= 0.8 * len(toxic)
     assert sum(not x.kept for x in clean) <= 0.1 * len(clean)
+
+
+def test_slices_keep_rows_with_null_or_repeated_ids(spark, docs_of):
+    rows = [(k, "the cat sat on the mat and ran") for k in range(20)] + [(None, "one text"), (None, "another longer text"), (None, "another longer text"), (3, "a second text of three"), (4, "the cat sat on the mat and ran"), (None, None)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    order = lambda x: (x.doc_id is None, x.doc_id or 0, x.n_chars, x.perplexity or 0.0)
+    one, many = (sorted(L.document_scores(docs_of(rows), labels, slice_=n).collect(), key=order) for n in (L.SLICE, 20))
+    assert len(one) == len(many) == len(rows)
+    for x, y in zip(one, many, strict=True):
+        assert (x.doc_id, x.n_chars) == (y.doc_id, y.n_chars) and (x.perplexity or 0.0) == pytest.approx(y.perplexity or 0.0, rel=1e-9)
