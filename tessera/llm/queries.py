@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL, "op8_html_extraction": html_text.SQL}
