@@ -16,7 +16,7 @@ def col(x: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased words between white space; punctuation stays with its word."""
-    return F.filter(F.split(F.lower(col(text)), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col(text)), r"\s+"), "")
 
 
 def cjk_segments(text: Column | str) -> Column:

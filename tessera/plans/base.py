@@ -23,12 +23,12 @@ def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "benchmark", "item_id AS query_id", "array_join(slice(split(text, ' '), 1, 4), ' ') AS query")
+    return _view(spark, sf_dir, "benchmark", "item_id AS query_id", "text AS query")
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(
-        spark, sf_dir, "documents", "doc_id AS memory_id", "substring(text, 1, 40) AS content", "lang AS kind", "source AS project", "cast(1 AS int) AS version", "doc_id % 7 <> 0 AS is_latest", "cast(doc_id % 100 AS double) / 100 AS confidence",
+        spark, sf_dir, "documents", "doc_id AS memory_id", "text AS content", "lang AS kind", "source AS project", "cast(1 AS int) AS version", "doc_id % 7 <> 0 AS is_latest", "cast(doc_id % 100 AS double) / 100 AS confidence",
         "cast(1.0 AS double) AS retention_strength", "cast(0.001 * (1 + doc_id % 50) AS double) AS decay_rate", "doc_id % 60 AS access_count", f"{NOW} - make_dt_interval(cast(doc_id % 400 AS int)) AS last_accessed", f"{NOW} - make_dt_interval(cast(doc_id % 700 AS int)) AS created_at",
         f"CASE WHEN doc_id % 11 = 0 THEN {NOW} - make_dt_interval(cast(doc_id % 5 AS int)) END AS forget_after", "cast(doc_id % 10 AS double) / 10 AS strength",
     )
@@ -69,9 +69,9 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "drawers": "drawers AS (SELECT doc_id AS id, text AS content, source AS wing, lang AS room, 'f' || (doc_id % 30) AS source_file, doc_id % 40 AS session, 'h' || (doc_id % 3) AS hall, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS date, (doc_id % 10)::DOUBLE / 10 AS importance FROM documents)",
     "words": "words AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS term FROM drawers)",
-    "queries": "queries AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS query FROM benchmark)",
+    "queries": "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
     "qwords": "qwords AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '')) AS term FROM queries)",
-    "memories": f"memories AS (SELECT doc_id AS memory_id, substr(text, 1, 40) AS content, lang AS kind, source AS project, 1 AS version, doc_id % 7 <> 0 AS is_latest, (doc_id % 100)::DOUBLE / 100 AS confidence, 1.0::DOUBLE AS retention_strength, (0.001 * (1 + doc_id % 50))::DOUBLE AS decay_rate, doc_id % 60 AS access_count, {NOW} - to_days((doc_id % 400)::INT) AS last_accessed, {NOW} - to_days((doc_id % 700)::INT) AS created_at, CASE WHEN doc_id % 11 = 0 THEN {NOW} - to_days((doc_id % 5)::INT) END AS forget_after, (doc_id % 10)::DOUBLE / 10 AS strength, doc_id FROM documents)",
+    "memories": f"memories AS (SELECT doc_id AS memory_id, text AS content, lang AS kind, source AS project, 1 AS version, doc_id % 7 <> 0 AS is_latest, (doc_id % 100)::DOUBLE / 100 AS confidence, 1.0::DOUBLE AS retention_strength, (0.001 * (1 + doc_id % 50))::DOUBLE AS decay_rate, doc_id % 60 AS access_count, {NOW} - to_days((doc_id % 400)::INT) AS last_accessed, {NOW} - to_days((doc_id % 700)::INT) AS created_at, CASE WHEN doc_id % 11 = 0 THEN {NOW} - to_days((doc_id % 5)::INT) END AS forget_after, (doc_id % 10)::DOUBLE / 10 AS strength, doc_id FROM documents)",
     "triples": "triples AS (SELECT o_orderkey AS triple_id, 'c' || o_custkey AS subject, o_orderstatus AS predicate, 'c' || ((o_custkey * 7 + o_orderkey) % 140 + 1) AS object, o_orderdate AS valid_from, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_days((o_orderkey % 300)::INT) END AS valid_to, o_orderdate AS t_created, CASE WHEN o_orderkey % 10 = 0 THEN o_orderdate + to_days(200) END AS t_expired, (o_orderkey % 100)::DOUBLE / 100 AS confidence, (1 + o_orderkey % 9)::DOUBLE / 10 AS weight FROM orders)",
     "entities": "entities AS (SELECT 'c' || c_custkey AS entity_id, c_name AS name FROM customer)",
     "observations": "observations AS (SELECT event_id AS id, user_id AS session_id, ts, event_type AS type, event_type || ' ' || (user_id % 20) AS title, 'p' || (user_id % 4) AS project, ['f' || (event_id % 37), 'g' || (event_id % 11)] AS files, [event_type, 'k' || (event_id % 13)] AS concepts, (1 + event_id % 10)::INT AS importance, (50 + event_id % 400)::BIGINT AS tokens, value, props FROM events)",

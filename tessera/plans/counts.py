@@ -46,9 +46,9 @@ def helpfulness(spark, d):
     return A.helpfulness(f).withColumn("score", F.round("score", 6))
 
 
-@query("feedback_list", "SELECT doc_id AS drawer_id, CASE WHEN quality = 1 THEN 'helpful' ELSE 'unhelpful' END AS outcome FROM labels WHERE doc_id < 50")
+@query("feedback_list", "SELECT doc_id AS drawer_id, CASE WHEN quality = 1 THEN 'helpful' ELSE 'unhelpful' END AS outcome FROM labels")
 def feedback_list(spark, d):
-    return B.table(spark, d, "labels").where("doc_id < 50").selectExpr("doc_id AS drawer_id", "CASE WHEN quality = 1 THEN 'helpful' ELSE 'unhelpful' END AS outcome")
+    return B.table(spark, d, "labels").selectExpr("doc_id AS drawer_id", "CASE WHEN quality = 1 THEN 'helpful' ELSE 'unhelpful' END AS outcome")
 
 
 @query("co_change_patterns", B.sql("observations", ", p AS (SELECT DISTINCT session_id, least(files[1], files[2]) AS file_a, greatest(files[1], files[2]) AS file_b FROM observations) SELECT file_a, file_b, count(*) AS sessions FROM p GROUP BY ALL HAVING count(*) >= 2"))

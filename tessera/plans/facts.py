@@ -95,11 +95,11 @@ def top_degrees(spark, d):
 
 
 @query("bfs_expansion", B.sql("triples", """,
-t AS (SELECT * FROM triples WHERE triple_id % 5 = 0), b AS (SELECT subject AS a, object AS b FROM t UNION SELECT object, subject FROM t),
+b AS (SELECT subject AS a, object AS b FROM triples UNION SELECT object, subject FROM triples),
 r AS (SELECT 'c7' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN b ON node = a WHERE depth < 2)
 SELECT node, min(depth)::INT AS depth FROM r GROUP BY node"""))
 def bfs_expansion(spark, d):
-    return G.expand(B.triples(spark, d).where("triple_id % 5 = 0"), spark.createDataFrame([("c7",)], "node string"), 2)
+    return G.expand(B.triples(spark, d), spark.createDataFrame([("c7",)], "node string"), 2)
 
 
 @query("related_relations", B.sql("triples", """,
@@ -110,21 +110,21 @@ def related_relations(spark, d):
 
 
 @query("cascade_retrieval", B.sql("triples", """,
-t AS (SELECT * FROM triples WHERE triple_id % 5 = 0), b AS (SELECT a, b, max(weight) AS weight FROM (SELECT subject AS a, object AS b, weight FROM t UNION ALL SELECT object, subject, weight FROM t) GROUP BY a, b),
+b AS (SELECT a, b, max(weight) AS weight FROM (SELECT subject AS a, object AS b, weight FROM triples UNION ALL SELECT object, subject, weight FROM triples) GROUP BY a, b),
 r0 AS (SELECT 'c7' AS node, 1.0::DOUBLE AS score), r1 AS (SELECT node, max(score) AS score FROM (SELECT * FROM r0 UNION ALL SELECT b, score * weight * 0.7 FROM r0 JOIN b ON node = a) GROUP BY node),
 r2 AS (SELECT node, max(score) AS score FROM (SELECT * FROM r1 UNION ALL SELECT b, score * weight * 0.7 FROM r1 JOIN b ON node = a) GROUP BY node)
 SELECT node, round(score, 6) AS score FROM r2"""))
 def cascade_retrieval(spark, d):
-    s = G.cascade(B.triples(spark, d).where("triple_id % 5 = 0"), spark.createDataFrame([("c7", 1.0)], "node string, score double"), 2)
+    s = G.cascade(B.triples(spark, d), spark.createDataFrame([("c7", 1.0)], "node string, score double"), 2)
     return s.select("node", F.round("score", 6).alias("score"))
 
 
-_ROOMS = "drawers2 AS (SELECT 'r' || (doc_id % 23) AS room, 'w' || ((doc_id * 7) % 10 + (doc_id % 3)) AS wing, 'h' || (doc_id % 3) AS hall, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS date, text AS content FROM documents WHERE doc_id % 3 = 0)"
+_ROOMS = "drawers2 AS (SELECT 'r' || (doc_id % 23) AS room, 'w' || ((doc_id * 7) % 10 + (doc_id % 3)) AS wing, 'h' || (doc_id % 3) AS hall, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS date, text AS content FROM documents)"
 _NODES = f"WITH RECURSIVE {_ROOMS}, nodes AS (SELECT room, list_sort(list(DISTINCT wing)) AS wings, list_sort(list(DISTINCT hall)) AS halls, list_sort(list(DISTINCT date)) AS ds, count(*) AS n FROM drawers2 GROUP BY room)"
 
 
 def _rooms(spark, d):
-    return B.table(spark, d, "documents").where("doc_id % 3 = 0").selectExpr("concat('r', doc_id % 23) AS room", "concat('w', (doc_id * 7) % 10 + (doc_id % 3)) AS wing", "concat('h', doc_id % 3) AS hall", "concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0')) AS date", "text AS content")
+    return B.table(spark, d, "documents").selectExpr("concat('r', doc_id % 23) AS room", "concat('w', (doc_id * 7) % 10 + (doc_id % 3)) AS wing", "concat('h', doc_id % 3) AS hall", "concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0')) AS date", "text AS content")
 
 
 @query("room_nodes", _NODES + " SELECT room, array_to_string(wings, ',') AS wings, array_to_string(halls, ',') AS halls, array_to_string(ds[greatest(1, len(ds) - 4):], ',') AS dates, n FROM nodes")

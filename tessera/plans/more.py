@@ -158,9 +158,9 @@ def provenance_check(spark, d):
     return L.provenance(m, docs.withColumnRenamed("doc_id", "id")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("context_packing", B.sql("observations", ", o AS (SELECT session_id, id, tokens, importance, row_number() OVER (PARTITION BY session_id ORDER BY 10 - importance, id::VARCHAR) AS k FROM observations WHERE session_id < 20), r AS (SELECT session_id, 0 AS k, 0::BIGINT AS used, 0 AS n FROM (SELECT DISTINCT session_id FROM o) UNION ALL SELECT r.session_id, o.k, CASE WHEN used + tokens <= 1000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 1000 THEN n + 1 ELSE n END FROM r JOIN o ON o.session_id = r.session_id AND o.k = r.k + 1) SELECT session_id, arg_max(n, k)::BIGINT AS chosen FROM r GROUP BY session_id"))
+@query("context_packing", B.sql("observations", ", o AS (SELECT session_id, id, tokens, importance, row_number() OVER (PARTITION BY session_id ORDER BY 10 - importance, id::VARCHAR) AS k FROM observations), r AS (SELECT session_id, 0 AS k, 0::BIGINT AS used, 0 AS n FROM (SELECT DISTINCT session_id FROM o) UNION ALL SELECT r.session_id, o.k, CASE WHEN used + tokens <= 1000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 1000 THEN n + 1 ELSE n END FROM r JOIN o ON o.session_id = r.session_id AND o.k = r.k + 1) SELECT session_id, arg_max(n, k)::BIGINT AS chosen FROM r GROUP BY session_id"))
 def context_packing(spark, d):
-    o = B.observations(spark, d).where("session_id < 20").select("session_id", (10 - F.col("importance")).alias("priority"), F.col("id").cast("string").alias("id"), "tokens")
+    o = B.observations(spark, d).select("session_id", (10 - F.col("importance")).alias("priority"), F.col("id").cast("string").alias("id"), "tokens")
     return L.pack_context(o, "session_id", "tokens", 1000).select("session_id", F.size("chosen").cast("long").alias("chosen"))
 
 

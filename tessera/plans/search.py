@@ -72,7 +72,7 @@ def _query_vectors(spark, d):
 @query("vector_search", _VECTORS + _TOPK.format("s") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10")
 def vector_search(spark, d):
     """Exact cosine neighbours of the stated query set, every vector whose id is divisible by 100."""
-    return R.top_k(_rounded(R.vector_search(_vectors(spark, d), _query_vectors(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return R.top_k(_rounded(R.vector_search(_vectors(spark, d), _query_vectors(spark, d), 10)), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("vector_normalise", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(1.0, 5) AS unit_norm FROM embeddings")
@@ -119,7 +119,7 @@ def _hybrid(spark, d, **options):
     vectors_ = _vectors(spark, d).select("id", "embedding")
     qv = B.queries(spark, d).join(vectors_.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "embedding")
     docs = B.drawers(spark, d)
-    streams = {"bm25": R.top_k(_rounded(R.bm25(docs, B.queries(spark, d))), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
+    streams = {"bm25": R.top_k(_rounded(R.bm25(docs, B.queries(spark, d))), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv, 30)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
     return _rounded(R.fuse(streams)).join(docs.select("id", "session", "wing", "room"), "id")
 
 
@@ -143,8 +143,8 @@ r AS (SELECT query_id, id, round(0.7 * sim + 0.3 * coalesce(score, 0) / (coalesc
 def search_rerank(spark, d):
     """Word overlap reranked by BM25."""
     docs, q = B.drawers(spark, d), B.queries(spark, d)
-    both = R.overlap(docs, q).withColumnRenamed("score", "sim").join(R.bm25(docs, q), ["query_id", "id"], "left")
-    scored = both.select("query_id", "id", F.round(R.blend_bm25(F.col("sim"), F.col("score")), 9).alias("score"))
+    both = R.score_postings(R.query_postings(docs, q), q).where("overlap > 0.05")
+    scored = both.select("query_id", "id", F.round(R.blend_bm25(F.col("overlap"), F.col("bm25")), 9).alias("score"))
     return R.top_k(scored, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -174,7 +174,7 @@ def retrieval_metrics(spark, d):
 
 
 @query("query_expansion", """WITH syn AS (SELECT unnest(['the', 'the', 'of', 'of']) AS term, unnest(['a', 'an', 'from', 'by']) AS member),
-q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '') AS ws FROM q),
 m AS (SELECT query_id, list_sort(list(DISTINCT member)) AS more FROM (SELECT query_id, unnest(ws) AS term FROM w) JOIN syn USING (term) GROUP BY query_id)
 SELECT query_id, concat_ws(' ', query, array_to_string(list_filter(coalesce(more, []), lambda x: NOT list_contains(ws, x)), ' ')) AS query FROM q JOIN w USING (query_id) LEFT JOIN m USING (query_id)""")
