@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import spread, table
 
 NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
@@ -22,6 +22,11 @@ def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "documents", "doc_id AS id", "text AS content", "source AS wing", "lang AS room", "concat('f', doc_id % 30) AS source_file", "doc_id % 40 AS session", "concat('h', doc_id % 3) AS hall", "concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0')) AS date", "cast(doc_id % 10 AS double) / 10 AS importance")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawers, for searches through their texts: a small table is dealt out to all cores."""
+    return spread(drawers(spark, sf_dir), "id")
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "benchmark", "item_id AS query_id", "text AS query")
 

@@ -30,7 +30,7 @@ def _rounded(df, digits=9):
 @query("bm25_search", B.sql("drawers,words,queries,qwords", _BM25 + _TOPK.format("bm25") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def bm25_search(spark, d):
     """Top 10 of BM25 for every query."""
-    return R.top_k(_rounded(R.bm25(B.drawers(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return R.top_k(_rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("full_text_all_terms", B.sql("drawers,words,queries,qwords", _BM25 + """,
@@ -38,7 +38,7 @@ need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY ALL),
 held AS (SELECT query_id, id, count(*) AS held FROM qt JOIN tf USING (term) GROUP BY ALL)
 SELECT query_id, id, round(score, 6) AS score FROM bm25 JOIN held USING (query_id, id) JOIN need USING (query_id) WHERE held = need"""))
 def full_text_all_terms(spark, d):
-    return R.full_text(B.drawers(spark, d), B.queries(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return R.full_text(B.texts(spark, d), B.queries(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("naive_overlap_search", B.sql("drawers,words,queries,qwords", """,
@@ -47,7 +47,7 @@ dn AS (SELECT id, count(*) AS dn FROM dw GROUP BY id), qn AS (SELECT query_id, c
 j AS (SELECT query_id, id, count(*) AS b FROM dw JOIN qw USING (term) GROUP BY ALL),
 s AS (SELECT query_id, id, b / (dn + qn - b)::DOUBLE AS score FROM j JOIN dn USING (id) JOIN qn USING (query_id))""" + _TOPK.format("(SELECT * FROM s WHERE score > 0.05)") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def naive_overlap_search(spark, d):
-    return R.top_k(_rounded(R.overlap(B.drawers(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return R.top_k(_rounded(R.overlap(B.texts(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("contains_strategy", B.sql("drawers", """,
@@ -119,7 +119,7 @@ def _hybrid(spark, d, **options):
     vectors_ = _vectors(spark, d).select("id", "embedding")
     qv = B.queries(spark, d).join(vectors_.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "embedding")
     docs = B.drawers(spark, d)
-    streams = {"bm25": R.top_k(_rounded(R.bm25(docs, B.queries(spark, d))), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv, 30)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
+    streams = {"bm25": R.top_k(_rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv, 30)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
     return _rounded(R.fuse(streams)).join(docs.select("id", "session", "wing", "room"), "id")
 
 
@@ -142,7 +142,7 @@ s AS (SELECT query_id, id, b / (dn + qn - b)::DOUBLE AS sim FROM j JOIN dn USING
 r AS (SELECT query_id, id, round(0.7 * sim + 0.3 * coalesce(score, 0) / (coalesce(score, 0) + 1), 9) AS score FROM s LEFT JOIN bm25 USING (query_id, id))""" + _TOPK.format("r") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def search_rerank(spark, d):
     """Word overlap reranked by BM25."""
-    docs, q = B.drawers(spark, d), B.queries(spark, d)
+    docs, q = B.texts(spark, d), B.queries(spark, d)
     both = R.score_postings(R.query_postings(docs, q), q).where("overlap > 0.05")
     scored = both.select("query_id", "id", F.round(R.blend_bm25(F.col("overlap"), F.col("bm25")), 9).alias("score"))
     return R.top_k(scored, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
@@ -155,8 +155,8 @@ r AS (SELECT query_id, id, b / (t - b)::DOUBLE AS score FROM s WHERE b > 0)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM r WHERE score > 0.05) WHERE n = 1 AND score >= 0.5""")
 def duplicate_check(spark, d):
     """For every document whose id is divisible by 100, the most similar other one, if half of the words agree."""
-    docs = B.drawers(spark, d)
-    q = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
+    docs = B.texts(spark, d)
+    q = B.drawers(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("content").alias("query"))
     s = _rounded(R.overlap(docs, q).where("id <> query_id"))
     return R.top_k(s, 1).where("score >= 0.5").select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -167,7 +167,7 @@ i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank
 g AS (SELECT query_id, max(rel) AS any_, sum(rel) >= 2 AS all_, sum(rel / log2(rank + 2)) AS dcg, sum(rel / log2(ideal + 2)) AS idcg FROM i GROUP BY query_id)
 SELECT count(*) AS n, round(avg(any_), 6) AS recall_any, round(avg(all_::INT), 6) AS recall_all, round(avg(CASE WHEN idcg = 0 THEN 0 ELSE dcg / idcg END), 6) AS ndcg FROM g"""))
 def retrieval_metrics(spark, d):
-    ranked = R.top_k(_rounded(R.bm25(B.drawers(spark, d), B.queries(spark, d))), 10)
+    ranked = R.top_k(_rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))), 10)
     hits = ranked.select("query_id", "rank", (F.col("id") % 5 == F.col("query_id") % 5).cast("int").alias("relevance"), F.lit(2).alias("n_correct"))
     m = metrics.ranked_metrics(hits, 10)
     return m.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall_any", "recall_all", "ndcg")])
@@ -219,5 +219,5 @@ def room_prior_search(spark, d):
     """A search within a wing and room: statistics over all drawers, the filter before the cut."""
     docs = B.drawers(spark, d)
     inside = docs.where("wing = 'src1' AND room = 'en'").select("id")
-    s = _rounded(R.bm25(docs, B.queries(spark, d))).join(inside, "id", "left_semi")
+    s = _rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))).join(inside, "id", "left_semi")
     return R.top_k(s, 5).select("query_id", "id", "rank")

@@ -24,3 +24,9 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A table scan of fewer parts than there are cores, dealt out by ``key``; a larger one as it is. For work on long texts."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
