@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents, settle
 
 CAPACITY, CLOSING = 4096, 1
-#: Distinct words whose ids a worker keeps, words that are encoded as one line, and pieces a bucket of ranks should have.
-WORDS_KEPT, LINE, BUCKET = 500_000, 500, 50_000
+#: Bytes of words and ids that a worker keeps, characters that are encoded at once, characters of words on a line, pieces a bucket of ranks should have.
+KEPT, AT_ONCE, LINE, BUCKET = 96 << 20, 4 << 20, 4000, 50_000
+#: What a kept word costs besides its characters: the string, its place in the dictionary and three numbers.
+WORD_COST = 180
 
 
 class _Numbers(dict):
@@ -48,7 +51,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer whose words end at white space.
 
     Words are parted at blanks and line ends, which the tokenizer drops, and each distinct word is encoded once; the ids of
-    a text are its words' ids in order. The memory is bounded by forgetting the words when there are too many.
+    a text are its words' ids in order. What is kept is counted in bytes and forgotten when it is more than KEPT, so besides
+    that only the words of the texts at hand are held, however long words are.
     """
 
     def __init__(self, path: str, closing: int = CLOSING):
@@ -59,8 +63,17 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.numbers = _Numbers()
-        self.flat = np.zeros(0, np.uint32)
-        self.first = self.count = np.zeros(0, np.int64)
+        self.held = 0
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0  # a buffer that doubles
+        self.first, self.count, self.known = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+
+    @staticmethod
+    def _room(buffer: np.ndarray, used: int, more: int) -> np.ndarray:
+        if used + more <= len(buffer):
+            return buffer
+        grown = np.zeros(max(2 * len(buffer), used + more), buffer.dtype)
+        grown[:used] = buffer[:used]
+        return grown
 
     @staticmethod
     def plain(word: str) -> bool:
@@ -72,25 +85,38 @@ class WordEncoder:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        at, count, flat, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
-        plain, others = [], []
+        at, count = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+
+        def keep(ids: list[int]) -> int:
+            self.flat = self._room(self.flat, self.used, len(ids))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            return self.used - len(ids)
+
+        def line(own: list[int]) -> None:
+            if own:
+                words = [new[i] for i in own]
+                starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+                cuts = np.r_[0, np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)]
+                at[own], count[own] = keep(e.ids) + cuts[:-1], np.diff(cuts)
+
+        plain, long_ = [], 0
         for k, w in enumerate(new):
-            (plain if w and self.plain(w) else others).append(k)
-        for k in range(0, len(plain), LINE):
-            own = np.array(plain[k : k + LINE])
-            words = [new[i] for i in own]
-            starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            cuts = np.r_[0, np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)]
-            at[own], count[own] = n + cuts[:-1], np.diff(cuts)
-            flat.append(np.array(e.ids, np.uint32))
-            n += len(e)
-        for k in others:
-            ids = self.tokenizer.encode(new[k], add_special_tokens=False).ids if new[k] else []
-            at[k], count[k] = n, len(ids)
-            flat.append(np.array(ids, np.uint32))
-            n += len(ids)
-        self.flat, self.first, self.count = np.concatenate(flat), np.concatenate([self.first, at]), np.concatenate([self.count, count])
+            if w and self.plain(w):
+                plain.append(k)
+                long_ += len(w) + 1
+                if long_ > LINE:
+                    line(plain)
+                    plain, long_ = [], 0
+            elif w:
+                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                at[k], count[k] = keep(ids), len(ids)
+        line(plain)
+        self.first, self.count = self._room(self.first, self.known, len(new)), self._room(self.count, self.known, len(new))
+        self.first[self.known : self.known + len(new)], self.count[self.known : self.known + len(new)] = at, count
+        self.known += len(new)
+        self.held += sum(map(len, new)) * 2 + len(new) * WORD_COST + 4 * int(count.sum())
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -104,8 +130,6 @@ class WordEncoder:
         """For each text its ids, closed by the closing id, as unsigned 32-bit numbers."""
         if not texts:
             return []
-        if len(self.numbers) > WORDS_KEPT:
-            self.clear()
         words = [self.words(t) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         w = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
@@ -113,6 +137,8 @@ class WordEncoder:
         count = self.count[w]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(self.first[w] - (ends - count), count) + np.arange(int(count.sum()))]
+        if self.held > KEPT:
+            self.clear()
         return [np.append(part, np.uint32(self.closing)) for part in np.split(ids, np.r_[0, ends][np.cumsum(n)[:-1]])]
 
 
@@ -138,8 +164,13 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:  # some texts at a time, by their size
+                before = sizes[at - 1] if at else 0
+                n = max(1, min(256, int(np.searchsorted(sizes, before + AT_ONCE, "right")) - at))
+                batch = whole.slice(at, n)
+                at += n
                 rows = [
                     (doc, k, k * capacity, len(part), zlib.crc32(part.astype("<u4").tobytes()))
                     for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True)

@@ -71,8 +71,19 @@ def test_empty(docs_of):
 
 
 def test_words_are_forgotten(monkeypatch):
-    monkeypatch.setattr(P, "WORDS_KEPT", 5)
+    monkeypatch.setattr(P, "KEPT", 1000)
     e = P.WordEncoder(PATH)
     for k in range(4):
         text = " ".join(f"word{j}" for j in range(k, k + 9))
         assert e.encode([text, None])[0].tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_memory_follows_bytes_and_not_the_number_of_words():
+    """Many long texts without blanks are encoded whole, and what is kept of them stays below the bound."""
+    r, e = random.Random(3), P.WordEncoder(PATH)
+    for k in range(40):
+        text = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(20_000))
+        got = e.encode([text])[0]
+        assert e.held <= P.KEPT and e.flat.nbytes <= 2 * P.KEPT
+        if k % 20 == 0:
+            assert got.tolist() == [*TOKENIZER.encode(text, add_special_tokens=False).ids, 1]
