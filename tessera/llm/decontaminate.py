@@ -10,7 +10,8 @@ The benchmark travels to the documents. Its size is checked first: beyond BLOCK_
 documents are read once for each block, so what is broadcast stays bounded. Documents are never shuffled.
 
 Defined results: a null or wordless text or item matches nothing; an item with fewer than SEED words must occur whole;
-repeated rows are judged each on its own; empty tables give an empty result; other columns are not looked at.
+repeated rows are judged each on its own; of matches of one length the first in the item and then in the document goes first;
+a very long text is read whole, its matches are held as runs; empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents
 
 SEED, COVERAGE, BLOCK_BYTES = 6, 0.6, 32 << 20
+#: Pairs of matching places that are looked at together.
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII characters that part words besides white space.
 _PART = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -55,6 +58,8 @@ class BenchmarkIndex:
         texts = [words_of(t) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t), 1)}
         self.numbers = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.numbers])
+        self.first = np.cumsum([0, *map(len, self.numbers)])
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width in sorted({min(seed, len(n)) for n in self.numbers if len(n)}):
             own = [(k, rolling(n, width)) for k, n in enumerate(self.numbers) if len(n) and min(seed, len(n)) == width]
@@ -64,9 +69,13 @@ class BenchmarkIndex:
             order = np.lexsort((place, item, hashes))
             self.by_width[width] = hashes[order], item[order], place[order]
 
-    def seeds(self, numbers: np.ndarray) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
-        """Item -> (width, places in the document, places in the item) of its exact seed matches."""
-        found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    def seeds(self, numbers: np.ndarray) -> dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Item -> (width, places in the document, places in the item, words) of its maximal matches of at least ``width`` words.
+
+        Matching places are looked up CHUNK pairs at a time and joined to runs along diagonals at once, so what is held is the
+        matches and not the pairs: a word that both sides repeat has a pair for each two places, but a match for each diagonal.
+        """
+        found: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
         known = numbers > 0
         for width, (hashes, item, place) in self.by_width.items():
             if len(numbers) < width:
@@ -79,36 +88,48 @@ class BenchmarkIndex:
             low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
             hit = high > low
             at, low, n = at[hit], low[hit], (high - low)[hit]
-            if not len(at):
-                continue
-            row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            doc_at, it, it_at = np.repeat(at, n), item[row], place[row]
-            order = np.argsort(it, kind="stable")
-            doc_at, it, it_at = doc_at[order], it[order], it_at[order]
-            for a, b in zip(np.flatnonzero(np.r_[True, it[1:] != it[:-1]]), np.r_[np.flatnonzero(it[1:] != it[:-1]) + 1, len(it)], strict=True):
-                p, q = doc_at[a:b], it_at[a:b]
-                same = np.ones(b - a, bool)  # hashes agree; do the words?
-                for k in range(width):
-                    same &= numbers[p + k] == self.numbers[it[a]][q + k]
-                if same.any():
-                    found.setdefault(int(it[a]), []).append((width, p[same], q[same]))
+            runs = np.zeros((4, 0), np.int64)  # item, diagonal, first place in the document, place after the last
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(at):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, "right")))
+                runs = joined_runs(np.concatenate([runs, self._pairs(numbers, width, item, place, at[start:stop], low[start:stop], n[start:stop])], axis=1))
+                start = stop
+            for a, b in zip(np.flatnonzero(np.r_[True, runs[0, 1:] != runs[0, :-1]][: runs.shape[1]]), np.r_[np.flatnonzero(runs[0, 1:] != runs[0, :-1]) + 1, runs.shape[1]], strict=False):
+                p = runs[2, a:b]
+                found.setdefault(int(runs[0, a]), []).append((width, p, p - runs[1, a:b], runs[3, a:b] - p + width - 1))
         return found
 
+    def _pairs(self, numbers, width, item, place, at, low, n) -> np.ndarray:
+        """Matching places as runs of one; those whose hashes agree by chance are left out."""
+        row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        p, it, q = np.repeat(at, n), item[row], place[row]
+        same = np.ones(len(p), bool)
+        for k in range(width):
+            same &= numbers[p + k] == self.flat[self.first[it] + q + k]
+        return np.stack([it, p - q, p, p + 1])[:, same]
+
+
+def joined_runs(runs: np.ndarray) -> np.ndarray:
+    """Runs (item, diagonal, first, after the last) sorted, those that follow each other made one."""
+    runs = runs[:, np.lexsort((runs[2], runs[1], runs[0]))]
+    if not runs.shape[1]:
+        return runs
+    new = np.r_[True, (runs[0, 1:] != runs[0, :-1]) | (runs[1, 1:] != runs[1, :-1]) | (runs[2, 1:] != runs[3, :-1])]
+    first = np.flatnonzero(new)
+    return np.concatenate([runs[:3, first], runs[3:, np.r_[first[1:], runs.shape[1]] - 1]])
+
 
-def tile(width: int, doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in the document, place in the item, words), from the places of all matches of ``width`` words.
+def tile(width: int, doc_at: np.ndarray, item_at: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of maximal matches: (place in the document, place in the item, words).
 
-    Seeds that follow each other on one diagonal make a maximal match. The longest goes first (ties: the first in the item,
-    then in the document); what an earlier tile covers is cut off, and the rest returns to the queue if it has ``width`` words.
+    The longest goes first (ties: the first in the item, then in the document); what an earlier tile covers is cut off, and
+    the rest returns to the queue if it has ``width`` words. It ends when no ``width`` words of the item in a row are free.
     """
-    order = np.lexsort((doc_at, doc_at - item_at))
-    p, q = doc_at[order], item_at[order]
-    start = np.r_[True, (np.diff(p - q) != 0) | (np.diff(p) != 1)]
-    first = np.flatnonzero(start)
-    length = np.diff(np.r_[first, len(p)]) + width - 1
-    queue = [(-int(n), int(q[f]), int(p[f])) for f, n in zip(first, length, strict=True)]
+    queue = list(zip((-length).tolist(), item_at.tolist(), doc_at.tolist(), strict=True))
     heapq.heapify(queue)
     doc_used, item_used, tiles = set(), set(), []
+    size = int((item_at + length).max(initial=0))
     while queue:
         n, b, a = heapq.heappop(queue)
         n = -n
@@ -117,6 +138,12 @@ def tile(width: int, doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int,
             tiles.append((a, b, n))
             doc_used.update(range(a, a + n))
             item_used.update(range(b, b + n))
+            longest = run = 0
+            for k in range(size):
+                run = 0 if k in item_used else run + 1
+                longest = max(longest, run)
+            if longest < width:
+                break
             continue
         k = 0
         while k < n:  # the stretches that are still free
@@ -138,8 +165,8 @@ def coverages(index: BenchmarkIndex, words: list[bytes]) -> list[tuple[int, floa
     numbers = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
     out = []
     for k, matches in index.seeds(numbers).items():
-        for width, p, q in matches:
-            tiles = tile(width, p, q)
+        for width, p, q, n in matches:
+            tiles = tile(width, p, q, n)
             out.append((k, sum(n for *_, n in tiles) / len(index.numbers[k]), len(tiles)))
     return out
 

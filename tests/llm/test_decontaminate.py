@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,19 @@ def test_drop_and_empty(spark, docs_of, awkward):
     nothing = bench(spark, [(1, ITEM)]).limit(0)
     assert D.drop_contaminated(docs, nothing).count() == len(awkward) + 1 and D.contaminated(docs, nothing).count() == 0
     assert D.contaminated(docs.limit(0), bench(spark, [(1, ITEM)])).count() == 0
+
+
+def test_one_repeated_word(monkeypatch):
+    """A long text of one word against an item of the same word: a match for each diagonal is held, not a pair for each two places."""
+    monkeypatch.setattr(D, "CHUNK", 5000)
+    item = ["word"] * 100
+    index = D.BenchmarkIndex([(1, " ".join(item))])
+    matches = index.seeds(np.ones(20_000, np.int64))
+    (width, p, q, n) = matches[0][0]
+    assert width == D.SEED and len(p) == 20_000 + 100 - 2 * D.SEED + 1 and n.max() == 100
+    assert D.coverages(index, [b"word"] * 20_000) == [(0, 1.0, 1)]
+    assert [sum(t[2] for t in brute_tiles([b"word"] * 30, [b"word"] * 12, 6))] == [sum(t[2] for t in D.tile(*BenchmarkRuns(30, 12)))]
+
+
+def BenchmarkRuns(doc, item):
+    return D.BenchmarkIndex([(1, " ".join(["word"] * item))]).seeds(np.ones(doc, np.int64))[0][0]
