@@ -8,7 +8,8 @@ A conversation's turns are encoded where they lie, in parallel, then sorted with
 stream: what is held is one batch of rows, however long a conversation is.
 
 Defined results: rows are ordered by turn, then role, then text; a null text or role is empty; repeated rows are turns of
-their own; a null conv_id is a conversation; an empty table gives an empty result; other columns are not looked at.
+their own; a null conv_id is a conversation; a very long
+text is one segment; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 #: The template: <|turn|> role <|body|> text <|end|>, and the strings of other templates that are kept out of texts as well.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROLS = (TURN, BODY, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Characters a segment's part has at most; longer texts are encoded part by part.
-PART = 20_000
 
 _rests = {first: "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True) if c[0] == first) for first in {c[0] for c in CONTROLS}}
 _escape = re.compile("|".join(rf"(?P<h{i}>{re.escape(f)})(?P<b{i}>\\*)(?P<r{i}>{rest})" for i, (f, rest) in enumerate(sorted(_rests.items()))))
@@ -57,8 +56,8 @@ class ChatTokenizer:
         self.first = first
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [self.coder.encode_ordinary(text[k : k + PART]) for k in range(0, len(text), PART)]
-        return np.array([x for p in parts for x in p], np.int32)
+        """Ids of a whole segment, however long: it is cut nowhere but where the tokenizer's own pattern cuts."""
+        return np.array(self.coder.encode_ordinary(text), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.coder.decode_bytes(ids.tolist()).decode("utf-8", "surrogatepass")

@@ -1,6 +1,7 @@
 import hashlib
 
 import duckdb
+import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,3 +57,10 @@ def test_mask_covers_assistant_texts_alone():
 
 def test_empty(spark):
     assert digests(spark, [])  == {}
+
+
+def test_long_segments_are_encoded_whole():
+    t = C.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("a" * 60_001, "some words and " * 5000, "日本語" * 9000, " " * 30_000):
+        ids = t.encode(text)
+        assert ids.tolist() == t.coder.encode_ordinary(text) and t.decode(ids) == text
