@@ -6,8 +6,9 @@ triangle bounds do not rule out. Each shard builds its own vantage-point tree be
 radius. A shard returns a spanning forest of what it links, never the pairs, so a group of many copies costs a row for each
 member. Shards that stay too large (a ball that no vantage point splits) are cut into blocks that meet pair by pair.
 
-Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows get the same class;
-a class whose doc_ids are all null has a null component_id; an empty table gives an empty result.
+Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows get the same class, rows that repeat
+a doc_id with another text the class of theirs; a class whose doc_ids are all null has a null component_id; a very long text is
+read whole; fingerprints at the same distance are in no order; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from tessera.llm.common import components, documents, settle
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Distinct fingerprints that the upper tree is built from, and fingerprints a shard and a block should have at most.
-SAMPLE, SHARD, LEAF = 8192, 65536, 192
-LEAST_LEVELS, MOST_LEVELS = 5, 11
+SAMPLE, SHARD, LEAF = 8, 65536, 192  # points of the sample for each shard, at least 8192 in all
+LEAST_LEVELS = 5
+#: Nodes of the upper tree that a task holds at once: 16 bytes each.
+MOST_LEVELS = 20
 #: Document keys from here on stand for null ids.
 NULL_KEY = 1 << 62
 
@@ -36,7 +39,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
+    return bits_of(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of some 64-bit hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -44,15 +51,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """(doc_id, text: binary, digest: xxhash64 of the text)."""
+    rows = documents(docs)
+    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, digest, fp): a hash of the text, and the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.array([fingerprint(x or b"", shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["doc_id", "digest", "fp"])
 
-    return documents(docs, "binary").mapInArrow(run, "doc_id long, fp long")
+    return digested(docs).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -99,18 +112,30 @@ class Forest:
     """Labels of points 0..n-1 under links; the label is the smallest index of a set."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n)
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Labels of some points; their paths are halved on the way, the rest of the forest is not touched."""
         while True:
-            x, y = self.label[a], self.label[b]
+            up = self.parent[x]
+            higher = self.parent[up]
+            if (up == higher).all():
+                return up
+            self.parent[x] = higher
+            x = np.where(up == x, x, higher)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.find(a), self.find(b)
             differ = x != y
             if not differ.any():
                 return
             a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
-            while (jumped := self.label[self.label])[...].tobytes() != self.label.tobytes():
-                self.label = jumped
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
+
+    @property
+    def label(self) -> np.ndarray:
+        return self.find(np.arange(len(self.parent)))
 
 
 def shard_links(points: np.ndarray, held: np.ndarray, reach: int = RADIUS) -> np.ndarray:
@@ -143,8 +168,10 @@ def fingerprint_links(distinct: DataFrame, reach: int = RADIUS, shard: int = SHA
     spark = distinct.sparkSession
     n = distinct.count()
     levels = min(MOST_LEVELS, max(LEAST_LEVELS, int(np.ceil(np.log2(max(n, 1) / shard))) if n > shard else 0))
-    sample = np.array([x.fp for x in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(upper_tree(sample, levels))  # 2^levels nodes at most, whatever the table
+    wanted = max(8192, SAMPLE << levels)  # 64 MB at MOST_LEVELS, which is at 68 thousand million fingerprints
+    sampled = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) <= (wanted << 20) // max(n, 1)) if n > 4 * wanted else distinct
+    sample = sampled.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).toArrow().column("fp").to_numpy().view(np.uint64)
+    tree = spark.sparkContext.broadcast(upper_tree(sample, levels))  # 2^levels nodes: 16 MB at MOST_LEVELS
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vantage, radius = tree.value
@@ -155,9 +182,9 @@ def fingerprint_links(distinct: DataFrame, reach: int = RADIUS, shard: int = SHA
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), pa.array(points[index].view(np.int64))], ["shard", "home", "fp"])
 
     rows = distinct.select("fp").mapInArrow(routed, "shard long, home boolean, fp long")
-    # at most 2^MOST_LEVELS counts
-    sizes = {r["shard"]: r["n"] for r in rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cut = {s: int(np.ceil(k / (2 * shard))) for s, k in sizes.items() if k > 2 * shard}
+    # shards that are too large though the tree is deep enough: balls that no vantage point splits, at most n / (2 * shard) of them
+    large = rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard).collect()
+    cut = {r["shard"]: -(-r["n"] // (2 * shard)) for r in large}
     rows = rows.withColumn("block", F.lit(0).cast("long")).withColumn("held", F.col("home"))
     if cut:
         blocks = F.create_map(*[F.lit(x) for s, k in cut.items() for x in (s, k)])
@@ -179,7 +206,7 @@ def fingerprint_links(distinct: DataFrame, reach: int = RADIUS, shard: int = SHA
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row for each row of ``docs``."""
+    """(doc_id, fingerprint, component_id, digest of the text): one row for each row of ``docs``."""
     prints = settle(fingerprints(docs, shingle))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     groups = settle(components(fingerprint_links(distinct, reach)))
@@ -188,18 +215,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS
     linked = linked.join(least, "root").select("fp", "least_id")
     # rows without links are in a class of their own; checkpointed, so that AQE can split a hot fingerprint in the last join
     classes = settle(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "digest")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that clashes with none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, groups=None) -> DataFrame:
     """``docs``, all columns, with one row left of each near-duplicate group: that of its smallest doc_id.
 
-    Rows that repeat a doc_id are one document and leave one row. A row with a null doc_id stands after all others, in the
-    order of its text's hash, so it stays if no other row of its group does.
+    ``groups``: from (doc_id, text) to (doc_id, component_id), a row for a row; by default ``near_duplicates``. Documents are
+    known by their doc_id and their text: rows that repeat both leave one row. Rows that repeat a doc_id with other texts are
+    documents of their own; those of the group's smallest doc_id all stay. A row with a null doc_id stands after all others, in
+    the order of its text's hash, so it stays if no other row of its group does.
     """
-    key = "__document_key"
-    stand_in = F.lit(NULL_KEY).bitwiseOR(F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NULL_KEY - 1)))
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, reach)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(gone, key, "left_anti").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, digest = free_name(docs.columns, "document_key"), free_name(docs.columns, "text_digest")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    stand_in = F.lit(NULL_KEY).bitwiseOR(hashed.bitwiseAND(F.lit(NULL_KEY - 1)))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in)).withColumn(digest, hashed)
+    found = (groups or near_duplicates)(keyed.select(F.col(key).alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("digest").alias(digest)).distinct()
+    return keyed.join(gone, [key, digest], "left_anti").dropDuplicates([key, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])

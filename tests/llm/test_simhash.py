@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash as S
 from tessera.llm.common import components
@@ -65,7 +66,7 @@ def test_near_duplicates_equals_brute_force(docs_of, awkward):
     label = brute_components(prints)
     least = {x: min(rows[k][0] for k in range(len(rows)) if label[k] == x) for x in set(label)}
     want = sorted((i, f"{p:016x}", least[x]) for (i, _), p, x in zip(rows, prints, label))
-    assert sorted(map(tuple, S.near_duplicates(docs_of(rows)).collect())) == want
+    assert sorted(map(tuple, S.near_duplicates(docs_of(rows)).select("doc_id", "fingerprint", "component_id").collect())) == want
 
 
 def test_blocks_of_an_overfull_shard(spark, monkeypatch):
@@ -87,6 +88,26 @@ def test_keep_one(docs_of, awkward):
     assert S.keep_one(docs_of([*awkward, *other])).where("doc_id IS NULL AND text LIKE '%text%'").count() == 2
 
 
+def test_keep_one_tells_documents_of_one_id_apart(docs_of):
+    a, b, c = "first text of some length here", "second text that shares no words with it at all", "third one is unlike both others entirely"
+    docs = docs_of([(1, a), (1, b), (1, b), (2, b.upper()), (3, c), (3, a)]).withColumn("document_key", F.lit(5)).withColumn("TEXT_DIGEST", F.lit(6))
+    out = S.keep_one(docs)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (1, b), (3, c)]
+    assert out.columns == docs.columns and {(r.document_key, r.TEXT_DIGEST) for r in out.collect()} == {(5, 6)}
+
+
+def test_forest_equals_plain_union():
+    rng = np.random.default_rng(2)
+    forest, label = S.Forest(200), list(range(200))
+    for _ in range(60):
+        a, b = rng.integers(0, 200, (2, 4))
+        forest.link(a, b)
+        for x, y in zip(a, b, strict=True):
+            low, high = sorted((label[x], label[y]))
+            label = [low if v == high else v for v in label]
+        assert forest.label.tolist() == label
+
+
 def test_empty(docs_of):
     assert S.near_duplicates(docs_of(["x"]).limit(0)).count() == 0
     assert S.keep_one(docs_of(["x"]).limit(0)).count() == 0
