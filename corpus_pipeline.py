@@ -15,27 +15,36 @@ from tessera.llm.common import new_path, table
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects (``quality_rules``), all columns.
+
+    A null or wordless text is rejected; repeated rows and rows with null ids are judged each on its own.
+    """
     return quality_rules.filter_quality(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar by 0.8 or more, that with the smallest doc_id."""
+    """One document of each group whose five-word shingles are similar by 0.8 or more, that with the smallest doc_id.
+
+    Copies leave one row; a row with a null doc_id goes if any other row of its group has an id; texts without words are one group.
+    """
     return shingle_dedup.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that no benchmark item is contained in to six tenths of its words or more, its parts in any order.
+
+    A null or empty text or item contains nothing.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text. A null text stays null."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; a null text is the closing id alone."""
     return packing.pack(docs)
 
 
