@@ -1,106 +1,140 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model of each language is trained on its trusted texts (``labels``: good and not toxic), all but every HELD_OUT-th. Counts are tables that are
-sharded by n-gram: raw counts for ORDER characters, continuation counts (in how many different longer n-grams) below, with
-three discounts for each order and language from its counts of counts. The n-grams that occur anywhere in the corpus are
-gathered once each (they are combined within each task first, so a common n-gram costs a row a task), and the count joins,
-order by order, give each its probability. A document's perplexity is the mean over its characters. Scores return to the
-documents in slices of about SLICE n-grams: a slice is broadcast, its size is checked by its count, and with several slices
-the partial sums of a document are added up. A language's threshold is that one of the QUANTILES of the trusted texts that were
-held out for which the share of labelled bad texts (toxic or poor) above it exceeds the share of held-out ones above it by most,
-the higher one of equals. A language without labelled bad texts has the median and FENCE times the spread from it to the 95th
-hundredth, of logarithms.
-
-Characters beyond U+0BFF share 1024 classes, so an n-gram is one 60-bit number. White space counts as one blank; a text starts
-after ORDER - 1 zero characters.
+The model of each language is trained on its trusted texts (``labels``: good and not toxic), all but every HELD_OUT-th. Counts are
+tables that are sharded by n-gram: raw counts for ORDER characters, continuation counts (in how many different longer n-grams)
+below, with three discounts for each order and language from its counts of counts. The n-grams that occur anywhere in the
+corpus are gathered once each (they are combined within each task first, so a common n-gram costs a row a task), and the count
+joins, order by order, give each its probability.
+
+Probabilities return to the documents by a join as well: a block is BLOCK_ROWS rows in a row of a file, its different n-grams
+are joined with their probabilities, and the block's table is written in a place of its own in the shared folder. The task that
+reads a block's documents takes its table from there and adds up. So the documents do not move, nothing passes through the
+driver, and what a task holds is the n-grams of a block. A document's perplexity is the mean over its characters. Documents that
+do not come straight from files are stored first.
+
+A language's threshold is that one of the QUANTILES of the trusted texts that were held out for which the share of labelled bad
+texts (toxic or poor) above it exceeds the share of held-out ones above it by most, the higher one of equals. A language without
+labelled bad texts has the median and FENCE times the spread from it to the 95th hundredth, of logarithms. A document at the
+threshold is kept.
+
+A character is its whole code point (21 bits), an n-gram two numbers: the first two and the last three characters. White space
+counts as one blank; a text starts after ORDER - 1 zero characters.
 
 Defined results: a null or blank text has no characters, a null perplexity, and is kept; a null language is a language; a
-language without trusted texts has no threshold and keeps its documents; repeated rows, and rows with null ids, are scored each
-on its own, in one slice or several (sums are kept by doc_id, language and a hash of the text, and equal rows are counted); empty
-tables give an empty result; other columns are not looked at.
+language without trusted texts has no threshold and keeps its documents; every row is scored on its own, so repeated rows, and
+rows with null or repeated ids, stay as they are; a very long text is read whole; empty tables give an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, settle
+from tessera.llm.common import Tables, file_system, new_path, settle
 
-ORDER, BITS, FENCE, SLICE, HELD_OUT = 5, 12, 4.0, 2_000_000, 5
+ORDER, BITS, FENCE, HELD_OUT = 5, 21, 4.0, 5
+#: Rows of a file whose n-grams share a table.
+BLOCK_ROWS = 16_384
 #: N-grams that a task holds before it passes them on; trusted ids and languages that are broadcast: with more, their joins are shuffled.
-HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 300_000, 4_000_000, 10_000
+HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 1_500_000, 4_000_000, 10_000
 LEAST_SPREAD = 0.02
 #: The quantiles of held-out trusted texts that a threshold is chosen from: one in ten to one in a hundred of them are lost.
 QUANTILES = (0.9, 0.925, 0.95, 0.975, 0.99)
-MASK = (1 << BITS) - 1
+ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+KEY = ["lang", "a", "b"]
 
 
-def codes(text: str | None, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each character."""
+def codes(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each character: its first characters and its last three."""
     joined = " ".join((text or "").split())
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if not len(points):
-        return np.zeros(0, np.int64)
-    folded = np.where(points < 3072, points, 3072 + points % 1024)
-    padded = np.concatenate([np.zeros(order - 1, np.int64), folded])
-    out = np.zeros(len(folded), np.int64)
-    for k in range(order):
-        out = (out << BITS) | padded[k : k + len(folded)]
-    return out
-
-
-def rows_in(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-
+    padded = np.concatenate([np.zeros(order - 1, np.int64), points])
+    parts = [np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)]
+    for k in range(order if len(points) else 0):
+        own = parts[k >= order - 3]
+        own <<= BITS
+        own |= padded[k : k + len(points)]
+    return parts[0], parts[1]
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of n-grams."""
+    with np.errstate(over="ignore"):
+        h = (a.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ b.view(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
+def rows_in(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, lang, text, block)."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")]
+    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block")
+    try:
+        return docs.select(*own, block)
+    except AnalysisException:  # not straight from files
+        return tables.store(docs.select(*own)).select("doc_id", "lang", "text", block)
+
+
+def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal n-grams added up (but for those whose hashes clash, which may stay apart)."""
+    if not len(a):
+        return a, b, n
+    order = np.argsort(mixed(a, b))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.add.reduceat(n, first)
+
+
+def gram_counts(rows: DataFrame, by_block: bool = False) -> DataFrame:
+    """(lang, a, b, n), or by_block (block, lang, a, b): highest-order n-grams, combined within each batch and then by shard."""
 
-def merged(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal n-grams added up."""
-    if not len(g):
-        return g, n
-    order = np.argsort(g, kind="stable")
-    g, n = g[order], n[order]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    return g[first], np.add.reduceat(n, first)
-
-
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, g, n): highest-order n-grams, combined within each batch and then by shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], tuple] = {}
+        size = 0
 
-    def row(lang: str, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(g)), pa.array(g), pa.array(n)], ["lang", "g", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for (block, lang), parts in held.items():
+                a, b, n = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(a)), pa.repeat(pa.scalar(lang, pa.string()), len(a)), pa.array(a), pa.array(b), pa.array(n)], ["block", *KEY, "n"])
+            held.clear()
+            size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[str | None]] = {}
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                g, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for k in range(0, len(texts), 128):  # a bounded number of characters and n-grams is sorted at once
-                    own, count = np.unique(np.concatenate([codes(t) for t in texts[k : k + 128]]), return_counts=True)
-                    g, n = merged(np.concatenate([g, own]), np.concatenate([n, count]))
-                    if len(g) > HELD_GRAMS:
-                        yield row(lang, g, n)
-                        g, n = g[:0], n[:0]
-                yield row(lang, g, n)
+            for lang, text, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                a, b = codes(text)
+                held.setdefault((block if by_block else 0, lang), []).append((a, b, np.ones(len(a), np.int64)))
+                size += len(a)
+                if size > HELD_GRAMS:
+                    for key, parts in held.items():
+                        held[key] = [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if 3 * size > 2 * HELD_GRAMS:
+                        yield from flush()
+        yield from flush()
 
-    return rows.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    found = rows.select("lang", "text", "block").mapInArrow(run, "block long, lang string, a long, b long, n long")
+    return found.groupBy("block", *KEY).agg(F.lit(1).alias("n")).drop("n") if by_block else found.groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
-def suffix(g: Column, order: int) -> Column:
-    """The n-gram without its first character."""
-    return g.bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+def suffix(order: int) -> list[Column]:
+    """The n-gram of ``order`` characters without its first one."""
+    a = F.col("a").bitwiseAND(F.lit(ONE)) if order == 5 else F.lit(0).cast("long")
+    b = F.col("b") if order > 3 else F.col("b").bitwiseAND(F.lit(TWO if order == 3 else ONE))
+    return [a.alias("a"), b.alias("b")]
 
 
-def context(g: Column) -> Column:
-    return F.shiftright(g, BITS)
+def context(order: int) -> list[Column]:
+    """The n-gram without its last character, as (ha, hb)."""
+    b = F.shiftrightunsigned("b", BITS).bitwiseOR(F.shiftleft(F.col("a").bitwiseAND(F.lit(ONE)), 2 * BITS))
+    return [F.shiftrightunsigned("a", BITS).alias("ha"), b.alias("hb")]
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -117,7 +151,7 @@ def discount(n: Column) -> Column:
 
 
 class Model:
-    """Count tables of all orders; ``counts[k]``: (lang, g, n), ``contexts[k]``: (lang, h, total, weight of what was discounted)."""
+    """Count tables of all orders; ``counts[k]``: (lang, a, b, left), ``contexts[k]``: (lang, ha, hb, total, weight of what was discounted)."""
 
     def __init__(self, highest: DataFrame, tables: Tables, order: int = ORDER):
         self.order, self.counts, self.contexts = order, {}, {}
@@ -126,111 +160,123 @@ class Model:
             table = tables.store(table)
             cuts = settle(discounts(table))  # a row a language
             cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
-            self.counts[k] = table.join(cuts, "lang").select("lang", "g", (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
-            self.contexts[k] = self.counts[k].groupBy("lang", context(F.col("g")).alias("h")).agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut"))
+            self.counts[k] = table.join(cuts, "lang").select(*KEY, (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
+            self.contexts[k] = self.counts[k].groupBy("lang", *context(k)).agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut"))
             if k > 1:
-                table = table.groupBy("lang", suffix(F.col("g"), k).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+                table = table.groupBy("lang", *suffix(k)).agg(F.count(F.lit(1)).alias("n"))
         self.sizes = table.groupBy("lang").agg((F.count(F.lit(1)) + 1).cast("double").alias("size"))
 
     def score(self, wanted: DataFrame) -> DataFrame:
-        """(lang, g, p) of highest-order n-grams ``wanted`` (lang, g), by one count join and one context join for each order."""
+        """(lang, a, b, p) of highest-order n-grams ``wanted`` (lang, a, b), by one count join and one context join for each order."""
         sets = {self.order: wanted}
         for k in range(self.order, 1, -1):
-            sets[k - 1] = sets[k].select("lang", suffix(F.col("g"), k).alias("g")).distinct()
+            sets[k - 1] = sets[k].select("lang", *suffix(k)).distinct()
         below = None
         for k in range(1, self.order + 1):
-            grams = sets[k].join(self.counts[k].select("lang", "g", "left"), ["lang", "g"], "left")
-            grams = grams.withColumn("h", context(F.col("g"))).join(self.contexts[k], ["lang", "h"], "left")
+            grams = sets[k].join(self.counts[k].select(*KEY, "left"), KEY, "left")
+            grams = grams.select("*", *context(k)).join(self.contexts[k], ["lang", "ha", "hb"], "left")
             if below is None:
                 grams = grams.join(self.sizes, "lang", "left").withColumn("lower", 1 / F.coalesce("size", F.lit(2.0)))
             else:
-                grams = grams.withColumn("s", suffix(F.col("g"), k)).join(below.select("lang", F.col("g").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
+                shorter = grams.select("*", *(c.alias(n) for c, n in zip(suffix(k), ("sa", "sb"), strict=True)))
+                grams = shorter.join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["lang", "sa", "sb"])
             p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.coalesce("left", F.lit(0.0)) + F.col("cut") * F.col("lower")) / F.col("total"))
-            below = grams.select("lang", "g", p.alias("p"))
+            below = grams.select(*KEY, p.alias("p"))
         return below
 
 
 class Scores:
     """Look-up of n-grams in an open-addressed table; what is not in it counts as zero and is not counted."""
 
-    def __init__(self, g: np.ndarray, logs: np.ndarray):
-        self.bits = max(4, int(1.5 * len(g)).bit_length())
-        self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        at, left = self._home(g), np.arange(len(g))
+    def __init__(self, a: np.ndarray, b: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, int(1.5 * len(a)).bit_length())
+        self.a, self.b, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float32)
+        at, left = self._home(a, b), np.arange(len(a))
         while len(left):
-            free = self.keys[at[left]] == -1
-            self.keys[at[left[free]]] = g[left[free]]  # of several for one place the last stays
-            won = self.keys[at[left]] == g[left]
-            self.logs[at[left[won]]] = logs[left[won]]
-            left = left[~won]
+            free = left[self.a[at[left]] == -1]
+            places, first = np.unique(at[free], return_index=True)  # of several for one place the first stays
+            free = free[first]
+            self.a[places], self.b[places], self.logs[places] = a[free], b[free], logs[free]
+            left = left[(self.a[at[left]] != a[left]) | (self.b[at[left]] != b[left])]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
-    def _home(self, g: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _home(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mixed(a, b) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def sum(self, g: np.ndarray) -> tuple[float, int]:
-        at, found, total = self._home(g), 0, 0.0
-        while len(g):
-            keys = self.keys[at]
-            hit = keys == g
+    def sum(self, a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+        at, found, total = self._home(a, b), 0, 0.0
+        while len(a):
+            own = self.a[at]
+            hit = (own == a) & (self.b[at] == b)
             total += float(self.logs[at[hit]].sum(dtype=np.float64))
             found += int(hit.sum())
-            on = ~hit & (keys != -1)
-            g, at = g[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            on = ~hit & (own != -1)
+            a, b, at = a[on], b[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return total, found
 
 
-def add_up(rows: DataFrame, scores: dict[str, Scores]) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(scores)
+def block_tables(grams: DataFrame, scored: DataFrame) -> str:
+    """Writes (lang, a, b, log_p) of each block's n-grams under block=<number>, and returns where."""
+    path = new_path(grams.sparkSession, "scores")
+    grams.join(scored, KEY).repartition("block").sortWithinPartitions("block", *KEY).write.partitionBy("block").parquet(path)
+    return path
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist()
-            keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
-            sums = [own[lang].sum(codes(text)) if lang in own else (0.0, 0) for lang, text in zip(langs, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array([s for s, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], ["doc_id", "lang", "key", "log_p", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, lang string, key binary, log_p double, n long")
+def load_block(path: str, block: int) -> dict[str, Scores]:
+    """A block's tables, a language each."""
+    from pyarrow import fs
+
+    store, at = file_system(path)
+    found: dict[str, Scores] = {}
+    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{at}/block={block}", allow_not_found=True)) if x.base_name.endswith(".parquet")]
+    if files:
+        rows = pa.concat_tables(pq.ParquetFile(store.open_input_file(x)).read(["lang", "a", "b", "log_p"]) for x in sorted(files)).combine_chunks()
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
+        at, columns = lang.indices.to_numpy(zero_copy_only=False), [rows.column(c).to_numpy() for c in ("a", "b", "log_p")]
+        for k, name in enumerate(lang.dictionary.to_pylist()):
+            found[name] = Scores(*(c[at == k] for c in columns))
+    return found
+
 
+def add_up(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, lang, log_p, n): the sum over a row's characters, with the table of the row's block."""
 
-def joined(parts: list[DataFrame]) -> DataFrame:
-    """The sums of all slices, one row for each row of a slice."""
-    sums = reduce(DataFrame.union, parts).groupBy("doc_id", "lang", "key").agg((F.count(F.lit(1)) / len(parts)).cast("long").alias("copies"), F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
-    each = sums.select("doc_id", "lang", (F.col("log_p") / F.col("copies")).alias("log_p"), (F.col("n") / F.col("copies")).cast("long").alias("n"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("copy"))
-    return each.withColumn("copy", F.explode("copy")).drop("copy")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = None, {}
+        for batch in batches:
+            sums = []
+            for lang, text, block in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if block != known:
+                    known, own = block, load_block(path, block)
+                sums.append(own[lang].sum(*codes(text)) if lang in own else (0.0, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], ["doc_id", "lang", "log_p", "n"])
 
+    return rows.select("doc_id", "lang", "text", "block").mapInArrow(run, "doc_id long, lang string, log_p double, n long")
 
-def document_scores(docs: DataFrame, labels: DataFrame, slice_: int = SLICE) -> DataFrame:
-    """(doc_id, lang, held_out, n_chars, perplexity)."""
-    rows = rows_in(docs)
+
+def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, held_out, n_chars, perplexity), a row for each row of ``docs``, stored."""
+    tables, texts = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    rows = rows_in(docs, texts)
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     learnt = good.where(~held_out)
     if learnt.count() <= BROADCAST_IDS:
         learnt = F.broadcast(learnt)
-    tables = Tables(docs.sparkSession)
     model = Model(gram_counts(rows.join(learnt, "doc_id", "left_semi")), tables)
-    wanted = tables.store(gram_counts(rows).select("lang", "g"))
-    scored = settle(model.score(wanted).select("lang", "g", F.log("p").cast("float").alias("log_p")))
+    wanted = tables.store(gram_counts(rows).select(*KEY))
+    scored = tables.store(model.score(wanted).select(*KEY, F.log("p").cast("float").alias("log_p")))
+    texts.paths.append(path := block_tables(gram_counts(rows, by_block=True), scored))
     tables.clear()
-    n = max(1, -(-scored.count() // slice_))
-    parts = []
-    for k in range(n):
-        picked = scored.where(F.pmod(F.xxhash64("lang", "g"), F.lit(n)) == k).toArrow().combine_chunks()
-        lang, g, logs = picked.column("lang").combine_chunks().dictionary_encode(), picked.column("g").to_numpy(), picked.column("log_p").to_numpy()
-        at = lang.indices.to_numpy(zero_copy_only=False) if picked.num_rows else np.zeros(0, np.int64)
-        parts.append(add_up(rows, {x: Scores(g[at == i], logs[at == i]) for i, x in enumerate(lang.dictionary.to_pylist())}))
-    sums = parts[0] if n == 1 else joined(parts)
-    marked = sums.join(good.where(held_out).withColumn("held_out", F.lit(True)), "doc_id", "left")
-    return marked.select("doc_id", "lang", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity"))
+    marked = add_up(rows, path).join(good.where(held_out).withColumn("held_out", F.lit(True)), "doc_id", "left")
+    out = settle(marked.select("doc_id", "lang", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")))
+    texts.clear()
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept: one row for each row of ``docs``."""
-    scores = settle(document_scores(docs, labels))
+    scores = document_scores(docs, labels)
     marked = scores.withColumn("log", F.log("perplexity")).where("log IS NOT NULL")
     logs = marked.where("held_out").groupBy("lang").agg(F.percentile_approx("log", [0.5, 0.95, *QUANTILES], 10_000).alias("q"))
     bad = labels.where("toxic = 1 OR quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import file_system, new_path
 
 FRAME, BUNDLE, LEVEL = 1 << 20, 256 << 20, 3
 LEAST_REVISIT = 100
@@ -37,13 +37,6 @@ DATE = "1970-01-01T00:00:00Z"  # records carry no crawl time; a fixed one keeps
 INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long"
 
 
-def file_system(path: str):
-    """Any store that pyarrow opens by its address, and the path within it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class BundleWriter:
     """One bundle: frames are closed when full; ``add`` gives a record's frame and its offset in it."""
 

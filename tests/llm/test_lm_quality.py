@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from tessera.llm import lm_quality as L
 
 
+def brute_grams(text, order=L.ORDER):
+    padded = chr(0) * (order - 1) + " ".join((text or "").split())
+    return [padded[k : k + order] for k in range(len(padded) - order + 1)]
+
+
 def brute_model(texts, order=L.ORDER):
-    """Interpolated modified Kneser-Ney over folded characters, written down plainly."""
-    grams = Counter(int(g) for t in texts for g in L.codes(t, order))
-    counts = {order: grams}
+    """Interpolated modified Kneser-Ney over strings of characters, written down plainly."""
+    counts = {order: Counter(g for t in texts for g in brute_grams(t, order))}
     for k in range(order, 1, -1):
-        counts[k - 1] = Counter(g & ((1 << (12 * (k - 1))) - 1) for g in counts[k])
+        counts[k - 1] = Counter(g[1:] for g in counts[k])
     model = {}
     for k in range(1, order + 1):
         n = [sum(1 for c in counts[k].values() if c == j) for j in range(5)]
@@ -24,8 +28,8 @@ def brute_model(texts, order=L.ORDER):
             d = [0, 0.5, 0.5, 0.5]
         total, cut = Counter(), Counter()
         for g, c in counts[k].items():
-            total[g >> 12] += c
-            cut[g >> 12] += d[min(c, 3)]
+            total[g[:-1]] += c
+            cut[g[:-1]] += d[min(c, 3)]
         model[k] = counts[k], d, total, cut
     size = len(counts[1]) + 1
 
@@ -33,8 +37,7 @@ def brute_model(texts, order=L.ORDER):
         if k == 0:
             return 1 / size
         c, d, total, cut = model[k]
-        lower = p(g & ((1 << (12 * (k - 1))) - 1), k - 1)
-        h = g >> 12
+        lower, h = p(g[1:], k - 1), g[:-1]
         if not total[h]:
             return lower
         left = c[g] - d[min(c[g], 3)] if g in c else 0
@@ -45,7 +48,7 @@ def brute_model(texts, order=L.ORDER):
 
 def test_scores_equal_brute_force(spark, docs_of, awkward):
     r = np.random.default_rng(3)
-    rows = [(k, " ".join(r.choice(["the", "cat", "sat", "on", "mats", "é日"], r.integers(3, 30)))) for k in range(60)] + [(100 + k, t) for k, (_, t) in enumerate(awkward) if t is None or len(t) < 10_000]
+    rows = [(k, " ".join(r.choice(["the", "cat", "sat", "on", "mats", "é日", "語本漢字", "ქართული", "\U0001f600"], r.integers(3, 30)))) for k in range(60)] + [(100 + k, t) for k, (_, t) in enumerate(awkward) if t is None or len(t) < 10_000]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
     scored = L.document_scores(docs_of(rows), labels).collect()
     held = {x.doc_id for x in scored if x.held_out}
@@ -54,14 +57,12 @@ def test_scores_equal_brute_force(spark, docs_of, awkward):
     by_id = dict(rows)
     assert len(scored) == len(rows)
     for x in scored:
-        g = L.codes(by_id[x.doc_id])
+        g = brute_grams(by_id[x.doc_id])
         assert x.n_chars == len(g)
         if len(g):
-            assert x.perplexity == pytest.approx(math.exp(-sum(math.log(p(int(c))) for c in g) / len(g)), rel=1e-4)
+            assert x.perplexity == pytest.approx(math.exp(-sum(math.log(p(c)) for c in g) / len(g)), rel=1e-4)
         else:
             assert x.perplexity is None
-    sliced = {x.doc_id: x.perplexity for x in L.document_scores(docs_of(rows), labels, slice_=200).collect()}
-    assert sliced == pytest.approx({x.doc_id: x.perplexity for x in scored}, rel=1e-9) if None not in sliced.values() else all(sliced[x.doc_id] == pytest.approx(x.perplexity, rel=1e-9) for x in scored if x.perplexity)
 
 
 def test_keeps_clean_and_rejects_junk(spark, docs_of):
@@ -82,11 +83,19 @@ def test_without_labels_or_documents(spark, docs_of):
 
 def test_lookup_table():
     r = np.random.default_rng(1)
-    g = np.unique(r.integers(0, 2**60, 5000))
-    s = L.Scores(g, np.arange(len(g), dtype=np.float32))
-    total, found = s.sum(np.concatenate([g[10:20], g[10:12], r.integers(0, 2**60, 100)]))
+    g = np.unique(r.integers(0, 2**42, (5000, 2)) // [[1, 2**20]], axis=0)
+    a, b = g[:, 0].copy(), g[:, 1].copy()
+    s = L.Scores(a, b, np.arange(len(a), dtype=np.float32))
+    other = r.integers(0, 2**42, (2, 100))
+    total, found = s.sum(np.concatenate([a[10:20], a[10:12], other[0]]), np.concatenate([b[10:20], b[10:12], other[1]]))
     assert found == 12 and total == sum(range(10, 20)) + 10 + 11
-    assert L.Scores(g[:0], np.zeros(0, np.float32)).sum(g[:5]) == (0.0, 0)
+    assert L.Scores(a[:0], b[:0], np.zeros(0, np.float32)).sum(a[:5], b[:5]) == (0.0, 0)
+
+
+def test_codes_are_whole_characters():
+    a, b = L.codes("日本語 \U0001f600x")
+    back = [[chr(x >> 21), chr(x & L.ONE), chr(y >> 42), chr(y >> 21 & L.ONE), chr(y & L.ONE)] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert ["".join(g) for g in back] == brute_grams("日本語 \U0001f600x")
 
 
 def test_threshold_rejects_labelled_toxic_texts(spark):
@@ -98,11 +107,16 @@ def test_threshold_rejects_labelled_toxic_texts(spark):
     assert sum(not x.kept for x in clean) <= 0.1 * len(clean)
 
 
-def test_slices_keep_rows_with_null_or_repeated_ids(spark, docs_of):
+def test_every_row_comes_back_whatever_the_blocks(spark, docs_of, monkeypatch, tmp_path):
+    """Null and repeated ids, one block or many, from files or not: a row for a row and the same scores."""
     rows = [(k, "the cat sat on the mat and ran") for k in range(20)] + [(None, "one text"), (None, "another longer text"), (None, "another longer text"), (3, "a second text of three"), (4, "the cat sat on the mat and ran"), (None, None)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int")
     order = lambda x: (x.doc_id is None, x.doc_id or 0, x.n_chars, x.perplexity or 0.0)
-    one, many = (sorted(L.document_scores(docs_of(rows), labels, slice_=n).collect(), key=order) for n in (L.SLICE, 20))
+    docs_of(rows).write.parquet(str(tmp_path / "docs"))
+    one = sorted(L.document_scores(docs_of(rows), labels).collect(), key=order)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(L, "HELD_GRAMS", 40)
+    many = sorted(L.document_scores(spark.read.parquet(str(tmp_path / "docs")), labels).collect(), key=order)
     assert len(one) == len(many) == len(rows)
     for x, y in zip(one, many, strict=True):
         assert (x.doc_id, x.n_chars) == (y.doc_id, y.n_chars) and (x.perplexity or 0.0) == pytest.approx(y.perplexity or 0.0, rel=1e-9)
