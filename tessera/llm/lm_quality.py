@@ -17,6 +17,11 @@ texts (toxic or poor) above it exceeds the share of held-out ones above it by mo
 labelled bad texts has the median and FENCE times the spread from it to the 95th hundredth, of logarithms. A document at the
 threshold is kept.
 
+Toxic texts may be made of a language's most common n-grams. So a second model of the same kind is trained on the labelled toxic
+texts (all but every HELD_OUT-th), each n-gram has its probability under both, and a document's contrast is how much likelier a
+character of it is under the second. Its threshold is found in the same way among the CONTRASTS of held-out trusted texts, with
+the toxic texts that were held out; a language without such texts has none.
+
 A character is its whole code point (21 bits), an n-gram two numbers: the first two and the last three characters. White space
 counts as one blank; a text starts after ORDER - 1 zero characters.
 
@@ -47,6 +52,7 @@ HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 1_500_000, 4_000_000, 10_000
 LEAST_SPREAD = 0.02
 #: The quantiles of held-out trusted texts that a threshold is chosen from: one in ten to one in a hundred of them are lost.
 QUANTILES = (0.9, 0.925, 0.95, 0.975, 0.99)
+CONTRASTS = (0.95, 0.975, 0.99, 0.995)
 ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 KEY = ["lang", "a", "b"]
 
@@ -188,35 +194,37 @@ class Model:
 class Scores:
     """Look-up of n-grams in an open-addressed table; what is not in it counts as zero and is not counted."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, logs: np.ndarray):
+    def __init__(self, a: np.ndarray, b: np.ndarray, *logs: np.ndarray):
         self.bits = max(4, int(1.5 * len(a)).bit_length())
-        self.a, self.b, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.a, self.b, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros((1 << self.bits, len(logs)), np.float32)
+        values = np.stack(logs, axis=1)
         at, left = self._home(a, b), np.arange(len(a))
         while len(left):
             free = left[self.a[at[left]] == -1]
             places, first = np.unique(at[free], return_index=True)  # of several for one place the first stays
             free = free[first]
-            self.a[places], self.b[places], self.logs[places] = a[free], b[free], logs[free]
+            self.a[places], self.b[places], self.logs[places] = a[free], b[free], values[free]
             left = left[(self.a[at[left]] != a[left]) | (self.b[at[left]] != b[left])]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
     def _home(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (mixed(a, b) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def sum(self, a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-        at, found, total = self._home(a, b), 0, 0.0
+    def sum(self, a: np.ndarray, b: np.ndarray) -> tuple[float, ...]:
+        """The sums of the logarithms, and how many n-grams there are."""
+        at, found, total = self._home(a, b), 0, np.zeros(self.logs.shape[1])
         while len(a):
             own = self.a[at]
             hit = (own == a) & (self.b[at] == b)
-            total += float(self.logs[at[hit]].sum(dtype=np.float64))
+            total += self.logs[at[hit]].sum(axis=0, dtype=np.float64)
             found += int(hit.sum())
             on = ~hit & (own != -1)
             a, b, at = a[on], b[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return total, found
+        return *total.tolist(), found
 
 
 def block_tables(grams: DataFrame, scored: DataFrame) -> str:
-    """Writes (lang, a, b, log_p) of each block's n-grams under block=<number>, and returns where."""
+    """Writes (lang, a, b, log_p, log_q) of each block's n-grams under block=<number>, and returns where."""
     path = new_path(grams.sparkSession, "scores")
     grams.join(scored, KEY).repartition("block").sortWithinPartitions("block", *KEY).write.partitionBy("block").parquet(path)
     return path
@@ -230,16 +238,16 @@ def load_block(path: str, block: int) -> dict[str, Scores]:
     found: dict[str, Scores] = {}
     files = [x.path for x in store.get_file_info(fs.FileSelector(f"{at}/block={block}", allow_not_found=True)) if x.base_name.endswith(".parquet")]
     if files:
-        rows = pa.concat_tables(pq.ParquetFile(store.open_input_file(x)).read(["lang", "a", "b", "log_p"]) for x in sorted(files)).combine_chunks()
+        rows = pa.concat_tables(pq.ParquetFile(store.open_input_file(x)).read(["lang", "a", "b", "log_p", "log_q"]) for x in sorted(files)).combine_chunks()
         lang = rows.column("lang").combine_chunks().dictionary_encode()
-        at, columns = lang.indices.to_numpy(zero_copy_only=False), [rows.column(c).to_numpy() for c in ("a", "b", "log_p")]
+        at, columns = lang.indices.to_numpy(zero_copy_only=False), [rows.column(c).to_numpy() for c in ("a", "b", "log_p", "log_q")]
         for k, name in enumerate(lang.dictionary.to_pylist()):
             found[name] = Scores(*(c[at == k] for c in columns))
     return found
 
 
 def add_up(rows: DataFrame, path: str) -> DataFrame:
-    """(doc_id, lang, log_p, n): the sum over a row's characters, with the table of the row's block."""
+    """(doc_id, lang, log_p, log_q, n): the sums over a row's characters, with the table of the row's block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = None, {}
@@ -248,43 +256,58 @@ def add_up(rows: DataFrame, path: str) -> DataFrame:
             for lang, text, block in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if block != known:
                     known, own = block, load_block(path, block)
-                sums.append(own[lang].sum(*codes(text)) if lang in own else (0.0, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], ["doc_id", "lang", "log_p", "n"])
+                sums.append(own[lang].sum(*codes(text)) if lang in own else (0.0, 0.0, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in sums], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], ["doc_id", "lang", "log_p", "log_q", "n"])
 
-    return rows.select("doc_id", "lang", "text", "block").mapInArrow(run, "doc_id long, lang string, log_p double, n long")
+    return rows.select("doc_id", "lang", "text", "block").mapInArrow(run, "doc_id long, lang string, log_p double, log_q double, n long")
 
 
 def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, held_out, n_chars, perplexity), a row for each row of ``docs``, stored."""
+    """(doc_id, lang, sort, held_out, n_chars, perplexity, contrast), a row for each row of ``docs``, stored.
+
+    ``sort``: good, toxic, poor or null by the labels; ``held_out``: no model has learnt from it.
+    """
     tables, texts = Tables(docs.sparkSession), Tables(docs.sparkSession)
     rows = rows_in(docs, texts)
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    learnt = good.where(~held_out)
-    if learnt.count() <= BROADCAST_IDS:
-        learnt = F.broadcast(learnt)
-    model = Model(gram_counts(rows.join(learnt, "doc_id", "left_semi")), tables)
+    sort = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), sort.alias("sort")).where("sort IS NOT NULL").groupBy("doc_id").agg(F.max("sort").alias("sort"))
+    labelled = labelled.withColumn("held_out", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0) | (F.col("sort") == "poor"))
+    small = labelled.count() <= BROADCAST_IDS
+
+    def learnt(what: str) -> DataFrame:
+        ids = labelled.where((F.col("sort") == what) & ~F.col("held_out")).select("doc_id")
+        return gram_counts(rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"))
+
+    trusted, toxic = Model(learnt("good"), tables), Model(learnt("toxic"), tables)
     wanted = tables.store(gram_counts(rows).select(*KEY))
-    scored = tables.store(model.score(wanted).select(*KEY, F.log("p").cast("float").alias("log_p")))
+    p, q = (m.score(wanted).select(*KEY, F.log("p").cast("float").alias(n)) for m, n in ((trusted, "log_p"), (toxic, "log_q")))
+    scored = tables.store(p.join(q, KEY))
     texts.paths.append(path := block_tables(gram_counts(rows, by_block=True), scored))
+    known = settle(toxic.sizes.select("lang", F.lit(True).alias("known")))
     tables.clear()
-    marked = add_up(rows, path).join(good.where(held_out).withColumn("held_out", F.lit(True)), "doc_id", "left")
-    out = settle(marked.select("doc_id", "lang", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity")))
+    marked = add_up(rows, path).join(labelled, "doc_id", "left").join(known, "lang", "left")
+    contrast = F.when((F.col("n") > 0) & F.col("known"), (F.col("log_q") - F.col("log_p")) / F.col("n"))
+    out = settle(marked.select("doc_id", "lang", "sort", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))).alias("perplexity"), contrast.alias("contrast")))
     texts.clear()
     return out
 
 
+def limits(scores: DataFrame, value: str, bad: Column, quantiles: tuple[float, ...], fence: float | None) -> DataFrame:
+    """(lang, limit of ``value``): the quantile of held-out good texts that parts them best from ``bad`` ones."""
+    marked = scores.where(F.col(value).isNotNull()).withColumn("good", F.col("held_out") & (F.col("sort") == "good")).withColumn("bad", bad).where("good OR bad")
+    found = marked.where("good").groupBy("lang").agg(F.percentile_approx(value, [0.5, 0.95, *quantiles], 10_000).alias("q"))
+    above = lambda k, side: F.avg(F.when(F.col(side), (F.col(value) > F.col("q")[2 + k]).cast("double")))
+    gains = [F.struct((above(k, "bad") - above(k, "good")).alias("gain"), F.first(F.col("q")[2 + k]).alias("limit")) for k in range(len(quantiles))]
+    chosen = marked.join(found, "lang").groupBy("lang").agg(F.array_max(F.array(*gains)).alias("best"))
+    fenced = F.col("q")[0] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)) if fence is not None else F.lit(None).cast("double")
+    return found.join(chosen, "lang").select("lang", F.when(F.col("best.gain").isNull(), fenced).otherwise(F.col("best.limit")).alias("limit"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, kept: one row for each row of ``docs``."""
+    """doc_id, lang, n_chars, perplexity, threshold, contrast, contrast_threshold, kept: one row for each row of ``docs``."""
     scores = document_scores(docs, labels)
-    marked = scores.withColumn("log", F.log("perplexity")).where("log IS NOT NULL")
-    logs = marked.where("held_out").groupBy("lang").agg(F.percentile_approx("log", [0.5, 0.95, *QUANTILES], 10_000).alias("q"))
-    bad = labels.where("toxic = 1 OR quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    marked = marked.where("held_out").select("lang", "log", F.lit(False).alias("bad")).union(marked.where("NOT held_out").join(bad, "doc_id", "left_semi").select("lang", "log", F.lit(True)))
-    above = lambda k, bad: F.avg(F.when(F.col("bad") == bad, (F.col("log") > F.col("q")[2 + k]).cast("double")))
-    gains = [F.struct((above(k, True) - above(k, False)).alias("gain"), F.first(F.col("q")[2 + k]).alias("limit")) for k in range(len(QUANTILES))]
-    chosen = marked.join(logs, "lang").groupBy("lang").agg(F.array_max(F.array(*gains)).alias("best"))
-    fenced = F.col("q")[0] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
-    limits = settle(logs.join(chosen, "lang").select("lang", F.when(F.col("best.gain").isNull(), fenced).otherwise(F.col("best.limit")).alias("limit")))
-    kept = F.coalesce(F.log("perplexity") <= F.col("limit"), F.lit(True))
-    return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", F.exp("limit").alias("threshold"), kept.alias("kept"))
+    by_p = limits(scores.withColumn("log", F.log("perplexity")), "log", F.col("sort").isin("toxic", "poor"), QUANTILES, fence).select("lang", F.exp("limit").alias("threshold"))
+    by_q = limits(scores, "contrast", (F.col("sort") == "toxic") & F.col("held_out"), CONTRASTS, None).select("lang", F.col("limit").alias("contrast_threshold"))
+    cuts = settle(by_p.join(by_q, "lang", "full"))  # a row a language
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold") * (1 + 1e-12), F.lit(True)) & F.coalesce(F.col("contrast") <= F.col("contrast_threshold"), F.lit(True))
+    return scores.join(cuts, "lang", "left").select("doc_id", "lang", "n_chars", "perplexity", "threshold", "contrast", "contrast_threshold", kept.alias("kept"))

@@ -49,11 +49,12 @@ def brute_model(texts, order=L.ORDER):
 def test_scores_equal_brute_force(spark, docs_of, awkward):
     r = np.random.default_rng(3)
     rows = [(k, " ".join(r.choice(["the", "cat", "sat", "on", "mats", "é日", "語本漢字", "ქართული", "\U0001f600"], r.integers(3, 30)))) for k in range(60)] + [(100 + k, t) for k, (_, t) in enumerate(awkward) if t is None or len(t) < 10_000]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, int(k >= 40)) for k in range(60)], "doc_id long, quality int, toxic int")
     scored = L.document_scores(docs_of(rows), labels).collect()
-    held = {x.doc_id for x in scored if x.held_out}
+    held = {x.doc_id for x in scored if x.held_out and x.sort == "good"}
     assert 0 < len(held) < 40
     p = brute_model([t for i, t in rows if i < 40 and i not in held])
+    q = brute_model([t for i, t in rows if 40 <= i < 60 and i not in {x.doc_id for x in scored if x.held_out}])
     by_id = dict(rows)
     assert len(scored) == len(rows)
     for x in scored:
@@ -61,8 +62,9 @@ def test_scores_equal_brute_force(spark, docs_of, awkward):
         assert x.n_chars == len(g)
         if len(g):
             assert x.perplexity == pytest.approx(math.exp(-sum(math.log(p(c)) for c in g) / len(g)), rel=1e-4)
+            assert x.contrast == pytest.approx(sum(math.log(q(c)) - math.log(p(c)) for c in g) / len(g), abs=1e-4)
         else:
-            assert x.perplexity is None
+            assert x.perplexity is None and x.contrast is None
 
 
 def test_keeps_clean_and_rejects_junk(spark, docs_of):
@@ -120,3 +122,16 @@ def test_every_row_comes_back_whatever_the_blocks(spark, docs_of, monkeypatch, t
     assert len(one) == len(many) == len(rows)
     for x, y in zip(one, many, strict=True):
         assert (x.doc_id, x.n_chars) == (y.doc_id, y.n_chars) and (x.perplexity or 0.0) == pytest.approx(y.perplexity or 0.0, rel=1e-9)
+
+
+def test_contrast_finds_toxic_texts_of_common_n_grams(spark, docs_of):
+    """Toxic texts made of the language's own syllables: no perplexity tells them, the contrast does."""
+    r = np.random.default_rng(6)
+    syllables = ["an", "der", "lich", "keit", "ung", "ver", "be", "ein"]
+    word = lambda first: first + "".join(r.choice(syllables, 2))
+    clean = lambda: " ".join(word(r.choice(syllables[:6])) for _ in range(120))
+    toxic = lambda: " ".join(word("bebe" if r.random() < 0.25 else r.choice(syllables[:6])) for _ in range(120))
+    rows = [(k, clean()) for k in range(300)] + [(300 + k, toxic()) for k in range(100)]
+    labels = spark.createDataFrame([(k, 1, int(k >= 300)) for k in range(400) if k % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in L.classify(docs_of(rows), labels).collect()}
+    assert sum(not got[k] for k in range(300, 400, 2)) >= 45 and sum(got[k] for k in range(0, 300, 2)) >= 135
