@@ -14,11 +14,20 @@ same one). The corpus is sharded so that equal strings meet, and each shard's su
    sorted with their common prefixes. Suffixes that share MATCH bytes lie together; all but the earliest of them repeat.
 4. Repeated windows return to their documents, whose bytes are marked and cut.
 
+A line that very many documents share among other words is one anchor with as many contexts. Anchors are counted by class of
+their hash (HOT_CLASSES of them) on a sixteenth of the documents; those of a class that is far too full are hot, and what they
+stand for is dealt by the windows' own hashes and not by the anchor's. In each task and in each shard only the earliest of equal
+windows goes on. So a hot anchor is spread evenly, and the result does not depend on which anchors are hot.
+
+Equal means here: equal in two 64-bit hashes, of the anchor's string and of the context or window. Texts that differ pass for
+equal with a probability of 2^-64 for each two contexts under one anchor: for 10^12 of them below 10^-7 unless anchors are hot, and
+for 10^8 contexts under each of ten hot anchors below 0.003. What goes to suffix sorting is compared byte by byte.
+
 Texts move once (by document; both uses read the same exchange). Whole-text suffix sorting would cost more than ten times the
 input in positions alone; see the README.
 
 Defined results: a null text is empty; rows that repeat a doc_id are one document, and each gets its result (if their texts
-differ, what repeats in one counts in each); a null doc_id comes after all others, ordered by the text's hash; an empty
+differ, what repeats in one counts in each); a very long text is read in slabs, but held once; a null doc_id comes after all others, ordered by the text's hash; an empty
 table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
@@ -41,6 +50,8 @@ MATCH, GRAM = 100, 36
 BEFORE = MATCH - GRAM
 #: Bytes that are hashed at once, and shards a shuffle partition gets.
 SLAB, SHARDS_EACH = 1 << 20, 4
+#: Bytes of documents for each shuffle partition, classes of anchor hashes, a document in so many is counted, and how many contexts a class has at least to be hot.
+PART_BYTES, HOT_CLASSES, HOT_SAMPLE, HOT = 64 << 20, 1 << 16, 16, 256
 #: Document keys from here on stand for null ids.
 NULL_KEY = 1 << 62
 _BASE = 0xD6E8FEB86659FD93
@@ -66,11 +77,18 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def hot_class(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - HOT_CLASSES.bit_length() + 1)).astype(np.int64)
+
+
 class Anchors:
     """Anchors of the windows that start in some stretches of texts, with the hashes of their grams and contexts."""
 
-    def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray):
-        """``data`` holds the stretches side by side; windows start in [first, last); the texts reach over [low, high)."""
+    def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, hot: np.ndarray | None = None):
+        """``data`` holds the stretches side by side; windows start in [first, last); the texts reach over [low, high).
+
+        Anchors of ``hot`` classes are left out; the windows that have them are in ``window``: (stretch, start, anchor's hash, own hash).
+        """
         n = len(data)
         up, down = powers(n + 1)
         with np.errstate(over="ignore"):
@@ -87,7 +105,15 @@ class Anchors:
         starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         at = (np.uint64(2**28 - 1) - (least[starts] & np.uint64(2**28 - 1))).astype(np.int64)
         new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-        self.at, self.stretch = at[new], np.repeat(np.arange(len(first)), count)[new]
+        stretch = np.repeat(np.arange(len(first)), count)
+        self.window = None
+        if hot is not None and len(at):
+            mine = hot[hot_class(grams[at])]
+            with np.errstate(over="ignore"):
+                own = mix((sums[starts[mine] + MATCH] - sums[starts[mine]]) * down[starts[mine]])
+            self.window = stretch[mine], starts[mine], grams[at[mine]], own
+            new &= ~mine
+        self.at, self.stretch = at[new], stretch[new]
         lo, hi = np.maximum(self.at - BEFORE, low[self.stretch]), np.minimum(self.at + MATCH, high[self.stretch])
         self.hash = grams[self.at]
         with np.errstate(over="ignore"):
@@ -113,9 +139,9 @@ def slabs(offsets: np.ndarray, size: int = SLAB) -> Iterator[list[tuple[int, int
         yield out
 
 
-def batch_anchors(data: np.ndarray, offsets: np.ndarray, size: int = SLAB) -> tuple[np.ndarray, ...]:
-    """(text, position in it, gram hash, context hash) of all anchors of a batch of texts, each once."""
-    found = []
+def batch_anchors(data: np.ndarray, offsets: np.ndarray, size: int = SLAB, hot: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(text, position in it, gram hash, context hash) of all anchors of a batch of texts, each once, and (text, start, gram hash, own hash) of the windows of hot ones."""
+    found, windows = [], []
     for group in slabs(offsets, size):
         lo = np.array([offsets[k] + max(0, a - BEFORE) for k, a, _ in group])
         hi = np.array([min(offsets[k + 1], offsets[k] + b + BEFORE + MATCH) for k, _, b in group])
@@ -125,16 +151,22 @@ def batch_anchors(data: np.ndarray, offsets: np.ndarray, size: int = SLAB) -> tu
         shift = where[:-1] - lo
         first = np.array([offsets[k] + a for k, a, _ in group]) + shift
         last = np.array([offsets[k] + b for k, _, b in group]) + shift
-        a = Anchors(own, first, last, where[:-1], where[1:])
-        text = np.array([k for k, *_ in group])[a.stretch]
+        a = Anchors(own, first, last, where[:-1], where[1:], hot)
+        texts = np.array([k for k, *_ in group])
+        if a.window is not None and len(a.window[0]):
+            w = a.window
+            windows.append((texts[w[0]], w[1] - shift[w[0]] - offsets[texts[w[0]]], w[2], w[3]))
+        text = texts[a.stretch]
         found.append((text, a.at - shift[a.stretch] - offsets[text], a.hash, a.context))
+    nothing = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    windows = tuple(np.concatenate(x) for x in zip(*windows, strict=True)) if windows else nothing
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return nothing, windows
     text, at, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((at, text))
     new = np.ones(len(order), bool)
     new[1:] = (text[order][1:] != text[order][:-1]) | (at[order][1:] != at[order][:-1])
-    return tuple(x[order][new] for x in (text, at, h, c))
+    return tuple(x[order][new] for x in (text, at, h, c)), windows
 
 
 # --- packed arrays that travel as binary columns --------------------------------------------------------------------------
@@ -163,7 +195,7 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
 PLACES = ("<i8", "<u4")  # document key, position
 ANCHORS = (*PLACES, "<u8", "<u8")
 ROWS = "kind int, bucket int, blob binary"
-SETTLED, ANCHOR, OPEN, RANGE = 0, 1, 2, 3
+SETTLED, ANCHOR, OPEN, RANGE, HOT_WINDOW = 0, 1, 2, 3, 4
 
 
 def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -219,35 +251,71 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", stand_in).alias("key"), "text")
 
 
-def find_anchors(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
+def repeated_windows(key: np.ndarray, at: np.ndarray, later: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """The windows ``later`` (indices, in any order) as covered stretches."""
+    order = later[np.lexsort((at[later], key[later]))]
+    own, first, last = ranges(key[order], at[order].astype(np.int64))
+    return dealt(RANGE, doc_bucket(own, buckets), True, own, first.astype("<u4"), last.astype("<u4"))
+
+
+def hot_classes(rows: DataFrame) -> np.ndarray | None:
+    """Which classes of anchors have far more contexts than others; None if none has. At most HOT_CLASSES counts come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (_, _, h, c), _ = batch_anchors(*batch_bytes(batch.column(0)))
+            order = np.lexsort((c, h))
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])][: len(order)]
+            own, n = np.unique(hot_class(h[order][new]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["class", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    counts = {r["class"]: r["n"] for r in sample.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    hot = [k for k, n in counts.items() if n > max(HOT, 4 * sum(counts.values()) // HOT_CLASSES)]
+    if not hot:
+        return None
+    out = np.zeros(HOT_CLASSES, bool)
+    out[hot] = True
+    return out
+
+
+def find_anchors(rows: DataFrame, shards: int, buckets: int, hot: np.ndarray | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, (data, offsets) = key_array(batch.column(0)), batch_bytes(batch.column(1))
-            text, at, h, c = batch_anchors(data, offsets)
+            (text, at, h, c), (w_text, w_at, w_h, w) = batch_anchors(data, offsets, hot=hot)
             key, at = keys[text], at.astype(np.uint32)
             first, later = settle_contexts(key, at, h, c)
             out = dealt(ANCHOR, (h[first] % np.uint64(shards)).astype(np.int64), False, key[first], at[first], h[first], c[first])
-            yield rows_of(out + dealt(SETTLED, doc_bucket(key[later], buckets), True, key[later], at[later]))
+            out += dealt(SETTLED, doc_bucket(key[later], buckets), True, key[later], at[later])
+            if len(w):
+                key, at = keys[w_text], w_at.astype(np.uint32)
+                first, later = settle_contexts(key, at, w_h, w)
+                out += dealt(HOT_WINDOW, (w[first] % np.uint64(shards)).astype(np.int64), False, key[first], at[first], w_h[first], w[first])
+                out += repeated_windows(key, at, later, buckets)
+            yield rows_of(out)
 
     return rows.mapInArrow(run, ROWS)
 
 
 def meet(anchors: DataFrame, buckets: int) -> DataFrame:
-    """Per hash: later occurrences of a context are settled; first ones of different contexts are open, to be compared."""
+    """Per hash: later occurrences of a context are settled; first ones of different contexts are open, to be compared. Later ones of a hot anchor's windows are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts = {ANCHOR: [], HOT_WINDOW: []}
         for batch in batches:
             done = []
             for kind, bucket, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if kind == ANCHOR:
-                    parts.append(unpacked(blob, *ANCHORS))
+                if kind in parts:
+                    parts[kind].append(unpacked(blob, *ANCHORS))
                 else:
                     done.append((kind, bucket, blob))
             yield rows_of(done)
-        if parts:
-            key, at, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
+        if parts[HOT_WINDOW]:
+            key, at, h, w = (np.concatenate(x) for x in zip(*parts.pop(HOT_WINDOW), strict=True))
+            yield rows_of(repeated_windows(key, at, settle_contexts(key, at, h, w)[1], buckets))
+        if parts[ANCHOR]:
+            key, at, h, c = (np.concatenate(x) for x in zip(*parts.pop(ANCHOR), strict=True))
             first, later = settle_contexts(key, at, h, c)
             mine = h[first]  # in order
             several = np.zeros(len(first), bool)
@@ -257,7 +325,7 @@ def meet(anchors: DataFrame, buckets: int) -> DataFrame:
             yield rows_of(dealt(SETTLED, doc_bucket(key[later], buckets), True, key[later], at[later]))
             yield rows_of(dealt(OPEN, doc_bucket(key[left], buckets), True, key[left], at[left], h[left]))
 
-    return anchors.repartition("kind", "bucket").mapInArrow(run, ROWS)
+    return anchors.repartition(buckets // SHARDS_EACH, "kind", "bucket").mapInArrow(run, ROWS)
 
 
 def by_document(rows: DataFrame, *kinds: str) -> DataFrame:
@@ -397,7 +465,7 @@ def compare(contexts: DataFrame, buckets: int) -> DataFrame:
             key, first, last = ranges(*repeated_starts(parts))
             yield rows_of(dealt(RANGE, doc_bucket(key, buckets), True, key, first.astype("<u4"), last.astype("<u4")))
 
-    return contexts.repartition("bucket").mapInArrow(run, ROWS)
+    return contexts.repartition(buckets // SHARDS_EACH, "bucket").mapInArrow(run, ROWS)
 
 
 def cover(n: int, settled: bytes | None, found: bytes | None) -> np.ndarray:
@@ -429,11 +497,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(key, text, settled, found) for each row: its text and the packed marks of its repeated windows."""
     rows = keyed(docs)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = buckets = SHARDS_EACH * n
-    met = settle(meet(find_anchors(rows, shards, buckets), buckets))
-    texts = rows.repartition("key")
-    found = compare(fetch_contexts(texts, met.where(F.col("kind") == OPEN), shards), buckets)
+    # shards follow the corpus, so that what a task holds does not
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = buckets = SHARDS_EACH * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    met = settle(meet(find_anchors(rows, shards, buckets, hot_classes(rows)), buckets))
+    texts = rows.repartition(buckets // SHARDS_EACH, "key")
+    found = compare(fetch_contexts(texts, met.where(F.col("kind") == OPEN), shards), buckets).union(met.where(F.col("kind") == RANGE))
     settled = by_document(met.where(F.col("kind") == SETTLED), "<u4").withColumnRenamed("marks", "settled")
     found = by_document(found, "<u4", "<u4").withColumnRenamed("marks", "found")
     marks = settled.join(found, "key", "full")

@@ -50,7 +50,11 @@ def passages(r, n):
     return ["".join(r.choice(letters) for _ in range(r.randint(60, 260))) for _ in range(n)]
 
 
-def test_equals_brute_force(docs_of, awkward):
+@pytest.mark.parametrize("hot", [X.HOT, 2, 0])
+def test_equals_brute_force(docs_of, awkward, monkeypatch, hot):
+    """With no anchor hot, some and all of them."""
+    monkeypatch.setattr(X, "HOT", hot)
+    monkeypatch.setattr(X, "HOT_SAMPLE", 1)
     r = random.Random(8)
     pool = passages(r, 6)
     rows = {i: t for i, t in awkward if i is not None}
@@ -62,6 +66,23 @@ def test_equals_brute_force(docs_of, awkward):
     assert got == brute(rows)
 
 
+def test_a_line_among_different_surroundings(docs_of, monkeypatch):
+    """One line of 60 bytes in very many texts is a hot anchor; its contexts do not meet in one shard, and nothing repeats."""
+    monkeypatch.setattr(X, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(X, "HOT", 50)
+    r, line = random.Random(4), "licensed under the terms of the public licence, version two."
+    other = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    docs = docs_of([(k, f"{other(80)}{line}{other(80)}") for k in range(1500)])
+    rows = X.keyed(docs)
+    hot = X.hot_classes(rows)
+    assert hot is not None and 0 < hot.sum() < 100
+    anchors = X.find_anchors(rows, 64, 64, hot).collect()
+    sizes = {b: sum(len(a.blob) // 28 for a in anchors if a.kind == X.HOT_WINDOW and a.bucket == b) for b in range(64)}
+    assert sum(sizes.values()) >= 1500 and max(sizes.values()) < 3 * sum(sizes.values()) / 64
+    assert max(sum(len(a.blob) // 24 for a in anchors if a.kind == X.ANCHOR and a.bucket == b) for b in range(64)) < 500
+    assert {g.n_removed for g in X.suffix_dedup(docs).collect()} == {0}
+
+
 def test_repeated_rows_are_one_document(docs_of):
     text = " ".join(passages(random.Random(2), 3))
     got = X.suffix_dedup(docs_of([(1, text), (1, text), (2, text), (None, text)])).collect()
@@ -82,5 +103,10 @@ def test_anchors_of_long_texts_by_slabs():
     r = np.random.default_rng(5)
     data = r.integers(97, 103, 5000).astype(np.uint8)
     offsets = np.array([0, 30, 2600, 5000])
-    whole, small = X.batch_anchors(data, offsets), X.batch_anchors(data, offsets, size=300)
+    whole, small = X.batch_anchors(data, offsets)[0], X.batch_anchors(data, offsets, size=300)[0]
     assert all((a == b).all() for a, b in zip(whole, small))
+    hot = np.ones(X.HOT_CLASSES, bool)
+    (none, *_), windows = X.batch_anchors(data, offsets, hot=hot)
+    again = X.batch_anchors(data, offsets, size=300, hot=hot)[1]
+    assert not len(none) and len(windows[0]) == 2471 + 2301
+    assert sorted(zip(*(x.tolist() for x in windows), strict=True)) == sorted(zip(*(x.tolist() for x in again), strict=True))
