@@ -1,12 +1,12 @@
 """Chat transcripts: format detection and parsers that turn a file's text into (turn, role, text) rows.
 
-JSON is parsed in the JVM (from_json with fixed schemas, VARIANT for open parts); only the tree walk needs Python.
+JSON is parsed in the JVM (from_json with fixed schemas); each parser is a column of turns, so that files of all formats are read
+once. Only the walk of a tree needs Python.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,9 +34,8 @@ def detect(content: Column) -> Column:
     )
 
 
-def flatten_content(content: str) -> Column:
+def flatten_content(c: Column) -> Column:
     """A message's content: a string, or blocks rendered one a line (text, tool use, tool result, others by type)."""
-    c = F.col(content)
     blocks = F.from_json(c, "array<struct<type string, text string, name string, input string, content string>>")
     line = lambda b: (
         F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[Tool "), F.coalesce(b["name"], F.lit("?")), F.lit("] "), F.substring(F.coalesce(b["input"], F.lit("")), 1, 200))).when(b["type"] == "tool_result", F.concat(F.lit("[Result] "), F.substring(F.coalesce(b["content"], F.lit("")), 1, 500))).otherwise(F.concat(F.lit("["), F.coalesce(b["type"], F.lit("unknown")), F.lit("]")))
@@ -44,96 +43,155 @@ def flatten_content(content: str) -> Column:
     return F.when(F.ltrim(c).startswith("["), F.array_join(F.transform(blocks, line), "\n")).otherwise(c)
 
 
-def json_lines(files: DataFrame, schema: str) -> DataFrame:
-    """(path, line, row): each line of ``content`` parsed; lines that are not JSON are left out."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "raw")).where("trim(raw) <> ''")
-    return lines.select("path", "line", F.from_json("raw", schema).alias("row")).where("row IS NOT NULL")
+TURNS = "array<struct<turn int, role string, text string>>"
+
+
+def _turn(turn: Column, role: Column, text: Column) -> Column:
+    return F.struct(turn.cast("int").alias("turn"), role.alias("role"), text.alias("text"))
+
+
+def _said(turns: Column) -> Column:
+    return F.filter(turns, lambda t: F.coalesce(t["text"], F.lit("")) != "")
+
+
+def json_lines(content: Column, schema: str) -> Column:
+    """The lines that are JSON, as (line, row)."""
+    lines = F.transform(F.split(content, "\n"), lambda x, k: F.struct(k.alias("line"), F.from_json(x, schema).alias("row")))
+    return F.filter(lines, lambda x: x["row"].isNotNull())
+
+
+def _session(content: Column) -> Column:
+    rows = F.filter(json_lines(content, "type string, message struct<role string, content string>"), lambda x: x["row"]["type"].isin("user", "assistant"))
+    return _said(F.transform(rows, lambda x: _turn(x["line"], F.coalesce(x["row"]["message"]["role"], x["row"]["type"]), flatten_content(x["row"]["message"]["content"]))))
+
+
+def _event(content: Column) -> Column:
+    rows = json_lines(content, "type string, payload struct<type string, message string>")
+    said = F.filter(rows, lambda x: (x["row"]["type"] == "event_msg") & x["row"]["payload"]["type"].isin("user_message", "agent_message"))
+    turns = F.transform(said, lambda x: _turn(x["line"], F.when(x["row"]["payload"]["type"] == "user_message", "user").otherwise("assistant"), x["row"]["payload"]["message"]))
+    return F.when(F.exists(rows, lambda x: F.coalesce(x["row"]["type"] == "session_meta", F.lit(False))), turns)
+
+
+def _cli(content: Column) -> Column:
+    rows = F.filter(json_lines(content, "type string, content string, text string"), lambda x: x["row"]["type"].isin("user", "model", "gemini", "assistant"))
+    return F.transform(rows, lambda x: _turn(x["line"], F.when(x["row"]["type"] == "user", "user").otherwise("assistant"), F.coalesce(x["row"]["text"], flatten_content(x["row"]["content"]))))
+
+
+def _segment(content: Column) -> Column:
+    none = F.expr("array()").cast("array<string>")
+    said = lambda r: F.array_join(F.coalesce(F.transform(F.filter(r["segments"], lambda g: g["type"] == "text"), lambda g: g["content"]), none), "\n")
+    tools = lambda r: F.array_join(F.coalesce(F.transform(r["toolCalls"], lambda t: F.concat(F.lit("[Tool "), t["name"], F.lit("]"))), none), "\n")
+    rows = json_lines(content, "role string, segments array<struct<type string, content string>>, toolCalls array<struct<name string>>")
+    return _said(F.transform(rows, lambda x: _turn(x["line"], x["row"]["role"], F.concat_ws("\n", F.nullif(said(x["row"]), F.lit("")), F.nullif(tools(x["row"]), F.lit(""))))))
+
+
+def _messages(content: Column) -> Column:
+    one = "array<struct<role string, sender string, content string, text string>>"
+    found = F.coalesce(F.from_json(F.get_json_object(content, "$.messages"), one), F.from_json(F.get_json_object(content, "$.chat_messages"), one), F.from_json(content, one))
+    role = lambda m: F.when(F.lower(F.coalesce(m["role"], m["sender"])).isin("user", "human"), "user").otherwise("assistant")
+    return _said(F.transform(found, lambda m, k: _turn(k, role(m), F.coalesce(m["text"], flatten_content(m["content"])))))
+
+
+def _channel(content: Column) -> Column:
+    found = F.filter(F.from_json(content, "array<struct<type string, user string, username string, text string>>"), lambda x: (x["type"] == "message") & (F.coalesce(x["text"], F.lit("")) != ""))
+    name = lambda x: F.coalesce(x["user"], x["username"], F.lit(""))
+    return F.transform(found, lambda m, k: _turn(k, F.when(name(m) == name(F.get(found, F.lit(0))), "user").otherwise("assistant"), m["text"]))
+
+
+def walk_tree(content: str | None) -> list[tuple[int, str, str]] | None:
+    """The turns of a tree of messages, from the root along each node's first child that has not been read; None if it is no such tree."""
+    try:
+        document = json.loads(content or "")
+        nodes = (document[0] if isinstance(document, list) else document)["mapping"]
+        at = next((k for k, n in nodes.items() if not n.get("parent")), None)
+        seen, out = set(), []
+        while at is not None and at not in seen:
+            seen.add(at)
+            message = nodes[at].get("message") or {}
+            role = (message.get("author") or {}).get("role")
+            text = "\n".join(p for p in (message.get("content") or {}).get("parts") or [] if isinstance(p, str)).strip()
+            if role in ("user", "assistant") and text:
+                out.append((len(out), role, text))
+            at = next((c for c in nodes[at].get("children") or [] if c in nodes and c not in seen), None)
+        return out
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+        return None
+
+
+def _tree(content: Column) -> Column:
+    @F.pandas_udf(TURNS)
+    def run(contents: pd.Series) -> pd.Series:
+        walked = [walk_tree(c) if c is not None else None for c in contents]
+        return pd.Series([w if w is None else [{"turn": n, "role": r, "text": t} for n, r, t in w] for w in walked], dtype=object)
+
+    return run(content)
+
+
+def _quoted(content: Column) -> Column:
+    """Lines that begin with ``> `` are the user's; other lines gather into the answer after them."""
+    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
+    asks = lambda k: F.get(lines, k).startswith("> ")
+    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.expr("array()").cast("array<int>"))
+    starts = F.filter(every, lambda k: (k == 0) | (asks(k) != asks(k - 1)))
+    until = lambda n: F.coalesce(F.get(starts, n + 1), F.size(lines))
+    text = lambda k, n: F.array_join(F.transform(F.slice(lines, k + 1, until(n) - k), lambda x: F.regexp_replace(x, "^> ", "")), "\n")
+    return F.transform(starts, lambda k, n: _turn(n, F.when(asks(k), "user").otherwise("assistant"), text(k, n)))
+
+
+_PARSERS = {"event_jsonl": _event, "segment_jsonl": _segment, "cli_jsonl": _cli, "session_jsonl": _session, "tree_json": _tree, "channel_json": _channel, "messages_json": _messages, "quoted_md": _quoted}
+
+
+def parsed(files: DataFrame, format_: str) -> DataFrame:
+    """(path, turn, role, text) of files of one format.
+
+    session_jsonl: user and assistant lines. event_jsonl: only user and agent messages, of files with a session header.
+    messages_json: one document with messages or chat_messages, or an array of messages. channel_json: the speaker who comes
+    first is the user, all others answer. tree_json: see ``walk_tree``; a document that is no tree has no turns.
+    """
+    return files.select("path", F.explode(_PARSERS[format_](F.col("content"))).alias("t")).select("path", "t.turn", "t.role", "t.text")
 
 
 def session_jsonl(files: DataFrame) -> DataFrame:
-    rows = json_lines(files, "type string, message struct<role string, content string>").where("row.type IN ('user', 'assistant')")
-    return rows.select("path", F.col("line").alias("turn"), F.coalesce("row.message.role", "row.type").alias("role"), flatten_content("row.message.content").alias("text")).where("coalesce(text, '') <> ''")
+    return parsed(files, "session_jsonl")
 
 
 def event_jsonl(files: DataFrame) -> DataFrame:
-    """Only user and agent messages, of files that have a session header."""
-    rows = json_lines(files, "type string, payload struct<type string, message string>")
-    headed = rows.where("row.type = 'session_meta'").select("path").distinct()
-    said = rows.where("row.type = 'event_msg' AND row.payload.type IN ('user_message', 'agent_message')").join(headed, "path", "left_semi")
-    return said.select("path", F.col("line").alias("turn"), F.when(F.col("row.payload.type") == "user_message", "user").otherwise("assistant").alias("role"), F.col("row.payload.message").alias("text"))
+    return parsed(files, "event_jsonl")
 
 
 def cli_jsonl(files: DataFrame) -> DataFrame:
-    rows = json_lines(files, "type string, content string, text string").where("row.type IN ('user', 'model', 'gemini', 'assistant')")
-    return rows.select("path", F.col("line").alias("turn"), F.when(F.col("row.type") == "user", "user").otherwise("assistant").alias("role"), F.coalesce("row.text", flatten_content("row.content")).alias("text"))
+    return parsed(files, "cli_jsonl")
 
 
 def segment_jsonl(files: DataFrame) -> DataFrame:
-    rows = json_lines(files, "role string, segments array<struct<type string, content string>>, toolCalls array<struct<name string>>")
-    said = F.array_join(F.transform(F.filter("row.segments", lambda s: s["type"] == "text"), lambda s: s["content"]), "\n")
-    tools = F.array_join(F.transform(F.coalesce("row.toolCalls", F.expr("array()").cast("array<struct<name string>>")), lambda t: F.concat(F.lit("[Tool "), t["name"], F.lit("]"))), "\n")
-    return rows.select("path", F.col("line").alias("turn"), "row.role", F.concat_ws("\n", F.nullif(said, F.lit("")), F.nullif(tools, F.lit(""))).alias("text")).where("text <> ''")
+    return parsed(files, "segment_jsonl")
 
 
 def messages_json(files: DataFrame) -> DataFrame:
-    """One document with messages or chat_messages, or an array of messages."""
-    one = "array<struct<role string, sender string, content string, text string>>"
-    found = F.coalesce(F.from_json(F.get_json_object("content", "$.messages"), one), F.from_json(F.get_json_object("content", "$.chat_messages"), one), F.from_json("content", one))
-    m = files.select("path", F.posexplode(found).alias("turn", "m"))
-    role = F.lower(F.coalesce("m.role", "m.sender"))
-    return m.select("path", "turn", F.when(role.isin("user", "human"), "user").otherwise("assistant").alias("role"), F.coalesce("m.text", flatten_content("m.content")).alias("text")).where("coalesce(text, '') <> ''")
+    return parsed(files, "messages_json")
 
 
 def channel_json(files: DataFrame) -> DataFrame:
-    """Channel messages; the speaker who comes first is the user, all others answer."""
-    found = F.filter(F.from_json("content", "array<struct<type string, user string, username string, text string>>"), lambda x: (x["type"] == "message") & (F.coalesce(x["text"], F.lit("")) != ""))
-    m = files.select("path", F.posexplode(found).alias("turn", "m"), found[0].alias("first"))
-    name = lambda x: F.coalesce(F.col(f"{x}.user"), F.col(f"{x}.username"), F.lit(""))
-    return m.select("path", "turn", F.when(name("m") == name("first"), "user").otherwise("assistant").alias("role"), F.col("m.text").alias("text"))
+    return parsed(files, "channel_json")
 
 
 def tree_json(files: DataFrame) -> DataFrame:
-    """A tree of messages, read from the root along each node's first child that has not been read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                document = json.loads(content)
-                nodes = (document[0] if isinstance(document, list) else document).get("mapping") or {}
-                at = next((k for k, n in nodes.items() if not n.get("parent")), None)
-                seen, turn = set(), 0
-                while at is not None and at not in seen:
-                    seen.add(at)
-                    message = nodes[at].get("message") or {}
-                    role = (message.get("author") or {}).get("role")
-                    text = "\n".join(p for p in (message.get("content") or {}).get("parts") or [] if isinstance(p, str)).strip()
-                    if role in ("user", "assistant") and text:
-                        rows.append((path, turn, role, text))
-                        turn += 1
-                    at = next((c for c in nodes[at].get("children") or [] if c in nodes), None)
-            yield pd.DataFrame(rows, columns=["path", "turn", "role", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, turn int, role string, text string")
+    return parsed(files, "tree_json")
 
 
 def quoted_markdown(files: DataFrame) -> DataFrame:
-    """Lines that begin with ``> `` are the user's; other lines gather into the answer after them."""
-    lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    pairs = F.transform(lines, lambda x: F.struct(F.when(x.startswith("> "), "user").otherwise("assistant").alias("role"), F.regexp_replace(x, "^> ", "").alias("text")))
-    start = F.array().cast("array<struct<role string, text string>>")
-    merge = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["role"] == x["role"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["role"].alias("role"), F.concat(F.element_at(acc, -1)["text"], F.lit("\n"), x["text"]).alias("text"))))).otherwise(F.concat(acc, F.array(x)))
-    return files.select("path", F.posexplode(F.aggregate(pairs, start, merge)).alias("turn", "m")).select("path", "turn", "m.role", "m.text")
+    return parsed(files, "quoted_md")
 
 
 def normalise(files: DataFrame) -> DataFrame:
-    """(path, turn, role, text) of all files, each by its own format; plain text is one user turn."""
+    """(path, turn, role, text) of all files, each by its own format, in one reading; plain text, and a tree that cannot be read, is one user turn."""
     kinds = files.select("path", "content", detect(F.col("content")).alias("format"))
-    parsers = {"event_jsonl": event_jsonl, "segment_jsonl": segment_jsonl, "cli_jsonl": cli_jsonl, "session_jsonl": session_jsonl, "tree_json": tree_json, "channel_json": channel_json, "messages_json": messages_json, "quoted_md": quoted_markdown}
-    out = kinds.where("format = 'text'").select("path", F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("content").alias("text"))
-    for name, parse in parsers.items():
-        out = out.unionByName(parse(kinds.where(F.col("format") == name)).select("path", F.col("turn").cast("int").alias("turn"), "role", "text"))
-    return out
+    kinds = kinds.withColumn("tree", _tree(F.when(F.col("format") == "tree_json", F.col("content"))))
+    plain = F.array(_turn(F.lit(0), F.lit("user"), F.col("content")))
+    turns = F
+    for name, parse in _PARSERS.items():
+        turns = turns.when(F.col("format") == name, F.coalesce("tree", plain) if name == "tree_json" else parse(F.col("content")).cast(TURNS))
+    return kinds.select("path", F.explode(turns.otherwise(plain)).alias("t")).select("path", "t.turn", "t.role", "t.text")
 
 
 def render(turns: DataFrame, by: str = "path") -> DataFrame:

@@ -97,11 +97,12 @@ def chunks(rows: DataFrame, id_: str = "id", content: str = "content", most: int
 
 
 def split_sessions(rows: DataFrame, header: str = r"^(=== )?Session (started|start)\b", restore: str = r"context restored") -> DataFrame:
-    """(id, session, text): a concatenated transcript cut at session headers that are not restores. The lines of one file are one row's array."""
+    """(id, session, text): a concatenated transcript cut at session headers that are not restores; what precedes the first is a session. The lines of one file are one row's array."""
     lines = F.split("content", "\n")
-    starts = F.transform(lines, lambda x: (x.rlike(header) & ~x.rlike(restore)).cast("int"))
-    numbered = F.aggregate(F.zip_with(lines, starts, lambda a, b: F.struct(a.alias("l"), b.alias("s"))), F.array().cast("array<string>"), lambda acc, x: F.when((x["s"] == 1) | (F.size(acc) == 0), F.concat(acc, F.array(x["l"]))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), x["l"])))))
-    return rows.select("id", F.posexplode(numbered).alias("session", "text"))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(places, lambda k: (k == 0) | (F.get(lines, k).rlike(header) & ~F.get(lines, k).rlike(restore)))
+    part = lambda k, n: F.array_join(F.slice(lines, k + 1, F.coalesce(F.get(starts, n + 1), F.size(lines)) - k), "\n")
+    return rows.select("id", F.posexplode(F.transform(starts, part)).alias("session", "text"))
 
 
 def diaries(files: DataFrame, seen: DataFrame, least: int = 50) -> DataFrame:

@@ -1,12 +1,15 @@
 """Stateful streams: windowed dedup, fingerprints, access logs, sliding windows, follow-ups, leases, saturation.
 
-Each operator takes a streaming (or batch) DataFrame with an event-time column ``ts``. State is bounded by the watermark or by
-the operator's own limits.
+Each operator takes a streaming (or, where it has no state of its own, batch) DataFrame with an event-time column ``ts``. Custom
+state has an event-time timeout: a key's state goes once the watermark, ``late`` behind the newest event, shows that it cannot
+change a result any more, so state is bounded by the keys of that span. Rows older than the watermark are dropped. Within a
+micro-batch a key's rows are put in order of time, so they are held; the source's rate limit bounds a micro-batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,111 +18,133 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.text import content_hash
 
-WINDOW_SECONDS, CAPACITY = 300, 4096
+WINDOW_SECONDS, CAPACITY, LATE, IDLE_SECONDS = 300, 4096, "10 minutes", 30 * 86_400
+_MICRO = 1_000_000
+
+
+def _micros(ts: pd.Timestamp) -> int:
+    return ts.value // 1000
+
+
+def _time(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros, unit="us")
+
+
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def _by_key(stream: DataFrame, key: str, step: Callable, out: str, state: str, mode: str) -> DataFrame:
+    """``step(key, batches, state)`` gives rows, the new state, and the time (microseconds) from which on the state says nothing."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows, new, until = step(k, batches, held.get if held.exists else None)
+        held.update(new)
+        held.setTimeoutTimestamp(max(until // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+        yield rows
+
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {dict(stream.dtypes)[key]}, {out}", state, mode, GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_within(stream: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Drops rows whose trimmed content came within the window; state goes with the watermark."""
-    return stream.withColumn("content_hash", content_hash("content")).withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["content_hash"])
+    return _timed(stream.withColumn("content_hash", content_hash("content")), f"{seconds} seconds").dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def dedup_rolling(stream: DataFrame, key: str = "session_id", seconds: int = WINDOW_SECONDS, capacity: int = CAPACITY) -> DataFrame:
+def dedup_rolling(stream: DataFrame, key: str = "session_id", seconds: int = WINDOW_SECONDS, capacity: int = CAPACITY, late: str = LATE) -> DataFrame:
     """(key, content_hash, ts, fresh): exact rolling rule for each key. A copy does not refresh its entry; an entry expires when it is
     older than ``seconds``; beyond ``capacity`` entries the oldest goes first."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hashes, times = (list(x) for x in state.get) if state.exists else ([], [])
-        entries = dict(zip(hashes, times, strict=True))
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held):
+        entries = dict(zip(*held, strict=True)) if held else {}
         rows = pd.concat(list(batches)).sort_values(["ts", "content_hash"])
         out = []
         for h, ts in zip(rows["content_hash"], rows["ts"], strict=True):
-            t = ts.timestamp()
-            entries = {a: b for a, b in entries.items() if t - b <= seconds}
+            t = _micros(ts)
+            while entries and t - entries[first := next(iter(entries))] > seconds * _MICRO:  # entries stand in order of time
+                del entries[first]
             fresh = h not in entries
             if fresh:
                 entries[h] = t
-                while len(entries) > capacity:
+                if len(entries) > capacity:
                     del entries[next(iter(entries))]
             out.append((*k, h, ts, fresh))
-        state.update((list(entries), list(entries.values())))
-        yield pd.DataFrame(out, columns=[key, "content_hash", "ts", "fresh"])
+        return pd.DataFrame(out, columns=[key, "content_hash", "ts", "fresh"]), (list(entries), list(entries.values())), max(entries.values()) + seconds * _MICRO
 
-    kind = dict(stream.dtypes)[key]
-    hashed = stream.select(key, content_hash("content").alias("content_hash"), "ts")
-    return hashed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, content_hash string, ts timestamp, fresh boolean", "hashes array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    hashed = _timed(stream.select(key, content_hash("content").alias("content_hash"), "ts"), late)
+    return _by_key(hashed, key, step, "content_hash string, ts timestamp, fresh boolean", "hashes array<string>, times array<long>", "append")
 
 
 def dedup_fingerprint(stream: DataFrame, *columns: str) -> DataFrame:
-    """Exact and unbounded: a fingerprint passes once."""
+    """A fingerprint passes once, for ever: exact, so its state holds every fingerprint and grows with them. Use ``dedup_within`` where a window will do."""
     return stream.dropDuplicates(list(columns))
 
 
-def access_log(stream: DataFrame, last: int = 20) -> DataFrame:
-    """(memory_id, n, last_at, recent): counts and the last ``last`` times of each memory, updated with every batch."""
+def access_log(stream: DataFrame, last: int = 20, idle_seconds: int = IDLE_SECONDS, late: str = LATE) -> DataFrame:
+    """(memory_id, n, last_at, n_recent): accesses, the latest of them, and how many of the last ``last`` are held; updated with every
+    batch. A memory without access for ``idle_seconds`` begins anew."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, recent = state.get if state.exists else (0, [])
-        times = sorted(t.timestamp() for b in batches for t in b["ts"])
-        n, recent = n + len(times), sorted([*recent, *times])[-last:]
-        state.update((n, recent))
-        yield pd.DataFrame([(*k, n, pd.Timestamp(recent[-1], unit="s"), len(recent))], columns=["memory_id", "n", "last_at", "n_recent"])
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held):
+        n, recent = held or (0, [])
+        for batch in batches:
+            times = [_micros(t) for t in batch["ts"]]
+            n, recent = n + len(times), sorted(heapq.nlargest(last, [*recent, *times]))
+        return pd.DataFrame([(*k, n, _time(recent[-1]), len(recent))], columns=["memory_id", "n", "last_at", "n_recent"]), (n, recent), recent[-1] + idle_seconds * _MICRO
 
-    kind = dict(stream.dtypes)["memory_id"]
-    return stream.select("memory_id", "ts").groupBy("memory_id").applyInPandasWithState(step, f"memory_id {kind}, n long, last_at timestamp, n_recent int", "n long, recent array<double>", "update", GroupStateTimeout.NoTimeout)
+    return _by_key(_timed(stream.select("memory_id", "ts"), late), "memory_id", step, "n long, last_at timestamp, n_recent int", "n long, recent array<long>", "update")
 
 
-def sliding_counts(stream: DataFrame, window: str = "1 hour", slide: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+def sliding_counts(stream: DataFrame, window: str = "1 hour", slide: str = "10 minutes", late: str = LATE) -> DataFrame:
     """Events by type in sliding event-time windows."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
+    return _timed(stream, late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
 
 
-def saturation_windows(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
+def saturation_windows(stream: DataFrame, late: str = LATE) -> DataFrame:
     """By hour: messages, actions, blockers and their ratio."""
-    w = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"))
+    w = _timed(stream, late).groupBy(F.window("ts", "1 hour"))
     g = w.agg(F.count_if(F.col("event_type") == "message").alias("messages"), F.count_if(F.col("event_type") == "action").alias("actions"), F.count_if(F.col("event_type") == "blocker").alias("blockers"))
     return g.select(F.col("window.start").alias("start"), "messages", "actions", "blockers", (F.col("messages") / F.greatest(F.lit(1), F.col("actions"))).alias("chatter"))
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
     """Sessions of an agent: events with no gap longer than ``gap``."""
-    g = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "agent_id").agg(F.count(F.lit(1)).alias("n"))
+    g = _timed(stream, late).groupBy(F.session_window("ts", gap), "agent_id").agg(F.count(F.lit(1)).alias("n"))
     return g.select("agent_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def leases(stream: DataFrame, ttl_seconds: int = 600, most_seconds: int = 3600) -> DataFrame:
-    """(action_id, agent_id, granted, expires_at): one holder at a time; its renewals pass, others' requests fail until it runs out."""
+def leases(stream: DataFrame, ttl_seconds: int = 600, most_seconds: int = 3600, late: str = LATE) -> DataFrame:
+    """(action_id, agent_id, ts, granted, expires_at): one holder at a time; its renewals pass, others' requests fail until it runs out."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        holder, until = state.get if state.exists else (None, 0.0)
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held):
+        holder, until = held or (None, 0)
         rows, out = pd.concat(list(batches)).sort_values(["ts", "agent_id"]), []
         for agent, ts, wanted in zip(rows["agent_id"], rows["ts"], rows["ttl"], strict=True):
-            t = ts.timestamp()
+            t = _micros(ts)
             granted = holder is None or holder == agent or t > until
             if granted:
-                holder, until = agent, t + min(wanted if wanted and wanted > 0 else ttl_seconds, most_seconds)
-            out.append((*k, agent, ts, granted, pd.Timestamp(until, unit="s")))
-        state.update((holder, until))
-        yield pd.DataFrame(out, columns=["action_id", "agent_id", "ts", "granted", "expires_at"])
+                holder, until = agent, t + int(min(wanted if wanted and wanted > 0 else ttl_seconds, most_seconds) * _MICRO)
+            out.append((*k, agent, ts, granted, _time(until)))
+        return pd.DataFrame(out, columns=["action_id", "agent_id", "ts", "granted", "expires_at"]), (holder, until), until
 
-    kind = dict(stream.dtypes)["action_id"]
-    asked = stream.select("action_id", "agent_id", "ts", F.col("ttl").cast("double").alias("ttl"))
-    return asked.groupBy("action_id").applyInPandasWithState(step, f"action_id {kind}, agent_id string, ts timestamp, granted boolean, expires_at timestamp", "holder string, until double", "append", GroupStateTimeout.NoTimeout)
+    asked = _timed(stream.select("action_id", "agent_id", "ts", F.col("ttl").cast("double").alias("ttl")), late)
+    return _by_key(asked, "action_id", step, "agent_id string, ts timestamp, granted boolean, expires_at timestamp", "holder string, until long", "append")
 
 
-def follow_ups(stream: DataFrame, within_seconds: int = 300) -> DataFrame:
+def follow_ups(stream: DataFrame, within_seconds: int = 300, late: str = LATE) -> DataFrame:
     """(agent_id, ts, is_follow_up): a search soon after the agent's last one that shares no result with it."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, results = state.get if state.exists else (None, [])
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held):
+        last, results = held or (None, [])
         out = []
-        for ts, ids in sorted((t.timestamp(), tuple(map(int, i))) for b in batches for t, i in zip(b["ts"], b["result_ids"], strict=True)):
-            out.append((*k, pd.Timestamp(ts, unit="s"), last is not None and ts - last <= within_seconds and not set(ids) & set(results)))
-            last, results = ts, list(ids)
-        state.update((last, results))
-        yield pd.DataFrame(out, columns=["agent_id", "ts", "is_follow_up"])
-
-    kind = dict(stream.dtypes)["agent_id"]
-    return stream.select("agent_id", "ts", "result_ids").groupBy("agent_id").applyInPandasWithState(step, f"agent_id {kind}, ts timestamp, is_follow_up boolean", "last double, results array<long>", "append", GroupStateTimeout.NoTimeout)
+        for t, ids in sorted((_micros(t), tuple(map(int, i))) for b in batches for t, i in zip(b["ts"], b["result_ids"], strict=True)):
+            out.append((*k, _time(t), last is not None and t - last <= within_seconds * _MICRO and not set(ids) & set(results)))
+            last, results = t, list(ids)
+        return pd.DataFrame(out, columns=["agent_id", "ts", "is_follow_up"]), (last, results), last + within_seconds * _MICRO
+
+    return _by_key(_timed(stream.select("agent_id", "ts", "result_ids"), late), "agent_id", step, "ts timestamp, is_follow_up boolean", "last long, results array<long>", "append")
 
 
 def upsert_sink(stream: DataFrame, path: str, key: str, version: str, checkpoint: str):

@@ -72,6 +72,17 @@ def test_formats_and_parsers(spark):
     assert [r.text for r in units] == ["> q\na b", "> q2\nc"]
 
 
+def test_files_that_only_look_like_trees(spark):
+    """One odd file neither fails the job nor loses the others."""
+    odd = {"a": '{"mapping": {"r": {}}} trailing', "b": '{"mapping": 5}', "c": '[{"mapping": {"r": 1}}]', "tree": CHATS["tree"]}
+    got = {}
+    for r in chats.normalise(spark.createDataFrame(list(odd.items()), "path string, content string")).collect():
+        got.setdefault(r.path, []).append((r.role, r.text))
+    assert got["tree"] == [("user", "q"), ("assistant", "a")] and all(got[k] == [("user", odd[k])] for k in "abc")
+    plan = chats.normalise(spark.createDataFrame(list(odd.items()), "path string, content string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
+
+
 def test_stores(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "f1", "w"), (2, "b", "f2", "w")], "id long, content string, source_file string, wing string")
     new = spark.createDataFrame([(2, "B", "f2", "w"), (3, "c", "f3", "v")], rows.schema)

@@ -40,6 +40,19 @@ def test_rolling_dedup_capacity(run):
     assert [r.fresh for r in sorted(got, key=lambda r: r.ts)] == [True, True, True, True]
 
 
+def test_state_of_quiet_keys_goes(run):
+    """A key that was quiet until the watermark passed its window is forgotten, which changes no result; a memory that was idle begins anew."""
+    rows = [[("s", "a", at(0))], [("t", "a", at(5000))], [("t", "b", at(9000))], [("s", "a", at(9001)), ("s", "a", at(9002))]]
+    got = run(rows, "session_id string, content string, ts timestamp", S.dedup_rolling)
+    assert [r.fresh for r in sorted(got, key=lambda r: r.ts) if r.session_id == "s"] == [True, True, False]
+
+
+def test_idle_memories_begin_anew(run):
+    rows = [[(1, at(0)), (1, at(1))], [(2, at(5000))], [(2, at(9000))], [(1, at(9001))]]
+    got = run(rows, "memory_id long, ts timestamp", lambda s: S.access_log(s, idle_seconds=60), "update")
+    assert [r.n for r in sorted(got, key=lambda r: (r.memory_id, r.last_at)) if r.memory_id == 1] == [2, 1]
+
+
 def test_watermark_dedup(run):
     got = run([[("x", at(0)), ("x ", at(10)), ("y", at(20))]], "content string, ts timestamp", S.dedup_within)
     assert len(got) == 2
