@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset, which only a local master may use."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _made:
         _made.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
