@@ -1,6 +1,7 @@
 """Graph operators over edge tables (subject, predicate, object, weight): expansion, cascades, rooms, tunnels, PageRank.
 
-Loops run a bounded number of rounds; each round joins the frontier, aggregated to a row a node, with the edges.
+Loops run a bounded number of rounds; each round joins the frontier, aggregated to a row a node, with the edges. A round uses what the
+round before it gave twice, so from the third round on that is stored, and plans do not double with the depth.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for k in range(1, min(depth, 5) + 1):
+        frontier, reached = (settle(frontier), settle(reached)) if k > 2 else (frontier, reached)
         step = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node")).distinct()
         frontier = step.join(reached, "node", "left_anti").withColumn("depth", F.lit(k))
         reached = reached.unionByName(frontier)
@@ -34,6 +36,7 @@ def follow(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_confidence:
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for k in range(1, depth + 1):
+        frontier, reached = (settle(frontier), settle(reached)) if k > 2 else (frontier, reached)
         step = frontier.join(out, frontier.node == out.a).select(F.col("b").alias("node")).distinct()
         frontier = step.join(reached, "node", "left_anti").withColumn("depth", F.lit(k))
         reached = reached.unionByName(frontier)
@@ -99,6 +102,7 @@ def room_traversal(nodes: DataFrame, start: str, hops: int = 2, limit: int = 50)
     reached = nodes.where(F.col("room") == start).select("room").withColumn("hop", F.lit(0))
     frontier = reached
     for k in range(1, hops + 1):
+        frontier, reached = (settle(frontier), settle(reached)) if k > 2 else (frontier, reached)
         wings = frontier.join(links, "room").select("wing").distinct()
         step = links.join(wings, "wing", "left_semi").select("room").distinct()
         frontier = step.join(reached, "room", "left_anti").withColumn("hop", F.lit(k))
@@ -109,16 +113,23 @@ def room_traversal(nodes: DataFrame, start: str, hops: int = 2, limit: int = 50)
 def room_similarity(drawers: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(wing, room_a, room_b, similarity): Jaccard similarity of the rooms' words, for pairs of one wing above the threshold.
 
-    Words are counted once a room, and pairs arise from shared words only; a word that more rooms of a wing share than
-    a room has words cannot be needed alone, but every word is kept, so the result is exact.
+    Two rooms that are similar enough share one of their rarest words: of a room's ``n`` words in order of rarity only the first
+    ``n - ceil(threshold * n) + 1`` look for partners, so a word that most rooms have brings no pairs together unless the
+    threshold is low. Candidates are then counted exactly.
     """
     words = drawers.select("wing", "room", F.explode(F.array_distinct(F.filter(F.split("content", r"\s+"), lambda w: w != ""))).alias("word")).distinct()
-    sizes = words.groupBy("wing", "room").agg(F.count(F.lit(1)).alias("size"))
-    a, b = words.alias("a"), words.alias("b")
-    shared = a.join(b, (F.col("a.wing") == F.col("b.wing")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.room") < F.col("b.room"))).groupBy(F.col("a.wing").alias("wing"), F.col("a.room").alias("room_a"), F.col("b.room").alias("room_b")).agg(F.count(F.lit(1)).alias("both"))
-    sa, sb = sizes.select("wing", F.col("room").alias("room_a"), F.col("size").alias("size_a")), sizes.select("wing", F.col("room").alias("room_b"), F.col("size").alias("size_b"))
-    scored = shared.join(sa, ["wing", "room_a"]).join(sb, ["wing", "room_b"])
-    return scored.select("wing", "room_a", "room_b", (F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
+    room = Window.partitionBy("wing", "room")
+    common = words.groupBy("wing", "word").agg(F.count(F.lit(1)).alias("rooms")).where("rooms > 1")  # others have no partner
+    sized = words.withColumn("size", F.count(F.lit(1)).over(room))
+    ranked = sized.join(common, ["wing", "word"], "left").withColumn("rooms", F.coalesce("rooms", F.lit(1))).withColumn("place", F.row_number().over(room.orderBy("rooms", "word")))
+    head = ranked.where((F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1) & (F.col("rooms") > 1)).select("wing", "room", "word", "size")
+    a, b = head.alias("a"), head.alias("b")
+    near = (F.col("a.wing") == F.col("b.wing")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.room") < F.col("b.room"))
+    alike = (F.col("a.size") >= threshold * F.col("b.size")) & (F.col("b.size") >= threshold * F.col("a.size"))
+    pairs = a.join(b, near & alike).select(F.col("a.wing").alias("wing"), F.col("a.room").alias("room_a"), F.col("b.room").alias("room_b"), F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()
+    of_a = pairs.join(words.withColumnRenamed("room", "room_a"), ["wing", "room_a"])
+    both = of_a.join(words.withColumnRenamed("room", "room_b"), ["wing", "room_b", "word"]).groupBy("wing", "room_a", "room_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("wing", "room_a", "room_b", (F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def pagerank(nodes: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 30) -> DataFrame:

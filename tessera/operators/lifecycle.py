@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +56,37 @@ def fit_prefix(rows: DataFrame, by: str, order: list[Column], cost: str, budget:
 def pack_context(rows: DataFrame, by: str, cost: str, budget: int) -> DataFrame:
     """(by, chosen): greedy in order of priority, then id; what does not fit is skipped and smaller rows after it may still fit.
 
-    The rows of one context are the candidates of one prompt, a bounded list.
+    A context's candidates pass as a sorted stream, however many they are; what is held is what was chosen, which the budget
+    bounds as long as costs are positive.
     """
-    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("priority", "id", F.col(cost).cast("long").alias("cost")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
-    step = lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s)
-    return g.select(by, F.aggregate("items", start, step, lambda s: s["ids"]).alias("chosen"))
+    kind = rows.schema[by].dataType
+    ordered = rows.select(by, "priority", F.col("id").cast("string").alias("id"), F.col(cost).cast("long").alias("cost"))
+    ordered = ordered.repartition(by).sortWithinPartitions(F.col(by), F.asc_nulls_last("priority"), F.asc_nulls_last("id"), "cost").select(by, "id", "cost")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, used, chosen, done = None, 0, [], []
+        for batch in batches:
+            for key, id_, spent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if open_ != (key,):
+                    if open_ is not None:
+                        done.append((open_[0], chosen))
+                    open_, used, chosen = (key,), 0, []
+                if spent is not None and used + spent <= budget:
+                    used += spent
+                    chosen.append(id_)
+            if done:
+                yield _packed(done, batch.schema.field(0).type, by)
+                done = []
+        if open_ is not None:
+            done.append((open_[0], chosen))
+            yield _packed(done, batch.schema.field(0).type, by)
+
+    return ordered.mapInArrow(run, f"{by} {kind.simpleString()}, chosen array<string>")
+
+
+def _packed(done: list[tuple], kind: pa.DataType, by: str) -> pa.RecordBatch:
+    keys, chosen = zip(*done, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(chosen, pa.list_(pa.string()))], [by, "chosen"])
 
 
 def sliding_window(rows: DataFrame, by: str, now: Column, hours: int = 24, least_importance: int = 3, most: int = 20, tokens: int = 4000) -> DataFrame:

@@ -42,14 +42,14 @@ def cursors(messages: DataFrame) -> DataFrame:
 
 
 def markdown_export(drawers: DataFrame, path: str) -> None:
-    """One folder a source, rows ordered by source and filing time, rendered as markdown."""
+    """One folder a source, rows ordered by source and filing time within a file, rendered as markdown. A large source has several files."""
     body = F.concat(F.lit("## "), "id", F.lit("\n\n"), "content", F.lit("\n"))
-    drawers.select("source_file", "filed_at", body.alias("value")).repartition("source_file").sortWithinPartitions("source_file", "filed_at").select("source_file", "value").write.partitionBy("source_file").text(path)
+    drawers.select("source_file", "filed_at", body.alias("value")).hint("rebalance", "source_file").sortWithinPartitions("source_file", "filed_at").select("source_file", "value").write.partitionBy("source_file").text(path)
 
 
 def tree_export(drawers: DataFrame, path: str) -> None:
-    """wing/room folders of text files."""
-    drawers.select("wing", "room", F.col("content").alias("value")).repartition("wing", "room").write.partitionBy("wing", "room").text(path)
+    """wing/room folders of text files; large rooms are split among tasks, small ones gathered."""
+    drawers.select("wing", "room", F.col("content").alias("value")).hint("rebalance", "wing", "room").write.partitionBy("wing", "room").text(path)
 
 
 def front_matter(*fields: str, body: str = "content") -> Column:

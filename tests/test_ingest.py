@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,39 @@ def test_hand_fixtures(spark):
     assert {r.agent_id: r.verdict for r in coordination.conflicts(held, want).collect()} == {"a": "same_agent", "b": "conflict"}
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 3)], "g int, id int, cost int").withColumn("priority", F.col("id")).withColumn("id", F.col("id").cast("string"))
     assert lifecycle.pack_context(rows, "g", "cost", 4).first().chosen == ["2"]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.4, 0.7])
+def test_room_similarity_equals_all_pairs(spark, threshold):
+    r = random.Random(5)
+    rooms = {(w, f"r{k}"): {r.choice("abcdefghij") for _ in range(r.randint(1, 9))} | {"common"} for w in ("w1", "w2") for k in range(12)}
+    df = spark.createDataFrame([(w, room, " ".join(sorted(words))) for (w, room), words in rooms.items()], "wing string, room string, content string")
+    want = {(w, a, b) for (w, a), x in rooms.items() for (v, b), y in rooms.items() if w == v and a < b and len(x & y) / len(x | y) > threshold}
+    got = {(x.wing, x.room_a, x.room_b): x.similarity for x in graph.room_similarity(df, threshold).collect()}
+    assert set(got) == want
+    assert all(abs(s - len(rooms[w, a] & rooms[w, b]) / len(rooms[w, a] | rooms[w, b])) < 1e-9 for (w, a, b), s in got.items())
+
+
+def test_pack_context_equals_plain_greedy(spark):
+    r = random.Random(6)
+    rows = [(k % 7, r.randint(0, 3), f"i{k:03}", r.choice([None, 10, 40, 90, 300])) for k in range(150)] + [(None, 1, "n", 5)]
+    want = {}
+    for by, _, id_, cost in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2])):
+        chosen, used = want.setdefault(by, ([], [0]))
+        if cost is not None and used[0] + cost <= 250:
+            chosen.append(id_)
+            used[0] += cost
+    got = lifecycle.pack_context(spark.createDataFrame(rows, "s long, priority int, id string, tokens int"), "s", "tokens", 250).collect()
+    assert {x.s: x.chosen for x in got} == {k: v[0] for k, v in want.items()}
+
+
+def test_vector_search_blocks(spark):
+    """Only what can be among the best leaves a block; the best are those of all pairs, ties and odd rows included."""
+    r = random.Random(7)
+    vectors = [(k, [r.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for k in range(300)] + [(300, None), (301, [1.0]), (302, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(vectors, "id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 1.0]), (2, [0.0, 0.0, 0.0]), (3, [2.0]), (4, None)], "query_id long, embedding array<float>")
+    round_ = lambda df: df.withColumn("score", F.round("score", 9))
+    every, few = (sorted(map(tuple, retrieval.top_k(round_(retrieval.vector_search(v, q, k)), 7).select("query_id", "id", "rank", "score").collect())) for k in (None, 7))
+    assert every == few and {x[0] for x in few} == {1, 2, 3}
+    assert [x[1] for x in few if x[0] == 3] == [301] and len([x for x in few if x[0] == 1]) == 7
