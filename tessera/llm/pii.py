@@ -11,8 +11,9 @@ overlap no span of the patterns.
 The labelled spans are generated from a fixed seed (forms of the four kinds and look-alikes among made-up words), TRAIN_ROWS
 windows of them; the bound is a parameter.
 
-Defined results: a null or empty text has no spans; repeated rows are read each on its own; an empty table gives an empty
-result; columns other than doc_id and text are not looked at.
+Defined results: a null or empty text has no spans; spans of two kinds that overlap both count (the patterns' own rule), in order
+of start, then kind, then end; repeated rows are read each on its own; a very long text is read whole; an empty table gives an
+empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 TRAIN_ROWS, EPOCHS, EMBED, HIDDEN, SEED = 1600, 14, 12, 16, 5
 
-_local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local_chars = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Possessive, and from the first digit of a run on: the same matches as the plain patterns, in linear time.

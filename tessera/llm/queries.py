@@ -11,43 +11,53 @@ from tessera.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and the verdicts of the base rules and of the cascade for every document."""
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, contrast and verdict of every document, by models trained on the labelled ones."""
     return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of the probe, read back from the tokens that they were formatted to."""
     turns = chat.format_turns(chat.with_probe(table(spark, sf_dir, "conversations")))
     return chat.read_back(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, and how far."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archive that it was written to."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much personal data each document holds, and where."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when repeated strings of 100 bytes are gone."""
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -11,7 +11,7 @@ kept again: of equal payloads of at least LEAST_REVISIT bytes, the row with the
 it.
 
 Defined results: a null payload is empty; rows that repeat an id and a payload have the same record type; rows with a null
-id are responses of their own; an empty table gives an empty archive; columns other than id, url and payload are not looked at.
+id are responses of their own; a very long payload has a frame of its own; an empty table gives an empty archive; columns other than id, url and payload are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import file_system, new_path
 
 FRAME, BUNDLE, LEVEL = 1 << 20, 256 << 20, 3
-LEAST_REVISIT = 100
+LEAST_REVISIT, SALTS = 100, 16
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"  # records carry no crawl time; a fixed one keeps bundles reproducible
@@ -137,17 +137,22 @@ def parse_records(frame: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload (null for revisits), n_bytes, digest, refers_to.
 
-    Texts move once, by their row's id; which rows revisit is found from ids and digests alone, and a digest that very many
-    rows share is reduced to its smallest id before the shuffle.
+    Texts move once, by their row's id; which rows revisit is found from ids and digests alone. A digest that very many rows
+    share is reduced to its smallest id before the shuffle, and its rows are dealt to SALTS parts for the join. Rows without an
+    id can revisit nothing and do not move.
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     slim = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n_bytes"))
     first = slim.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL")
-    again = slim.where("page_id IS NOT NULL").join(first, "digest").where("page_id <> first_id").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id").distinct()
+    salted = slim.where("page_id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    again = salted.join(spread, ["digest", "salt"]).where("page_id <> first_id").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id").distinct()
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    joined = rows.join(again, (rows.page_id == again.again_id) & (rows.digest == again.again_digest), "left")
-    return joined.select("page_id", "url", F.when(F.col("first_id").isNull(), F.col("payload")).alias("payload"), "n_bytes", "digest", F.col("first_id").alias("refers_to"))
+    known = rows.where("page_id IS NOT NULL")
+    joined = known.join(again, (known.page_id == again.again_id) & (known.digest == again.again_digest), "left")
+    joined = joined.select("page_id", "url", F.when(F.col("first_id").isNull(), F.col("payload")).alias("payload"), "n_bytes", "digest", F.col("first_id").alias("refers_to"))
+    return joined.union(rows.where("page_id IS NULL").select("page_id", "url", "payload", "n_bytes", "digest", F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_archive(pages: DataFrame, target: str, frame: int = FRAME, bundle: int = BUNDLE, least: int = LEAST_REVISIT) -> DataFrame:

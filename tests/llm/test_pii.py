@@ -87,3 +87,30 @@ def test_query_rows_and_redaction(docs_of, awkward):
     assert r.text == "[EMAIL] and [IP], [EMAIL]" and r.n_chars == len(r.text)
     assert {x.text for x in out.where("doc_id IN (0, 3)").collect()} == {None, docs.where("doc_id = 3").first().text}
     assert P.find_pii(docs.limit(0)).count() == 0 and P.redact(docs.limit(0)).count() == 0
+
+
+#: Forms that the generator of training windows does not make: other words around, other lengths and order.
+HELD_OUT = [
+    ("Bitte rufen Sie +49 (0)89 123456-78 an, danke.", "phone"), ("mail: John.Smith+news@mail.example-site.co.uk now", "email"), ("host 10.0.0.255 answered", "ip"), ("pay with 4111 1111 1111 1111 today", "card"),
+    ("write to someone @ example.org please", "email"), ("call 555.867.5309 tonight", "phone"), ("number: 5500-0000-0000-0004.", "card"), ("from 192.168.1.77:8080 again", "ip"),
+]
+CLEAN = ["In 1999 we sold 12,500 units at $3.20.", "See section 4.2.1 and figure 17.", "meet @ noon, room 1408", "build 2024.11.03 of version 12.0.4", "order #8841233, shipped 2021-05-06", "@handle said so", "3/4 of 1000 people"]
+
+
+def test_forms_and_clean_texts_that_the_generator_does_not_make():
+    model = P.train()
+    found = [{k for k, *_ in spans} for _, spans in P.all_spans(model, [t for t, _ in HELD_OUT])]
+    assert sum(kind in f for (_, kind), f in zip(HELD_OUT, found, strict=True)) >= 7
+    assert sum(bool(spans) for _, spans in P.all_spans(model, CLEAN)) <= 1
+
+
+def test_windows_without_digits_or_at_signs_hold_no_span(monkeypatch):
+    """Reading every window gives the same spans: what the gate leaves out could not have passed ``plausible``."""
+    r, model = random.Random(11), P.train()
+    texts = [P.make_text(r, 40)[0] + " words and only words here " * 6 + P.make_text(r, 10)[0] for _ in range(60)]
+    gated = [spans for _, spans in P.all_spans(model, texts)]
+    monkeypatch.setattr(P, "stretches", lambda text: [(0, max(1, -(-(len(text) - P.WINDOW) // P.STRIDE) + 1))] if text else [])
+    every = [spans for _, spans in P.all_spans(model, texts)]
+    n = sum(map(len, every))
+    same = sum(len(set(a) & set(b)) for a, b in zip(gated, every, strict=True))
+    assert n > 300 and same >= 0.995 * n and sum(map(len, gated)) <= 1.005 * n
