@@ -43,13 +43,27 @@ def follow(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_confidence:
     return reached
 
 
-def cascade(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.7) -> DataFrame:
-    """(node, score): the best product of seed score and weight · decay over walks of at most ``depth`` edges, either way."""
+def cascade(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.7, tags: DataFrame | None = None, tag_weight: float = 0.8) -> DataFrame:
+    """(node, score): the best product of seed score and weight · decay over walks of at most ``depth`` edges, either way.
+
+    ``tags`` (node, tag): a node also reaches, in one step, the other nodes of each of its tags, with the weight of a tag. A round
+    goes through the tags, each with the best score of its nodes and the best of the others, so nodes of a tag never meet in
+    pairs; tags themselves are no result.
+    """
     both = undirected(edges, "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
     best = seeds.groupBy("node").agg(F.max("score").alias("score"))
+    held = tags.select("node", "tag").distinct() if tags is not None else None
     for k in range(depth):
-        best = settle(best) if k > 2 else best  # deep cascades: each round uses the scores twice
+        best = settle(best) if k > 2 or held is not None else best  # deep cascades: each round uses the scores twice
         step = best.join(both, best.node == both.a).select(F.col("b").alias("node"), (F.col("score") * F.col("weight") * decay).alias("score"))
+        if held is not None:
+            own = best.join(held, "node")
+            first = own.groupBy("tag").agg(F.max(F.struct("score", "node")).alias("first"))
+            second = own.join(first, "tag").where(F.col("node") != F.col("first.node")).groupBy("tag").agg(F.max("score").alias("second"))
+            reach = first.join(second, "tag", "left")
+            heard = F.when(F.col("node") == F.col("first.node"), F.col("second")).otherwise(F.col("first.score"))  # from another node of the tag
+            fanned = held.join(reach, "tag").select("node", (heard * tag_weight * decay).alias("score")).where("score IS NOT NULL")
+            step = step.unionByName(fanned)
         best = best.unionByName(step).groupBy("node").agg(F.max("score").alias("score"))
     return best
 

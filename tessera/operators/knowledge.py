@@ -59,16 +59,32 @@ def bug_memories(memories: DataFrame, path: str, terms: Sequence[str] = ("bug",
     return file_context(memories, path).where(named)
 
 
+# What the parts of an observation add to its importance, which starts from a half and stays within 0 and 1.
+HOOK_WEIGHTS = {"post_tool_use_failure": 0.3, "session_end": -0.1, "notification": 0.1}
+TOOL_WEIGHTS = {"edit|write": 0.2, "delete|remove": 0.15, "error|fail": 0.2, "test|build": 0.1}
+OUTPUT_WEIGHTS = {"error|exception|failed": 0.2, "success|completed": 0.05}
+FILES_WEIGHT, MANY_FILES_WEIGHT, FACTS_WEIGHT = 0.1, 0.05, 0.1
+# Points of an observation's quality. Lengths are in bytes.
+FACT_POINTS, FACTS_POINTS, NARRATIVE_POINTS, LONG_POINTS, TITLE_POINTS, CONCEPT_POINTS, RATED_POINTS = 25, 10, 20, 5, 15, 15, 10
+
+
 def importance(observations: DataFrame) -> DataFrame:
-    """.5, and .2 for errors, .15 for decisions, .1 for touched files, .05 for long text; less .2 for reads; within 0 and 1."""
-    score = F.lit(0.5) + F.when(F.col("type") == "error", 0.2).otherwise(0.0) + F.when(F.col("type") == "decision", 0.15).otherwise(0.0) + F.when(F.size("files") > 0, 0.1).otherwise(0.0) + F.when(F.length("title") > 10, 0.05).otherwise(0.0) - F.when(F.col("type") == "view", 0.2).otherwise(0.0)
-    return observations.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    """``score`` from tool, hook, output (strings), files and facts (arrays); what is null adds nothing."""
+    worth = lambda hit, weight: F.when(hit, weight).otherwise(0.0)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    parts = [worth(low("hook") == k, w) for k, w in HOOK_WEIGHTS.items()] + [worth(low("tool").rlike(k), w) for k, w in TOOL_WEIGHTS.items()] + [worth(low("output").rlike(k), w) for k, w in OUTPUT_WEIGHTS.items()]
+    parts += [worth(n("files") > 0, FILES_WEIGHT), worth(n("files") > 2, MANY_FILES_WEIGHT), worth(n("facts") >= 3, FACTS_WEIGHT)]
+    return observations.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(parts, F.lit(0.5)))))
 
 
 def quality(observations: DataFrame) -> DataFrame:
-    """0 to 100: 25 each for a title of five letters or more, facts, concepts and files; 10 a fact and 5 a concept or file up to these."""
-    q = F.when(F.length("title") >= 5, 25).otherwise(0) + F.least(F.lit(25), F.size("files") * 10) + F.least(F.lit(25), F.size("concepts") * 5) + F.when(F.col("importance") >= 5, 25).otherwise(0)
-    return observations.withColumn("quality", q)
+    """``quality``, 0 to 100, from facts, concepts (arrays), narrative, title and importance (1 to 10)."""
+    points = lambda hit, n: F.when(hit, n).otherwise(0)
+    long = lambda c: F.octet_length(F.coalesce(F.col(c), F.lit("")))
+    q = points(F.size("facts") > 0, FACT_POINTS) + points(F.size("facts") >= 3, FACTS_POINTS) + points(long("narrative") >= 20, NARRATIVE_POINTS) + points(long("narrative") >= 50, LONG_POINTS)
+    q += points(long("title").between(5, 120), TITLE_POINTS) + points(F.size("concepts") > 0, CONCEPT_POINTS) + points(F.col("importance").between(1, 10), RATED_POINTS)
+    return observations.withColumn("quality", F.least(F.lit(100), q))
 
 
 def origin(documents: DataFrame, brands: Sequence[str], text: str = "text") -> DataFrame:

@@ -119,6 +119,19 @@ def cascade_retrieval(spark, d):
     return s.select("node", F.round("score", 6).alias("score"))
 
 
+@query("cascade_tags", B.sql("triples", """,
+b AS (SELECT a, b, max(weight) AS weight FROM (SELECT subject AS a, object AS b, weight FROM triples UNION ALL SELECT object, subject, weight FROM triples) GROUP BY a, b), h AS (SELECT DISTINCT subject AS node, predicate || length(subject) AS tag FROM triples),
+r0 AS (SELECT 'c7' AS node, 1.0::DOUBLE AS score), t0 AS (SELECT y.node, score * 0.8 * 0.7 AS score FROM r0 JOIN h x USING (node) JOIN h y ON x.tag = y.tag AND x.node <> y.node),
+r1 AS (SELECT node, max(score) AS score FROM (SELECT * FROM r0 UNION ALL SELECT b, score * weight * 0.7 FROM r0 JOIN b ON node = a UNION ALL SELECT * FROM t0) GROUP BY node), t1 AS (SELECT y.node, max(score) * 0.8 * 0.7 AS score FROM r1 JOIN h x USING (node) JOIN h y ON x.tag = y.tag AND x.node <> y.node GROUP BY y.node),
+r2 AS (SELECT node, max(score) AS score FROM (SELECT * FROM r1 UNION ALL SELECT b, score * weight * 0.7 FROM r1 JOIN b ON node = a UNION ALL SELECT * FROM t1) GROUP BY node)
+SELECT node, round(score, 6) AS score FROM r2"""))
+def cascade_tags(spark, d):
+    """A cascade that also goes over shared tags."""
+    t = B.triples(spark, d)
+    tags = t.select(F.col("subject").alias("node"), F.concat("predicate", F.length("subject")).alias("tag"))
+    return G.cascade(t, spark.createDataFrame([("c7", 1.0)], "node string, score double"), 2, tags=tags).select("node", F.round("score", 6).alias("score"))
+
+
 _ROOMS = "drawers2 AS (SELECT 'r' || (doc_id % 23) AS room, 'w' || ((doc_id * 7) % 10 + (doc_id % 3)) AS wing, 'h' || (doc_id % 3) AS hall, '2024-01-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') AS date, text AS content FROM documents)"
 _NODES = f"WITH RECURSIVE {_ROOMS}, nodes AS (SELECT room, list_sort(list(DISTINCT wing)) AS wings, list_sort(list(DISTINCT hall)) AS halls, list_sort(list(DISTINCT date)) AS ds, count(*) AS n FROM drawers2 GROUP BY room)"
 

@@ -65,10 +65,19 @@ def bug_memories(spark, d):
     return K.bug_memories(B.observations(spark, d), "f7", ("bug", "error")).select("id")
 
 
-@query("observation_scores", B.sql("observations", " SELECT id, round(greatest(0, least(1, 0.5 + CASE type WHEN 'error' THEN 0.2 ELSE 0 END + 0.1 + CASE WHEN length(title) > 10 THEN 0.05 ELSE 0 END - CASE type WHEN 'view' THEN 0.2 ELSE 0 END)), 6)::DOUBLE AS score, (CASE WHEN length(title) >= 5 THEN 25 ELSE 0 END + 20 + 10 + CASE WHEN importance >= 5 THEN 25 ELSE 0 END)::INT AS quality FROM observations"))
+@query("observation_scores", """WITH o AS (SELECT event_id AS id, event_type AS tool, CASE event_id % 4 WHEN 0 THEN 'post_tool_use_failure' WHEN 1 THEN 'session_end' WHEN 2 THEN 'notification' ELSE 'other' END AS hook, event_id % 3 AS r, event_id % 5 AS files, event_id % 6 AS facts, event_id % 11 AS rated, event_id % 60 AS chars FROM events),
+i AS (SELECT *, 0.5 + CASE hook WHEN 'post_tool_use_failure' THEN 0.3 WHEN 'session_end' THEN -0.1 WHEN 'notification' THEN 0.1 ELSE 0 END + CASE WHEN contains(tool, 'error') THEN 0.2 ELSE 0 END + CASE r WHEN 0 THEN 0.2 WHEN 1 THEN 0.05 ELSE 0 END
+  + CASE WHEN files > 0 THEN 0.1 ELSE 0 END + CASE WHEN files > 2 THEN 0.05 ELSE 0 END + CASE WHEN facts >= 3 THEN 0.1 ELSE 0 END AS s FROM o)
+SELECT id, round(greatest(0, least(1, s)), 6)::DOUBLE AS score, (CASE WHEN facts > 0 THEN 25 ELSE 0 END + CASE WHEN facts >= 3 THEN 10 ELSE 0 END + CASE WHEN chars >= 20 THEN 20 ELSE 0 END + CASE WHEN chars >= 50 THEN 5 ELSE 0 END
+  + CASE WHEN length(tool) BETWEEN 5 AND 120 THEN 15 ELSE 0 END + CASE WHEN files > 0 THEN 15 ELSE 0 END + CASE WHEN rated BETWEEN 1 AND 10 THEN 10 ELSE 0 END)::INT AS quality FROM i""")
 def observation_scores(spark, d):
-    o = K.quality(K.importance(B.observations(spark, d)))
-    return o.select("id", F.round("score", 6).alias("score"), "quality")
+    some = lambda n: f"transform(sequence(1, {n}), x -> cast(x AS string))"
+    o = B.table(spark, d, "events").selectExpr(
+        "event_id AS id", "event_type AS tool", "event_type AS title", "element_at(array('post_tool_use_failure', 'session_end', 'notification', 'other'), cast(event_id % 4 + 1 AS int)) AS hook",
+        "element_at(array('An Exception came', 'completed', 'nothing'), cast(event_id % 3 + 1 AS int)) AS output", f"if(event_id % 5 = 0, array(), {some('greatest(1, event_id % 5)')}) AS files", f"if(event_id % 5 = 0, array(), {some('greatest(1, event_id % 5)')}) AS concepts",
+        f"if(event_id % 6 = 0, array(), {some('greatest(1, event_id % 6)')}) AS facts", "repeat('x', cast(event_id % 60 AS int)) AS narrative", "event_id % 11 AS importance",
+    )
+    return K.quality(K.importance(o)).select("id", F.round("score", 6).alias("score"), "quality")
 
 
 @query("corpus_origin", "WITH c AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), 'thst|eau')) * 1000.0 / greatest(1, length(text)) AS b, len(regexp_extract_all(text, '(?m)^(User|Assistant|Human|AI):')) * 1000.0 / greatest(1, length(text)) AS t FROM documents) SELECT id, CASE WHEN b >= 0.5 OR t >= 2 THEN 'ai_dialogue' ELSE 'document' END AS origin, round(CASE WHEN b >= 0.5 OR t >= 2 THEN least(0.95, 0.6 + 0.1 * (b + t)) ELSE 0.6 END, 5)::DOUBLE AS confidence FROM c")

@@ -114,3 +114,24 @@ def test_vector_search_blocks(spark):
     every, few = (sorted(map(tuple, retrieval.top_k(round_(retrieval.vector_search(v, q, k)), 7).select("query_id", "id", "rank", "score").collect())) for k in (None, 7))
     assert every == few and {x[0] for x in few} == {1, 2, 3}
     assert [x[1] for x in few if x[0] == 3] == [301] and len([x for x in few if x[0] == 1]) == 7
+
+
+def test_cascade_goes_over_tags(spark):
+    """a, b and c share a tag, a is related to d: from d all of them are reached, and the tag is no result."""
+    edges = spark.createDataFrame([("a", "d", 1.0)], "subject string, object string, weight double")
+    tags = spark.createDataFrame([("a", "rust"), ("b", "rust"), ("c", "rust")], "node string, tag string")
+    got = {r.node: round(r.score, 6) for r in graph.cascade(edges, spark.createDataFrame([("d", 1.0)], "node string, score double"), 3, tags=tags).collect()}
+    assert got == {"d": 1.0, "a": 0.7, "b": 0.392, "c": 0.392}
+
+
+@pytest.mark.parametrize("word,stem", [("running", "run"), ("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("conditional", "condit"), ("happy", "happi"), ("sky", "sky"), ("agreed", "agre"), ("electricity", "electr"), ("adjustment", "adjust"), ("controlling", "control"), ("rate", "rate"), ("cease", "ceas"), ("falling", "fall"), ("hissing", "hiss"), ("filing", "file"), ("generalizations", "gener"), ("oscillators", "oscil"), ("at", "at")])
+def test_porter(word, stem):
+    from tessera.functions.udfs import porter
+
+    assert porter(word) == stem
+
+
+def test_stemmed_full_text(spark):
+    docs = spark.createDataFrame([(1, "They were Running, quickly!"), (2, "a café runs"), (3, "walking home")], "id long, content string")
+    q = spark.createDataFrame([(1, "run"), (2, "cafés"), (3, "walked homes")], "query_id long, query string")
+    assert sorted((r.query_id, r.id) for r in retrieval.full_text(docs, q, stems=True).collect()) == [(1, 1), (1, 2), (2, 2), (3, 3)]
