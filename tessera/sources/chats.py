@@ -6,9 +6,12 @@ once. Only the walk of a tree needs Python.
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,6 +197,41 @@ def normalise(files: DataFrame) -> DataFrame:
     return kinds.select("path", F.explode(turns.otherwise(plain)).alias("t")).select("path", "t.turn", "t.role", "t.text")
 
 
+SPEAKERS = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant"}
+
+
+def database_turns(content: bytes) -> list[tuple[str, int, str, str]]:
+    """(session, turn, role, text) of a SQLite file with sessions and messages, sessions in order of their time; none if it is no such file."""
+    import sqlite3
+
+    try:
+        with contextlib.closing(sqlite3.connect(":memory:")) as db:
+            db.deserialize(content)
+            rows = db.execute("SELECT s.id, m.role, m.content FROM sessions s JOIN messages m ON m.session_id = s.id ORDER BY s.created_at, s.id, m.id").fetchall()
+    except sqlite3.Error:
+        return []
+    out, turn = [], {}
+    for session, role, text in rows:
+        speaker = SPEAKERS.get(role)
+        if speaker and isinstance(text, str) and text.strip():
+            turn[session] = turn.get(session, -1) + 1
+            out.append((str(session), turn[session], speaker, text.strip()))
+    return out
+
+
+def session_databases(files: DataFrame) -> DataFrame:
+    """(path, session, turn, role, text) of SQLite session files; ``files`` is (path, content: binary). A file is read as a whole where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *t) for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in database_turns(content or b"")]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "session", "turn", "role", "text"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, session string, turn int, role string, text string")
+
+
 def render(turns: DataFrame, by: str = "path") -> DataFrame:
     """(by, transcript): user turns quoted, each followed by its answer, blank lines between. A transcript is one file's text."""
     line = F.when(F.col("role") == "user", F.concat(F.lit("> "), F.regexp_replace("text", "\n", "\n> "))).otherwise(F.col("text"))

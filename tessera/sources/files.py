@@ -14,6 +14,7 @@ EXTENSIONS = ("txt", "md", "rst", "py", "js", "ts", "tsx", "jsx", "rs", "go", "j
 SKIP_DIRS = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "venv", ".idea", ".vscode")
 SKIP_FILES = ("package-lock.json", "yarn.lock", "Cargo.lock", "poetry.lock", ".DS_Store")
 MOST_BYTES = 10 << 20
+MANIFESTS = ("package.json", "Cargo.toml", "pyproject.toml", "go.mod")
 
 
 def ignore_pattern(rule: str) -> tuple[str, bool] | None:
@@ -105,6 +106,21 @@ def split_sessions(rows: DataFrame, header: str = r"^(=== )?Session (started|sta
     return rows.select("id", F.posexplode(F.transform(starts, part)).alias("session", "text"))
 
 
+def projects(files: DataFrame) -> DataFrame:
+    """(folder, project, manifest): names that package manifests state; ``files`` is (path, content). Of several manifests in a folder the first in order of MANIFESTS counts."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    module = F.regexp_extract(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1), r"([^/]+)$", 1)
+    stated = (
+        F.when(name == "package.json", F.get_json_object("content", "$.name"))
+        .when(name == "Cargo.toml", F.regexp_extract("content", r"(?sm)^\[package\][^\[]*?^\s*name\s*=\s*[\"']([^\"']+)", 1))
+        .when(name == "pyproject.toml", F.regexp_extract("content", r"(?sm)^\[(?:project|tool\.poetry)\][^\[]*?^\s*name\s*=\s*[\"']([^\"']+)", 1))
+        .when(name == "go.mod", module)
+    )
+    rank = F.array_position(F.array(*map(F.lit, MANIFESTS)), name)
+    found = files.select(F.regexp_extract("path", r"^(.*?)/?[^/]+$", 1).alias("folder"), stated.alias("project"), name.alias("manifest"), rank.alias("rank")).where("coalesce(project, '') <> ''")
+    return found.groupBy("folder").agg(F.min_by(F.struct("project", "manifest"), "rank").alias("m")).select("folder", "m.project", "m.manifest")
+
+
 def diaries(files: DataFrame, seen: DataFrame, least: int = 50) -> DataFrame:
     """Diary days that are new or changed: (path, date, content, hash) without those in ``seen`` (path, hash)."""
     d = files.where(F.col("path").endswith(".md") & (F.octet_length("content") >= least))
