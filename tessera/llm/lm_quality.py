@@ -6,11 +6,12 @@ below, with three discounts for each order and language from its counts of count
 corpus are gathered once each (they are combined within each task first, so a common n-gram costs a row a task), and the count
 joins, order by order, give each its probability.
 
-Probabilities return to the documents by a join as well: a block is BLOCK_ROWS rows in a row of a file, its different n-grams
-are joined with their probabilities, and the block's table is written in a place of its own in the shared folder. The task that
-reads a block's documents takes its table from there and adds up. So the documents do not move, nothing passes through the
-driver, and what a task holds is the n-grams of a block. A document's perplexity is the mean over its characters. Documents that
-do not come straight from files are stored first.
+Probabilities return to the documents by a join as well: a piece is PIECE_ROWS rows in a row of a file, pieces are dealt to blocks of
+about BLOCK_ROWS rows, a block's different n-grams are joined with their probabilities, and the block's table is written in a place
+of its own in the shared folder. The task that reads a piece takes its block's table from there and adds up. So the documents do
+not move, nothing passes through the driver, and what a task holds is the n-grams of a block. Within a block's table n-grams are
+known by a 64-bit hash. A document's perplexity is the mean over its characters. Documents that do not come straight from files
+are stored first.
 
 A language's threshold is that one of the QUANTILES of the trusted texts that were held out for which the share of labelled bad
 texts (toxic or poor) above it exceeds the share of held-out ones above it by most, the higher one of equals. A language without
@@ -39,14 +40,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Tables, file_system, new_path, settle
 
 ORDER, BITS, FENCE, HELD_OUT = 5, 21, 4.0, 5
-#: Rows of a file whose n-grams share a table.
-BLOCK_ROWS = 16_384
+#: Rows of a file that go together, rows whose n-grams share a table, characters that are looked at together.
+PIECE_ROWS, BLOCK_ROWS, AT_ONCE = 16_384, 131_072, 1 << 18
 #: N-grams that a task holds before it passes them on; trusted ids and languages that are broadcast: with more, their joins are shuffled.
 HELD_GRAMS, BROADCAST_IDS, BROADCAST_LANGS = 1_500_000, 4_000_000, 10_000
 LEAST_SPREAD = 0.02
@@ -57,17 +58,40 @@ ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 KEY = ["lang", "a", "b"]
 
 
-def codes(text: str | None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character: its first characters and its last three."""
-    joined = " ".join((text or "").split())
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    padded = np.concatenate([np.zeros(order - 1, np.int64), points])
-    parts = [np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)]
-    for k in range(order if len(points) else 0):
-        own = parts[k >= order - 3]
-        own <<= BITS
-        own |= padded[k : k + len(points)]
-    return parts[0], parts[1]
+def blanked(text: str | None) -> str:
+    return " ".join((text or "").split())
+
+
+def codes(joined: str, start: int = 0, stop: int | None = None, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at the characters from ``start`` to ``stop``: the first characters, and the last three."""
+    stop = len(joined) if stop is None else stop
+    before = min(start, order - 1)
+    points = np.frombuffer(joined[start - before : stop].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    padded = np.concatenate([np.zeros(order - 1 - before, np.int64), points])
+    n = max(stop - start, 0)
+    if order != 5:
+        parts = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        for k in range(order if n else 0):
+            parts[k >= order - 3] = (parts[k >= order - 3] << BITS) | padded[k : k + n]
+        return parts[0], parts[1]
+    pairs = (padded[:-1] << BITS) | padded[1:]
+    return pairs[:n], (pairs[2 : 2 + n] << BITS) | padded[4 : 4 + n]
+
+
+def stretches(texts: list[str | None]) -> Iterator[list[tuple[int, str, int, int]]]:
+    """The texts' characters in stretches (text, its characters, first, after the last) of AT_ONCE together at most."""
+    out, held = [], 0
+    for k, text in enumerate(texts):
+        joined = blanked(text)
+        for start in range(0, len(joined), AT_ONCE):
+            stop = min(start + AT_ONCE, len(joined))
+            if out and held + stop - start > AT_ONCE:
+                yield out
+                out, held = [], 0
+            out.append((k, joined, start, stop))
+            held += stop - start
+    if out:
+        yield out
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,7 +105,8 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def rows_in(docs: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, lang, text, block)."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")]
-    block = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)).alias("block")
+    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / PIECE_ROWS)), F.lit(blocks)).alias("block")
     try:
         return docs.select(*own, block)
     except AnalysisException:  # not straight from files
@@ -89,45 +114,62 @@ def rows_in(docs: DataFrame, tables: Tables) -> DataFrame:
 
 
 def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of equal n-grams added up (but for those whose hashes clash, which may stay apart)."""
+    """Counts of equal n-grams added up (but for those whose hashes clash, which may stay apart); in order of their hashes."""
     if not len(a):
         return a, b, n
-    order = np.argsort(mixed(a, b))
+    order = np.argsort(mixed(a, b), kind="stable")  # fast on what was merged before
     a, b, n = a[order], b[order], n[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     return a[first], b[first], np.add.reduceat(n, first)
 
 
-def gram_counts(rows: DataFrame, by_block: bool = False) -> DataFrame:
-    """(lang, a, b, n), or by_block (block, lang, a, b): highest-order n-grams, combined within each batch and then by shard."""
+def grams_in(rows: DataFrame) -> DataFrame:
+    """(block, lang, a, b, n): highest-order n-grams, combined within each task as far as HELD_GRAMS allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], tuple] = {}
+        held: dict[tuple[int, str], list[tuple]] = {}
         size = 0
 
+        def gather() -> int:
+            for key, parts in held.items():
+                held[key] = [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            for (block, lang), parts in held.items():
-                a, b, n = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            gather()
+            for (block, lang), ((a, b, n),) in held.items():
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(a)), pa.repeat(pa.scalar(lang, pa.string()), len(a)), pa.array(a), pa.array(b), pa.array(n)], ["block", *KEY, "n"])
             held.clear()
-            size = 0
 
         for batch in batches:
+            by_key: dict[tuple[int, str], list[str | None]] = {}
             for lang, text, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = codes(text)
-                held.setdefault((block if by_block else 0, lang), []).append((a, b, np.ones(len(a), np.int64)))
-                size += len(a)
-                if size > HELD_GRAMS:
-                    for key, parts in held.items():
-                        held[key] = [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-                    size = sum(len(parts[0][0]) for parts in held.values())
-                    if 3 * size > 2 * HELD_GRAMS:
-                        yield from flush()
+                by_key.setdefault((block, lang), []).append(text)
+            for key, texts in by_key.items():
+                for group in stretches(texts):
+                    a, b = (np.concatenate(x) for x in zip(*(codes(*g[1:]) for g in group), strict=True))
+                    own = merged(a, b, np.ones(len(a), np.int64))
+                    held.setdefault(key, []).append(own)
+                    size += len(own[0])
+                    if size > HELD_GRAMS:
+                        size = gather()
+                        if 3 * size > 2 * HELD_GRAMS:
+                            yield from flush()
+                            size = 0
         yield from flush()
 
-    found = rows.select("lang", "text", "block").mapInArrow(run, "block long, lang string, a long, b long, n long")
-    return found.groupBy("block", *KEY).agg(F.lit(1).alias("n")).drop("n") if by_block else found.groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text", "block").mapInArrow(run, "block long, lang string, a long, b long, n long")
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    return grams_in(rows).groupBy(*KEY).agg(F.sum("n").alias("n"))
+
+
+def block_grams(rows: DataFrame) -> DataFrame:
+    """(block, lang, a, b, first): the different n-grams of each block; ``first`` for one block of each n-gram."""
+    before = F.lag("block").over(Window.partitionBy(*KEY).orderBy("block"))
+    found = grams_in(rows).select("block", *KEY).withColumn("before", before).where("before IS NULL OR before <> block")
+    return found.select("block", *KEY, F.col("before").isNull().alias("first"))
 
 
 def suffix(order: int) -> list[Column]:
@@ -192,41 +234,48 @@ class Model:
 
 
 class Scores:
-    """Look-up of n-grams in an open-addressed table; what is not in it counts as zero and is not counted."""
+    """Look-up of n-grams, by their hashes, in an open-addressed table; what is not in it counts as zero."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, *logs: np.ndarray):
         self.bits = max(4, int(1.5 * len(a)).bit_length())
-        self.a, self.b, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros((1 << self.bits, len(logs)), np.float32)
-        values = np.stack(logs, axis=1)
-        at, left = self._home(a, b), np.arange(len(a))
+        size = 1 << self.bits
+        self.keys, self.logs = np.zeros(size, np.uint64), np.zeros((size + 1, len(logs)), np.float32)  # key 0: free; the last row is for what is not found
+        values, keys = np.stack(logs, axis=1), self._keys(a, b)
+        at, left = self._home(keys), np.arange(len(keys))
         while len(left):
-            free = left[self.a[at[left]] == -1]
-            places, first = np.unique(at[free], return_index=True)  # of several for one place the first stays
-            free = free[first]
-            self.a[places], self.b[places], self.logs[places] = a[free], b[free], values[free]
-            left = left[(self.a[at[left]] != a[left]) | (self.b[at[left]] != b[left])]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (mixed(a, b) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def sum(self, a: np.ndarray, b: np.ndarray) -> tuple[float, ...]:
-        """The sums of the logarithms, and how many n-grams there are."""
-        at, found, total = self._home(a, b), 0, np.zeros(self.logs.shape[1])
-        while len(a):
-            own = self.a[at]
-            hit = (own == a) & (self.b[at] == b)
-            total += self.logs[at[hit]].sum(axis=0, dtype=np.float64)
-            found += int(hit.sum())
-            on = ~hit & (own != -1)
-            a, b, at = a[on], b[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return *total.tolist(), found
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            won = left[self.keys[at[left]] == keys[left]]
+            self.logs[at[won]] = values[won]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (size - 1)
+
+    @staticmethod
+    def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum(mixed(a, b), np.uint64(1))
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The logarithms of each n-gram."""
+        keys = self._keys(a, b)
+        at = self._home(keys)
+        own = self.keys[at]
+        lost = np.flatnonzero(own != keys)
+        while len(lost):
+            gone = self.keys[at[lost]] == 0
+            at[lost[gone]] = len(self.keys)
+            lost = lost[~gone]
+            at[lost] = (at[lost] + 1) & (len(self.keys) - 1)
+            lost = lost[self.keys[at[lost]] != keys[lost]]
+        return self.logs[at]
 
 
 def block_tables(grams: DataFrame, scored: DataFrame) -> str:
     """Writes (lang, a, b, log_p, log_q) of each block's n-grams under block=<number>, and returns where."""
     path = new_path(grams.sparkSession, "scores")
-    grams.join(scored, KEY).repartition("block").sortWithinPartitions("block", *KEY).write.partitionBy("block").parquet(path)
+    grams.join(scored, KEY).repartition("block").sortWithinPartitions("block", *KEY).write.partitionBy("block").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -252,12 +301,20 @@ def add_up(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = None, {}
         for batch in batches:
-            sums = []
-            for lang, text, block in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            sums = np.zeros((batch.num_rows, 3))
+            by_key: dict[tuple[int, str], list[int]] = {}
+            for k, (lang, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                by_key.setdefault((block, lang), []).append(k)
+            for block, lang in sorted(by_key, key=lambda x: (x[0] != known, x)):
+                places = by_key[block, lang]
                 if block != known:
                     known, own = block, load_block(path, block)
-                sums.append(own[lang].sum(*codes(text)) if lang in own else (0.0, 0.0, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in sums], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], ["doc_id", "lang", "log_p", "log_q", "n"])
+                for group in stretches(batch.column(2).take(pa.array(places)).to_pylist()) if lang in own else ():
+                    logs = own[lang].of(*(np.concatenate(x) for x in zip(*(codes(*g[1:]) for g in group), strict=True)))
+                    n = np.array([stop - start for *_, start, stop in group])
+                    added = np.add.reduceat(logs, np.cumsum(n) - n, axis=0, dtype=np.float64)
+                    np.add.at(sums, np.array(places)[[k for k, *_ in group]], np.column_stack([added, n]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(sums[:, 2].astype(np.int64))], ["doc_id", "lang", "log_p", "log_q", "n"])
 
     return rows.select("doc_id", "lang", "text", "block").mapInArrow(run, "doc_id long, lang string, log_p double, log_q double, n long")
 
@@ -279,10 +336,11 @@ def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return gram_counts(rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"))
 
     trusted, toxic = Model(learnt("good"), tables), Model(learnt("toxic"), tables)
-    wanted = tables.store(gram_counts(rows).select(*KEY))
+    grams = tables.store(block_grams(rows))
+    wanted = grams.where("first").select(*KEY)
     p, q = (m.score(wanted).select(*KEY, F.log("p").cast("float").alias(n)) for m, n in ((trusted, "log_p"), (toxic, "log_q")))
     scored = tables.store(p.join(q, KEY))
-    texts.paths.append(path := block_tables(gram_counts(rows, by_block=True), scored))
+    texts.paths.append(path := block_tables(grams.drop("first"), scored))
     known = settle(toxic.sizes.select("lang", F.lit(True).alias("known")))
     tables.clear()
     marked = add_up(rows, path).join(labelled, "doc_id", "left").join(known, "lang", "left")

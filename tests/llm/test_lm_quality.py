@@ -87,11 +87,23 @@ def test_lookup_table():
     r = np.random.default_rng(1)
     g = np.unique(r.integers(0, 2**42, (5000, 2)) // [[1, 2**20]], axis=0)
     a, b = g[:, 0].copy(), g[:, 1].copy()
-    s = L.Scores(a, b, np.arange(len(a), dtype=np.float32))
+    s = L.Scores(a, b, np.arange(len(a), dtype=np.float32), -np.arange(len(a), dtype=np.float32))
     other = r.integers(0, 2**42, (2, 100))
-    total, found = s.sum(np.concatenate([a[10:20], a[10:12], other[0]]), np.concatenate([b[10:20], b[10:12], other[1]]))
-    assert found == 12 and total == sum(range(10, 20)) + 10 + 11
-    assert L.Scores(a[:0], b[:0], np.zeros(0, np.float32)).sum(a[:5], b[:5]) == (0.0, 0)
+    got = s.of(np.concatenate([a[10:20], a[10:12], other[0]]), np.concatenate([b[10:20], b[10:12], other[1]]))
+    assert got[:, 0].tolist() == [*range(10, 20), 10, 11, *[0] * 100] and (got[:, 1] == -got[:, 0]).all()
+    assert (s.of(a, b)[:, 0] == np.arange(len(a))).all()
+    assert L.Scores(a[:0], b[:0], np.zeros(0, np.float32)).of(a[:5], b[:5]).sum() == 0
+
+
+def test_stretches_of_long_texts_hold_the_same_n_grams(monkeypatch):
+    texts = ["one text of some length", None, "", "x", "a longer text than the others are"]
+    whole = [L.codes(L.blanked(t)) for t in texts]
+    monkeypatch.setattr(L, "AT_ONCE", 7)
+    parts = [(k, L.codes(*g)) for group in L.stretches(texts) for k, *g in group]
+    assert all(sum(g[3] - g[2] for g in group) <= 7 for group in L.stretches(texts))
+    for k, (a, b) in enumerate(whole):
+        assert np.concatenate([np.zeros(0), *(x[0] for i, x in parts if i == k)]).tolist() == a.tolist()
+        assert np.concatenate([np.zeros(0), *(x[1] for i, x in parts if i == k)]).tolist() == b.tolist()
 
 
 def test_codes_are_whole_characters():
@@ -116,7 +128,9 @@ def test_every_row_comes_back_whatever_the_blocks(spark, docs_of, monkeypatch, t
     order = lambda x: (x.doc_id is None, x.doc_id or 0, x.n_chars, x.perplexity or 0.0)
     docs_of(rows).write.parquet(str(tmp_path / "docs"))
     one = sorted(L.document_scores(docs_of(rows), labels).collect(), key=order)
-    monkeypatch.setattr(L, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(L, "PIECE_ROWS", 2)
+    monkeypatch.setattr(L, "AT_ONCE", 16)
     monkeypatch.setattr(L, "HELD_GRAMS", 40)
     many = sorted(L.document_scores(spark.read.parquet(str(tmp_path / "docs")), labels).collect(), key=order)
     assert len(one) == len(many) == len(rows)
