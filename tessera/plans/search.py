@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics, vectors
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
+from tessera.operators import vector_index as VI
+from tessera.operators.settle import shared_dir
 from tessera.plans import base as B
 from tessera.plans.registry import query
 
@@ -75,6 +77,17 @@ def vector_search(spark, d):
     return R.top_k(_rounded(R.vector_search(_vectors(spark, d), _query_vectors(spark, d), 10)), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    """Every vector in an index of cells that is written and read back, the stated query set against it, and its recall against the exact search."""
+    vectors_, queries_ = _vectors(spark, d), _query_vectors(spark, d)
+    centres, path = VI.fit(vectors_), shared_dir(spark, "cells")
+    VI.save(VI.index(vectors_, centres), path)
+    found = VI.search(VI.load(spark, path), centres, queries_, 10)
+    exact = R.top_k(_rounded(R.vector_search(vectors_, queries_, 10)), 10)
+    return VI.recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("vector_normalise", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(1.0, 5) AS unit_norm FROM embeddings")
 def vector_normalise(spark, d):
     v = _vectors(spark, d)
