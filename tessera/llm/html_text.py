@@ -8,7 +8,8 @@ wrapper it is, and slots are judged for the host as a whole by what they hold on
 
 - a slot in a navigating or interactive element (OUT_TAGS, OUT_ROLES), or in a part that names itself an advert, comments or
   the like as a whole class name (OUT_NAMES), is out;
-- a slot of one and the same text on three or more different pages is the template's, unless it heads something in an article;
+- a slot of one and the same text on three or more different pages is the template's, unless it is a paragraph, heading, list item
+  or the like within an article (pages may repeat an article);
 - a slot with most of its text in links is a menu;
 - of the others, main text is what stands in article or main elements. Where a page has none, it is the smallest container
   that holds most of the host's text, and the first headings above it.
@@ -345,23 +346,23 @@ def match(wrapper: str, skeleton: str) -> list[int]:
     return [x if (x := same.of(k)) < n else -1 for k in range(n, upto)]
 
 
-def places(wrapper: str) -> list[tuple[bool, bool, bool]]:
-    """For each slot: out by its elements, in an article or main element, a heading."""
+def places(wrapper: str) -> list[tuple[bool, bool, bool, bool]]:
+    """For each slot: out by its elements, in an article or main element, a heading, in a paragraph or the like."""
     out = []
 
-    def visit(nodes: list[Node], gone: bool, within: bool, head: bool) -> None:
+    def visit(nodes: list[Node], gone: bool, within: bool, head: bool, leaf: bool) -> None:
         for n in nodes:
             if n[0] == "#":
-                out.append((gone, within, head))
+                out.append((gone, within, head, leaf))
             elif n[0] == "r":
-                visit(n[1], gone, within, head)
+                visit(n[1], gone, within, head, leaf)
             else:
                 tag, *words = n[1].split(".")
                 roles = {w[1:] for w in words if w[0] == "@"}
                 bad = tag in OUT_TAGS or bool(roles & OUT_ROLES) or not OUT_NAMES.isdisjoint(words) or (tag == "header" and not within)
-                visit(n[2], gone or bad, within or tag in MAIN_TAGS or "main" in roles, head or tag in HEADS)
+                visit(n[2], gone or bad, within or tag in MAIN_TAGS or "main" in roles, head or tag in HEADS, leaf or tag in LEAVES or tag in HEADS)
 
-    visit(json.loads(wrapper), False, False, False)
+    visit(json.loads(wrapper), False, False, False, False)
     return out
 
 
@@ -369,10 +370,10 @@ def judge(wrapper: str, seen: dict[int, tuple[int, int, bool, int]]) -> tuple[li
     """(main text on pages with an article, on pages without) by slot. ``seen``: characters, of them in links, always one text?, characters on pages without article."""
     where = places(wrapper)
     usable = []
-    for k, (gone, within, head) in enumerate(where):
+    for k, (gone, within, _, leaf) in enumerate(where):
         chars, linked, fixed, _ = seen.get(k, (0, 0, False, 0))
-        usable.append(chars > 0 and not gone and 2 * linked <= chars and not (fixed and not (within and head)))
-    with_article = [u and w for u, (_, w, _) in zip(usable, where, strict=True)]
+        usable.append(chars > 0 and not gone and 2 * linked <= chars and not (fixed and not (within and leaf)))
+    with_article = [u and w for u, (_, w, *_) in zip(usable, where, strict=True)]
     nodes, _ = loaded(wrapper)
     mass = [seen.get(k, (0, 0, False, 0))[3] if u else 0 for k, u in enumerate(usable)]
 

@@ -75,6 +75,12 @@ def test_the_wrapper_decides_for_the_host():
     assert H.extract([html.format(*bodies[-1])]) != ["Head 9\nbrief"]
 
 
+def test_pages_that_repeat_an_article_keep_it():
+    """Copies of an article under different menus are no template; what a template puts into each article is."""
+    html = '<nav><a>{0}</a></nav><article><h1>One</h1><p>the same words</p><div>share this</div></article><footer>{0}</footer>'
+    assert H.extract([html.format(f"m{k}") for k in range(6)]) == ["One\nthe same words"] * 6
+
+
 def test_names_count_as_a_whole_only():
     html = '<article><h1>t</h1><section class="related-work"><p>prior</p></section><section id="notice-of-appeal"><p>law</p></section><div class="ad">buy</div></article>'
     assert H.extract([html]) == ["t\nprior\nlaw"]
