@@ -270,24 +270,29 @@ def ignore_rules(spark, d):
     return p.select("page_id", files.ignored(F.col("p"), ["# pages", "*.html", "fr/", "!1*.html"]).alias("ignored"))
 
 
+def _plain(name: str):
+    """A time without zone, as the tables have it."""
+    return F.col(name).cast("timestamp_ntz").alias(name)
+
+
 @query("saturation_hours", """SELECT date_trunc('hour', ts) AS start, count(*) FILTER (event_type = 'view') AS messages, count(*) FILTER (event_type = 'click') AS actions, count(*) FILTER (event_type = 'error') AS blockers,
 count(*) FILTER (event_type = 'view') / greatest(1, count(*) FILTER (event_type = 'click'))::DOUBLE AS chatter FROM events GROUP BY ALL""")
 def saturation_hours(spark, d):
     e = B.table(spark, d, "events").selectExpr("ts", "CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'action' WHEN 'error' THEN 'blocker' ELSE event_type END AS event_type")
-    return S.saturation_windows(e).select("start", "messages", "actions", "blockers", "chatter")
+    return S.saturation_windows(e).select(_plain("start"), "messages", "actions", "blockers", "chatter")
 
 
 @query("sliding_type_counts", """WITH w AS (SELECT event_type, unnest(list_transform(range(0, 6), lambda k: time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes((10 * k)::BIGINT))) AS start FROM events)
 SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM w GROUP BY ALL""")
 def sliding_type_counts(spark, d):
-    return S.sliding_counts(B.table(spark, d, "events").select("ts", "event_type"))
+    return S.sliding_counts(B.table(spark, d, "events").select("ts", "event_type")).select(_plain("start"), _plain("end"), "event_type", "n")
 
 
 @query("agent_sessions", """WITH e AS (SELECT user_id AS agent_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTES AS gap FROM events),
 s AS (SELECT agent_id, ts, sum(coalesce(gap, true)::INT) OVER (PARTITION BY agent_id ORDER BY ts) AS k FROM e)
 SELECT agent_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n FROM s GROUP BY agent_id, k""")
 def agent_sessions(spark, d):
-    return S.sessions(B.table(spark, d, "events").selectExpr("user_id AS agent_id", "ts"))
+    return S.sessions(B.table(spark, d, "events").selectExpr("user_id AS agent_id", "ts")).select("agent_id", _plain("start"), _plain("end"), "n")
 
 
 def _streamed(spark, d, columns: list[str], operator, mode: str):
