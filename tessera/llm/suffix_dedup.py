@@ -78,7 +78,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hot_class(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - HOT_CLASSES.bit_length() + 1)).astype(np.int64)
+    """Anchors have the least hashes of their surroundings, so the class is taken from a hash of the hash."""
+    return (mix(h) >> np.uint64(64 - HOT_CLASSES.bit_length() + 1)).astype(np.int64)
 
 
 class Anchors:
@@ -196,6 +197,8 @@ PLACES = ("<i8", "<u4")  # document key, position
 ANCHORS = (*PLACES, "<u8", "<u8")
 ROWS = "kind int, bucket int, blob binary"
 SETTLED, ANCHOR, OPEN, RANGE, HOT_WINDOW = 0, 1, 2, 3, 4
+#: How marks are packed, and how many a task holds.
+MARKS, MARKS_HELD = {SETTLED: PLACES, RANGE: (*PLACES, "<u4")}, 1 << 22
 
 
 def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -303,14 +306,25 @@ def meet(anchors: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {ANCHOR: [], HOT_WINDOW: []}
+        marks: dict[tuple[int, int], list[list[np.ndarray]]] = {}  # what each task has marked in a bucket of documents goes on as one row
+        size = 0
+
+        def gathered() -> pa.RecordBatch:
+            out = [(kind, bucket, compress(packed(*(np.concatenate(x) for x in zip(*own, strict=True))))) for (kind, bucket), own in marks.items()]
+            marks.clear()
+            return rows_of(out)
+
         for batch in batches:
-            done = []
             for kind, bucket, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if kind in parts:
                     parts[kind].append(unpacked(blob, *ANCHORS))
-                else:
-                    done.append((kind, bucket, blob))
-            yield rows_of(done)
+                    continue
+                marks.setdefault((kind, bucket), []).append(unpacked(decompress(blob), *MARKS[kind]))
+                size += len(marks[kind, bucket][-1][0])
+                if size > MARKS_HELD:
+                    yield gathered()
+                    size = 0
+        yield gathered()
         if parts[HOT_WINDOW]:
             key, at, h, w = (np.concatenate(x) for x in zip(*parts.pop(HOT_WINDOW), strict=True))
             yield rows_of(repeated_windows(key, at, settle_contexts(key, at, h, w)[1], buckets))

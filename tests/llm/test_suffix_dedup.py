@@ -83,6 +83,13 @@ def test_a_line_among_different_surroundings(docs_of, monkeypatch):
     assert {g.n_removed for g in X.suffix_dedup(docs).collect()} == {0}
 
 
+def test_classes_of_anchors_are_even():
+    data = np.random.default_rng(6).integers(97, 123, 400_000).astype(np.uint8)
+    (_, _, h, _), _ = X.batch_anchors(data, np.array([0, len(data)]))
+    counts = np.bincount(X.hot_class(h) >> 10, minlength=64)
+    assert counts.min() > 0.6 * counts.mean() and counts.max() < 1.5 * counts.mean()
+
+
 def test_repeated_rows_are_one_document(docs_of):
     text = " ".join(passages(random.Random(2), 3))
     got = X.suffix_dedup(docs_of([(1, text), (1, text), (2, text), (None, text)])).collect()
