@@ -5,7 +5,8 @@ each length alone (at most ``capacity`` numbers): best fit, longest first, for a
 ranks within a length go to which sequences at which place; pieces take their places by a join on length and rank.
 Ranks are counted in buckets whose sizes are added up, so that a length that very many pieces share is no single task.
 
-Defined results: a null text is an empty document (the closing id alone); repeated rows are packed each on its own; a null
+Defined results: a null text is an empty document (the closing id alone); a very long text is cut into pieces, of which only the last
+may be shorter; repeated rows are packed each on its own; pieces of one length take places in the order of doc_id, piece and checksum; a null
 doc_id stays null; an empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 

@@ -4,8 +4,10 @@ Each rule's cost and selectivity are measured on a sample; the rules then run in
 the documents that the rules before them let pass. A document stops at the first rule that rejects it. The rules are a
 conjunction, so the order changes the cost and never the verdict.
 
-Defined results: a null text counts as empty; repeated rows are judged each on its own; an empty table gives an empty
-result; columns other than doc_id and text are not looked at.
+Defined results: a null text counts as empty; repeated rows are judged each on its own, rows with null ids as others; a very long
+text is read whole (only the sample leaves texts over SAMPLE_BYTES out); a measure that equals its limit passes; of rules that reject
+as much a second the first named comes first; an empty table gives an empty result; columns other than doc_id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ BANDS bands of ROWS values each, so that such a pair shares no band in about 3 o
 verified on its sets unless its documents are linked already. Candidates are gathered by their components; a component over
 BLOCK documents or BLOCK_BYTES of text is cut into blocks that meet pair by pair, so none is capped.
 
-Defined results: as in ``simhash``, but doc_ids are not null (``keep_one`` puts keys in their place); texts without words are equal to each other, a text of fewer words than a shingle is one.
+Defined results: as in ``simhash``, but a pair at exactly LEAST is linked, and doc_ids are not null (``keep_one`` puts keys in their place); texts without words are equal to each other, a text of fewer words than a shingle is one.
 """
 
 from __future__ import annotations
