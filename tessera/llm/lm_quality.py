@@ -54,6 +54,8 @@ LEAST_SPREAD = 0.02
 #: The quantiles of held-out trusted texts that a threshold is chosen from: one in ten to one in a hundred of them are lost.
 QUANTILES = (0.9, 0.925, 0.95, 0.975, 0.99)
 CONTRASTS = (0.95, 0.975, 0.99, 0.995)
+#: The models, by the sort of texts that they learn from.
+MODELS = ("good", "toxic")
 ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 KEY = ["lang", "a", "b"]
 
@@ -214,11 +216,8 @@ class Model:
                 table = table.groupBy("lang", *suffix(k)).agg(F.count(F.lit(1)).alias("n"))
         self.sizes = table.groupBy("lang").agg((F.count(F.lit(1)) + 1).cast("double").alias("size"))
 
-    def score(self, wanted: DataFrame) -> DataFrame:
-        """(lang, a, b, p) of highest-order n-grams ``wanted`` (lang, a, b), by one count join and one context join for each order."""
-        sets = {self.order: wanted}
-        for k in range(self.order, 1, -1):
-            sets[k - 1] = sets[k].select("lang", *suffix(k)).distinct()
+    def score(self, sets: dict[int, DataFrame]) -> DataFrame:
+        """(lang, a, b, p) of the n-grams ``sets[order]`` by one count join and one context join for each order, from the lowest up."""
         below = None
         for k in range(1, self.order + 1):
             grams = sets[k].join(self.counts[k].select(*KEY, "left"), KEY, "left")
@@ -233,6 +232,14 @@ class Model:
         return below
 
 
+def gram_sets(wanted: DataFrame, tables: Tables, order: int = ORDER) -> dict[int, DataFrame]:
+    """The n-grams ``wanted`` (lang, a, b) and the shorter ones that they end in, of each order; stored, as every model reads them."""
+    sets = {order: wanted}
+    for k in range(order, 1, -1):
+        sets[k - 1] = tables.store(sets[k].select("lang", *suffix(k)).distinct())
+    return sets
+
+
 class Scores:
     """Look-up of n-grams, by their hashes, in an open-addressed table; what is not in it counts as zero."""
 
@@ -329,19 +336,19 @@ def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sort = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), sort.alias("sort")).where("sort IS NOT NULL").groupBy("doc_id").agg(F.max("sort").alias("sort"))
     labelled = labelled.withColumn("held_out", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0) | (F.col("sort") == "poor"))
-    small = labelled.count() <= BROADCAST_IDS
-
-    def learnt(what: str) -> DataFrame:
-        ids = labelled.where((F.col("sort") == what) & ~F.col("held_out")).select("doc_id")
-        return gram_counts(rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"))
-
-    trusted, toxic = Model(learnt("good"), tables), Model(learnt("toxic"), tables)
+    learnt = labelled.where("NOT held_out").select("doc_id", F.col("sort").alias("model"))
+    if learnt.count() <= BROADCAST_IDS:
+        learnt = F.broadcast(learnt)
+    # both models are one set of tables: a language of a model is a language of its own there
+    of_model = lambda model: F.concat(model, F.lit(":"), F.col("lang")).alias("lang")
+    model = Model(gram_counts(rows.join(learnt, "doc_id").select(of_model(F.col("model")), "text", "block")), tables)
     grams = tables.store(block_grams(rows))
-    wanted = grams.where("first").select(*KEY)
-    p, q = (m.score(wanted).select(*KEY, F.log("p").cast("float").alias(n)) for m, n in ((trusted, "log_p"), (toxic, "log_q")))
-    scored = tables.store(p.join(q, KEY))
-    texts.paths.append(path := block_tables(grams.drop("first"), scored))
-    known = settle(toxic.sizes.select("lang", F.lit(True).alias("known")))
+    wanted = grams.where("first").select(F.explode(F.array(*(of_model(F.lit(m)) for m in MODELS))).alias("lang"), "a", "b")
+    scored = tables.store(model.score(gram_sets(wanted, tables)).select(*KEY, F.log("p").cast("float").alias("log")))
+    name, lang = F.split("lang", ":", 2)[0], F.split("lang", ":", 2)[1]
+    pairs = scored.select(name.alias("model"), lang.alias("lang"), "a", "b", "log").groupBy(*KEY).agg(*(F.max(F.when(F.col("model") == m, F.col("log"))).alias(n) for m, n in zip(MODELS, ("log_p", "log_q"), strict=True)))
+    texts.paths.append(path := block_tables(grams.drop("first"), pairs))
+    known = settle(model.sizes.where(name == MODELS[1]).select(lang.alias("lang"), F.lit(True).alias("known")))
     tables.clear()
     marked = add_up(rows, path).join(labelled, "doc_id", "left").join(known, "lang", "left")
     contrast = F.when((F.col("n") > 0) & F.col("known"), (F.col("log_q") - F.col("log_p")) / F.col("n"))
