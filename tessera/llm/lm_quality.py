@@ -104,10 +104,10 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def rows_in(docs: DataFrame, tables: Tables) -> DataFrame:
+def rows_in(docs: DataFrame, n: int, tables: Tables) -> DataFrame:
     """(doc_id, lang, text, block)."""
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")]
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
+    blocks = max(1, -(-n // BLOCK_ROWS))
     block = F.pmod(F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / PIECE_ROWS)), F.lit(blocks)).alias("block")
     try:
         return docs.select(*own, block)
@@ -125,7 +125,7 @@ def merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return a[first], b[first], np.add.reduceat(n, first)
 
 
-def grams_in(rows: DataFrame) -> DataFrame:
+def grams_in(rows: DataFrame, n_docs: int) -> DataFrame:
     """(block, lang, a, b, n): highest-order n-grams, combined within each task as far as HELD_GRAMS allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +160,19 @@ def grams_in(rows: DataFrame) -> DataFrame:
                             size = 0
         yield from flush()
 
-    return rows.select("lang", "text", "block").mapInArrow(run, "block long, lang string, a long, b long, n long")
+    # a table of very many small files is read by fewer tasks, so that a common n-gram is not a row for each file
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, 2 * -(-n_docs // PIECE_ROWS))
+    return rows.select("lang", "text", "block").coalesce(parts).mapInArrow(run, "block long, lang string, a long, b long, n long")
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    return grams_in(rows).groupBy(*KEY).agg(F.sum("n").alias("n"))
+def gram_counts(rows: DataFrame, n_docs: int) -> DataFrame:
+    return grams_in(rows, n_docs).groupBy(*KEY).agg(F.sum("n").alias("n"))
 
 
-def block_grams(rows: DataFrame) -> DataFrame:
+def block_grams(rows: DataFrame, n_docs: int) -> DataFrame:
     """(block, lang, a, b, first): the different n-grams of each block; ``first`` for one block of each n-gram."""
     before = F.lag("block").over(Window.partitionBy(*KEY).orderBy("block"))
-    found = grams_in(rows).select("block", *KEY).withColumn("before", before).where("before IS NULL OR before <> block")
+    found = grams_in(rows, n_docs).select("block", *KEY).withColumn("before", before).where("before IS NULL OR before <> block")
     return found.select("block", *KEY, F.col("before").isNull().alias("first"))
 
 
@@ -332,7 +334,8 @@ def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``sort``: good, toxic, poor or null by the labels; ``held_out``: no model has learnt from it.
     """
     tables, texts = Tables(docs.sparkSession), Tables(docs.sparkSession)
-    rows = rows_in(docs, texts)
+    n = docs.count()
+    rows = rows_in(docs, n, texts)
     sort = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), sort.alias("sort")).where("sort IS NOT NULL").groupBy("doc_id").agg(F.max("sort").alias("sort"))
     labelled = labelled.withColumn("held_out", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0) | (F.col("sort") == "poor"))
@@ -341,8 +344,8 @@ def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         learnt = F.broadcast(learnt)
     # both models are one set of tables: a language of a model is a language of its own there
     of_model = lambda model: F.concat(model, F.lit(":"), F.col("lang")).alias("lang")
-    model = Model(gram_counts(rows.join(learnt, "doc_id").select(of_model(F.col("model")), "text", "block")), tables)
-    grams = tables.store(block_grams(rows))
+    model = Model(gram_counts(rows.join(learnt, "doc_id").select(of_model(F.col("model")), "text", "block"), n), tables)
+    grams = tables.store(block_grams(rows, n))
     wanted = grams.where("first").select(F.explode(F.array(*(of_model(F.lit(m)) for m in MODELS))).alias("lang"), "a", "b")
     scored = tables.store(model.score(gram_sets(wanted, tables)).select(*KEY, F.log("p").cast("float").alias("log")))
     name, lang = F.split("lang", ":", 2)[0], F.split("lang", ":", 2)[1]
