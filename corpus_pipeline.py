@@ -62,10 +62,21 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+#: Rows that a task hands to Python at once. Texts are long; the default of 10 000 rows holds tens of megabytes several times over.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """The stages one after the other over ``documents``; what the last one wrote."""
+    key, rows = ARROW_ROWS
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            path = new_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+        return docs
+    finally:
+        spark.conf.set(key, before)
