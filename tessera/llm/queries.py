@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html_text, lm_quality, packing, pii, quality_rules, simhash, suffix_dedup, warc
+from tessera.llm import chat, decontaminate, html_text, lm_quality, packing, pii, quality_rules, simhash, suffix_dedup, vector_codes, warc
 from tessera.llm.common import table
 
 
@@ -61,9 +61,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and label's error of every vector, and the digest of the codebooks."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup, op13_vector_code_compression)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL, "op8_html_extraction": html_text.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL, "op8_html_extraction": html_text.SQL, "op13_vector_code_compression": vector_codes.SQL}
