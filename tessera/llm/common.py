@@ -103,3 +103,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+#: CRC-32 in DuckDB, which has none: a recursive table from its polynomial (after WITH RECURSIVE; ``tab`` has the table as a list), and the loop over bytes.
+CRC_TABLE = "bits AS (SELECT i, i AS v, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8), tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8)"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, where ``tab`` is among the tables."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(list_filter(string_split({text}, ''), lambda y: y <> ''), lambda y: ascii(y)::BIGINT)), lambda a, y: xor(a // 256, tab.t[(xor(a, y) & 255) + 1])), 4294967295)"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Tables, settle
+from tessera.llm.common import CRC_TABLE, Tables, crc32_sql, settle
 
 FAMILY, HEADS = 5, 9
 #: Turns in a range partition, and different names in a bucket, about; what share of the rows makes a name hot, one in so many.
@@ -172,13 +172,11 @@ def trie(conversations: DataFrame) -> DataFrame:
     return out
 
 
-#: CRC-32 is taken bytewise with a table that is computed from its polynomial.
 SQL = f"""
-WITH RECURSIVE bits AS (SELECT i AS i, i AS v, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
-tab AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+WITH RECURSIVE {CRC_TABLE},
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), substring(coalesce(text, ''), 1, {TIE_CHARS}), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i,
         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS b FROM conversations WHERE conv_id IS NOT NULL),
-cs AS (SELECT c, own, c - c % {FAMILY} AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda a, y: xor(a // 256, tab.t[(xor(a, y) & 255) + 1])), 4294967295) % {HEADS} AS h
+cs AS (SELECT c, own, c - c % {FAMILY} AS base, {crc32_sql("c::VARCHAR")} % {HEADS} AS h
   FROM (SELECT c, count(*) AS own FROM t GROUP BY c), tab),
 r AS (SELECT c, 1 AS own, i, x, b FROM t JOIN cs USING (c) WHERE i >= h UNION ALL SELECT cs.c, 0, i, x, b FROM cs JOIN t ON t.c = cs.base WHERE i < h),
 o AS (SELECT c, row_number() OVER w AS d, list(x) OVER w AS p, b FROM r WINDOW w AS (PARTITION BY c ORDER BY r.own, i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT c, 0, [], 0 FROM cs),

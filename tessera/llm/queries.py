@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html_text, lm_quality, packing, pii, prefix_trie, quality_rules, simhash, suffix_dedup, vector_codes, warc
+from tessera.llm import chat, decontaminate, html_text, lm_quality, packing, pii, prefix_trie, quality_rules, simhash, suffix_dedup, suffix_tree_lm, vector_codes, warc
 from tessera.llm.common import table
 
 
@@ -66,14 +66,19 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the suffix tree and under single words."""
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code, error and label's error of every vector, and the digest of the codebooks."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup, op11_conversation_prefix_trie, op13_vector_code_compression)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_warc, op7_pii, op8_html_extraction, op9_best_fit_packing, op10_suffix_array_dedup, op11_conversation_prefix_trie, op12_lm_scoring, op13_vector_code_compression)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL, "op8_html_extraction": html_text.SQL, "op11_conversation_prefix_trie": prefix_trie.SQL, "op13_vector_code_compression": vector_codes.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op4_chat_formatting": chat.SQL, "op6_warc": warc.SQL, "op8_html_extraction": html_text.SQL, "op11_conversation_prefix_trie": prefix_trie.SQL, "op12_lm_scoring": suffix_tree_lm.SQL, "op13_vector_code_compression": vector_codes.SQL}
