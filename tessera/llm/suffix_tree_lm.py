@@ -139,14 +139,14 @@ class Answers:
 class Shards:
     """How words and contexts are dealt to shards; counts of the whole corpus."""
 
-    def __init__(self, n: int, train: int = 0, vocabulary: int = 0):
-        self.n, self.train, self.vocabulary = n, train, vocabulary
+    def __init__(self, n: int, hot: int, train: int = 0, vocabulary: int = 0):
+        self.n, self.hot, self.train, self.vocabulary = n, hot, train, vocabulary
 
     def of_words(self, words: list[bytes]) -> np.ndarray:
         return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(self.n)).astype(np.int64)
 
     def of_pairs(self, states: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        parts = 1 + counts // HOT_COUNT
+        parts = 1 + counts // self.hot
         with np.errstate(over="ignore"):
             h = (states.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((words % parts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -181,13 +181,13 @@ class Pairs:
         self.order = np.argsort(shard.astype(np.uint16) if shards.n < 1 << 16 else shard, kind="stable")
         self.shard, self.words, self.state, self.n, self.seen = (x[self.order] for x in (shard, words, state, n, seen))
         self.loss = np.rint(-np.log(text.p[place][self.order]) * NATS).clip(0, 65535).astype(np.int64)
-        self.runs = runs(self.shard, self.state)
+        self.runs, self.hot = runs(self.shard, self.state), self.seen >= shards.hot
 
     def sent(self) -> Iterator[tuple[int, list[bytes]]]:
         """By shard: contexts and whether they are hot, the number of their pairs, successors, counts, the parent's losses."""
-        for a, b in zip(cut := runs(self.shard), [*cut[1:], len(self.shard)], strict=True):
+        for a, b in zip(cut := runs(self.shard), np.append(cut[1:], len(self.shard))[: len(cut)], strict=True):
             at = self.runs[np.searchsorted(self.runs, a) : np.searchsorted(self.runs, b)]
-            yield int(self.shard[a]), [pack(2 * self.state[at] + (self.seen[at] >= HOT_COUNT)), pack(np.diff(np.append(at, b))), pack(self.words[a:b]), pack(self.n[a:b]), pack(self.loss[a:b])]
+            yield int(self.shard[a]), [pack(2 * self.state[at] + self.hot[at]), pack(np.diff(np.append(at, b))), pack(self.words[a:b]), pack(self.n[a:b]), pack(self.loss[a:b])]
 
     def back(self, answers: dict[int, dict]) -> tuple[np.ndarray, ...]:
         """By pair in the order of ``of``: count, successors of the context, whether it is a state, number of the longer context."""
@@ -195,7 +195,7 @@ class Pairs:
         join = lambda c: np.concatenate([unpack(r[c]) for r in rows]) if rows else np.zeros(0, np.int64)
         counts, heads, longer = join("a"), join("b"), join("c")
         hot = {s: p for r in rows for s, p in zip(r["hot_states"] or (), r["hot_parts"] or (), strict=True)}
-        for k in np.flatnonzero(self.seen[self.runs] >= HOT_COUNT).tolist():
+        for k in np.flatnonzero(self.hot[self.runs]).tolist():
             successors, keep = hot[int(self.state[self.runs[k]])]
             heads[k] = 2 * int(successors) + int(keep)
         numbers = np.zeros(len(counts), np.int64)
@@ -377,16 +377,16 @@ def sent_pairs(row: dict, _: Text, pairs: Pairs | None) -> Iterator[tuple]:
         yield shard, row["block"], row["bin"], *data
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, hot: int = HOT_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
     tables = Tables(docs.sparkSession)
     held = tables.store(blocks(docs))
     n_tokens, train, bins = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_distinct("bin")).first()
     parts = docs.sparkSession.sparkContext.defaultParallelism
-    shards, bins = Shards(max(parts, -(-n_tokens // SHARD_TOKENS))), max(parts, bins)
+    shards, bins = Shards(max(parts, -(-n_tokens // SHARD_TOKENS)), hot), max(parts, bins)
     answers = tables.store(by_shard(send_words(held.select("block", "bin", "held", "lengths", "ids", "words"), shards), merge_words(shards.n), shards))
     vocabulary = answers.where("block < 0").agg(F.coalesce(F.sum(F.col("hot_parts")[0][0]), F.lit(0.0))).first()[0]
-    shards = Shards(shards.n, train, int(vocabulary))
+    shards = Shards(shards.n, hot, train, int(vocabulary))
     paths = [write_back(answers.where("block >= 0"), bins, tables)]
     for level in range(1, order + 1):
         sent = over_blocks(held, paths, shards, SENT, sent_pairs, False)
@@ -415,7 +415,8 @@ x{k} AS (SELECT x.* EXCLUDE (p), CASE WHEN keep THEN (q{k}.c + t * x.p) / (n + t
 #: One blank stands for a text's start, the empty word for its end. Numbers are rounded, as sums differ in their last places.
 SQL = rf"""
 WITH RECURSIVE {CRC_TABLE},
-d AS (SELECT row_number() OVER () AS r, doc_id, {crc32_sql("coalesce(doc_id::VARCHAR, '')")} % {FOLDS} = {HELD_OUT} AS held, list_append(list_filter(regexp_split_to_array({_LOWER}, '[ 	-]+'), lambda w: w <> ''), '') AS ws FROM documents, tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, {crc32_sql("coalesce(doc_id::VARCHAR, '')")} % {FOLDS} = {HELD_OUT} AS held, list_append(list_filter(regexp_split_to_array({_LOWER}, '[ 	-
+]+'), lambda w: w <> ''), '') AS ws FROM documents, tab),
 t AS (SELECT r, held, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 u AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w),
 k AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM u),

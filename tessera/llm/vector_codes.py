@@ -211,6 +211,8 @@ def train(vectors: DataFrame, tables: Tables) -> tuple[DataFrame, Codebooks] | N
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(ENTRIES).collect()  # 16 rows
     if not first:
         return None
+    if len({len(r["v"]) for r in first}) > 1:
+        raise ValueError("vectors of unlike lengths")
     seeds = floors(np.array([r["v"] for r in first], np.float64)).reshape(len(first), PARTS, -1).transpose(1, 0, 2)
     books, held = Codebooks(np.ascontiguousarray(seeds)), blocks(kept)
     for _ in range(ROUNDS):
