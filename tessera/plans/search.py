@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics, vectors
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
+from tessera.operators import text_index as TI
 from tessera.operators import vector_index as VI
 from tessera.operators.settle import shared_dir
 from tessera.plans import base as B
@@ -29,10 +30,15 @@ def _rounded(df, digits=9):
     return df.withColumn("score", F.round("score", digits))
 
 
+def _index(spark, d):
+    """The stored index of the drawers' texts; made by the first query that asks for it."""
+    return TI.of_table(B.drawers(spark, d).select("id", "content"), f"{d}/documents.parquet")
+
+
 @query("bm25_search", B.sql("drawers,words,queries,qwords", _BM25 + _TOPK.format("bm25") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def bm25_search(spark, d):
     """Top 10 of BM25 for every query."""
-    return R.top_k(_rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(B.queries(spark, d), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("full_text_all_terms", B.sql("drawers,words,queries,qwords", _BM25 + """,
@@ -40,7 +46,21 @@ need AS (SELECT query_id, count(*) AS need FROM qt GROUP BY ALL),
 held AS (SELECT query_id, id, count(*) AS held FROM qt JOIN tf USING (term) GROUP BY ALL)
 SELECT query_id, id, round(score, 6) AS score FROM bm25 JOIN held USING (query_id, id) JOIN need USING (query_id) WHERE held = need"""))
 def full_text_all_terms(spark, d):
-    return R.full_text(B.texts(spark, d), B.queries(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(B.queries(spark, d), None, "all").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("text_index_life", B.sql("drawers,words,queries,qwords", _BM25.replace("FROM drawers)", "FROM drawers WHERE id % 10 <> 7)").replace("FROM words", "FROM words WHERE id % 10 <> 7 AND true").replace("AND true WHERE", "AND") + _TOPK.format("bm25") + " SELECT stage, query_id, id, rank::INT AS rank, round(score, 4) AS score FROM ranked, (VALUES ('deltas'), ('merged')) AS t(stage) WHERE rank < 10"))
+def text_index_life(spark, d):
+    """An index that is begun with outdated texts of a tenth of the drawers, gets the right ones and loses another tenth, searched before and after its merge."""
+    docs = B.drawers(spark, d).select("id", "content")
+    index = TI.TextIndex(spark, shared_dir(spark, "text-index"), "bigint")
+    index.add(docs.withColumn("content", F.when(F.col("id") % 10 == 3, F.concat(F.lit("out of date the "), "content")).otherwise(F.col("content"))))
+    index.add(docs.where("id % 10 = 3"))
+    index.delete(docs.where("id % 10 = 7").select("id"))
+    before = index.search(B.queries(spark, d), 10).withColumn("stage", F.lit("deltas"))
+    index.merge()
+    both = before.unionByName(index.search(B.queries(spark, d), 10).withColumn("stage", F.lit("merged")))
+    return both.select("stage", "query_id", "id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("naive_overlap_search", B.sql("drawers,words,queries,qwords", """,
@@ -49,7 +69,7 @@ dn AS (SELECT id, count(*) AS dn FROM dw GROUP BY id), qn AS (SELECT query_id, c
 j AS (SELECT query_id, id, count(*) AS b FROM dw JOIN qw USING (term) GROUP BY ALL),
 s AS (SELECT query_id, id, b / (dn + qn - b)::DOUBLE AS score FROM j JOIN dn USING (id) JOIN qn USING (query_id))""" + _TOPK.format("(SELECT * FROM s WHERE score > 0.05)") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def naive_overlap_search(spark, d):
-    return R.top_k(_rounded(R.overlap(B.texts(spark, d), B.queries(spark, d))), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(B.queries(spark, d), 10, "overlap").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("contains_strategy", B.sql("drawers", """,
@@ -77,15 +97,17 @@ def vector_search(spark, d):
     return R.top_k(_rounded(R.vector_search(_vectors(spark, d), _query_vectors(spark, d), 10)), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("vector_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+@query("vector_index_recall", _VECTORS + _TOPK.format("s") + " SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS nine_in_ten_found, true AS one_in_ten_scored FROM ranked WHERE rank < 10")
 def vector_index_recall(spark, d):
-    """Every vector in an index of cells that is written and read back, the stated query set against it, and its recall against the exact search."""
+    """Every vector in an index that is written and read back; the stated query set's exact neighbours, how many of them it finds, and how many rows it scores for them."""
     vectors_, queries_ = _vectors(spark, d), _query_vectors(spark, d)
-    centres, path = VI.fit(vectors_), shared_dir(spark, "cells")
-    VI.save(VI.index(vectors_, centres), path)
-    found = VI.search(VI.load(spark, path), centres, queries_, 10)
-    exact = R.top_k(_rounded(R.vector_search(vectors_, queries_, 10)), 10)
-    return VI.recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+    rows, model, centres = VI.build(vectors_, shared_dir(spark, "cells"))
+    exact = R.top_k(_rounded(R.vector_search(vectors_, queries_, 10)), 10).select("query_id", "id")
+    found = VI.search(rows, model, centres, queries_, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    scored = VI.estimates(rows, model, centres, queries_, model.cells, model.depth).agg(F.count(F.lit(1)).alias("scored"))
+    hits = exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("hits"))
+    every = vectors_.agg(F.count(F.lit(1)).alias("n"))
+    return hits.crossJoin(F.broadcast(scored)).crossJoin(F.broadcast(every)).select("queries", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("nine_in_ten_found"), (F.col("scored") <= 0.1 * F.col("n") * F.col("queries")).alias("one_in_ten_scored"))
 
 
 @query("vector_normalise", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(1.0, 5) AS unit_norm FROM embeddings")
@@ -132,7 +154,7 @@ def _hybrid(spark, d, **options):
     vectors_ = _vectors(spark, d).select("id", "embedding")
     qv = B.queries(spark, d).join(vectors_.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "embedding")
     docs = B.drawers(spark, d)
-    streams = {"bm25": R.top_k(_rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv, 30)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
+    streams = {"bm25": _index(spark, d).search(B.queries(spark, d), 30), "vector": R.top_k(_rounded(R.vector_search(vectors_.join(docs.select("id"), "id", "left_semi"), qv, 30)), 30), "graph": R.top_k(_graph(spark, d).join(docs.select("id"), "id", "left_semi"), 30)}
     return _rounded(R.fuse(streams)).join(docs.select("id", "session", "wing", "room"), "id")
 
 
@@ -155,10 +177,7 @@ s AS (SELECT query_id, id, b / (dn + qn - b)::DOUBLE AS sim FROM j JOIN dn USING
 r AS (SELECT query_id, id, round(0.7 * sim + 0.3 * coalesce(score, 0) / (coalesce(score, 0) + 1), 9) AS score FROM s LEFT JOIN bm25 USING (query_id, id))""" + _TOPK.format("r") + " SELECT query_id, id, rank::INT AS rank, round(score, 6) AS score FROM ranked WHERE rank < 10"))
 def search_rerank(spark, d):
     """Word overlap reranked by BM25."""
-    docs, q = B.texts(spark, d), B.queries(spark, d)
-    both = R.score_postings(R.query_postings(docs, q), q).where("overlap > 0.05")
-    scored = both.select("query_id", "id", F.round(R.blend_bm25(F.col("overlap"), F.col("bm25")), 9).alias("score"))
-    return R.top_k(scored, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(B.queries(spark, d), 10, "blend").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("duplicate_check", """WITH d AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents),

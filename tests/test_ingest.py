@@ -135,28 +135,3 @@ def test_stemmed_full_text(spark):
     docs = spark.createDataFrame([(1, "They were Running, quickly!"), (2, "a café runs"), (3, "walking home")], "id long, content string")
     q = spark.createDataFrame([(1, "run"), (2, "cafés"), (3, "walked homes")], "query_id long, query string")
     assert sorted((r.query_id, r.id) for r in retrieval.full_text(docs, q, stems=True).collect()) == [(1, 1), (1, 2), (2, 2), (3, 3)]
-
-
-def test_vector_index(spark, tmp_path):
-    """All cells read: the exact results. Few cells read: most of them. Odd rows are in no cell that is read."""
-    import numpy as np
-
-    from tessera.operators import vector_index as VI
-
-    rng = np.random.default_rng(2)
-    middles = rng.normal(size=(12, 16))
-    rows = [(k, [float(x) for x in middles[k % 12] + 0.4 * rng.normal(size=16)]) for k in range(1500)] + [(5000 + k, [1.0] * 16) for k in range(500)] + [(9001, None), (9002, [1.0]), (9003, [0.0] * 16)]
-    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4)
-    q = v.where("id % 50 = 0 AND id < 1500").select(F.col("id").alias("query_id"), "embedding").union(spark.createDataFrame([(-1, None), (-2, [2.0])], "query_id long, embedding array<float>"))
-    centres = VI.fit(v, cells=30)
-    VI.save(VI.index(v, centres), str(tmp_path / "cells"))
-    held = VI.load(spark, str(tmp_path / "cells"))
-    assert held.count() == len(rows) and {r.id for r in held.where("cell = -1").collect()} == {9001, 9002}
-    exact = retrieval.top_k(retrieval.vector_search(v.where("size(embedding) = 16"), q, 10).withColumn("score", F.round("score", 9)), 10)
-    whole = VI.search(held, centres, q, 10, probes=30)
-    ids = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
-    assert ids(whole) == ids(exact)
-    few = VI.recall(VI.search(held, centres, q, 10, probes=6), exact).first()
-    assert few.queries == 30 and few.recall >= 0.9
-    none = v.limit(0)
-    assert VI.search(VI.index(none, VI.fit(none)), VI.fit(none), q).count() == 0
