@@ -87,15 +87,6 @@ def centroids(members: DataFrame, vector: str = "embedding", by: str = "label")
     return whole.join(sizes, by).select(by, F.transform("s", lambda x: x["m"]).alias("centroid"), "n")
 
 
-def cluster_overlap(members: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, overlap): |A and B| / min(|A|, |B|) over the threshold, from (cluster_id, member_id)."""
-    m = members.select("cluster_id", "member_id").distinct()
-    size = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    both = m.alias("x").join(m.alias("y"), (F.col("x.member_id") == F.col("y.member_id")) & (F.col("x.cluster_id") < F.col("y.cluster_id"))).groupBy(F.col("x.cluster_id").alias("a"), F.col("y.cluster_id").alias("b")).agg(F.count(F.lit(1)).alias("both"))
-    sized = both.join(size.select(F.col("cluster_id").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("cluster_id").alias("b"), F.col("size").alias("sb")), "b")
-    return sized.select("a", "b", (F.col("both") / F.least("sa", "sb")).alias("overlap")).where(F.col("overlap") > threshold)
-
-
 def duplicate_stats(drawers: DataFrame, least: int = 5, large: int = 20, share: float = 0.4) -> DataFrame:
     """(source_file, n, estimate): sources with at least ``least`` drawers; for more than ``large``, an estimate of copies."""
     g = drawers.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

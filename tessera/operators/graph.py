@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokens
 from tessera.operators.settle import settle
 
 
@@ -166,3 +167,51 @@ def pagerank(nodes: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds:
         rank = base.join(got, "room", "left").select("room", (teleport * F.col("base") + (1 - teleport) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         rank = settle(rank)  # a round uses the ranks twice, so uncut plans would double each time
     return rank
+
+
+def pagerank_of_queries(nodes: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 30, least: float = 0.0) -> DataFrame:
+    """(query_id, room, rank): ``pagerank`` for many queries at once, by pushing what each still has to give.
+
+    nodes: (room, wings), seeds: (query_id, room, mass), scaled to one for each query. A round sends every residual on through the room's wings and keeps ``teleport`` of it; residuals up to ``least`` are dropped, so a
+    rank may be too low by what was dropped, and a round's work is that of the residuals that are left. With ``least`` 0 the ranks are those of ``rounds`` rounds of power iteration from the seeds.
+    """
+    links = settle(nodes.select("room", F.explode("wings").alias("wing")).distinct())
+    sizes = links.groupBy("wing").agg(F.count(F.lit(1)).alias("size"))
+    degree = settle(links.join(sizes, "wing").groupBy("room").agg(F.sum(F.col("size") - 1).alias("degree")).where("degree > 0"))
+    total = seeds.groupBy("query_id").agg(F.sum("mass").alias("total"))
+    rest = settle(seeds.join(total, "query_id").where("mass > 0").select("query_id", "room", (F.col("mass") / F.col("total")).alias("rest")))
+    kept = []
+    for _ in range(rounds):
+        kept.append(rest.select("query_id", "room", (F.col("rest") * teleport).alias("rank")))
+        sent = rest.join(degree, "room").join(links, "room").select("query_id", "room", "wing", ((1 - teleport) * F.col("rest") / F.col("degree")).alias("out"))
+        inflow = sent.groupBy("query_id", "wing").agg(F.sum("out").alias("inflow"))
+        # every room of a wing gets the wing's inflow, less what it gave itself
+        got = inflow.join(links, "wing").select("query_id", "room", F.col("inflow").alias("got")).unionByName(sent.select("query_id", "room", (-F.col("out")).alias("got")))
+        rest = settle(got.groupBy("query_id", "room").agg(F.sum("got").alias("rest")).where(F.col("rest") > max(least, 1e-15)))
+        if least and rest.isEmpty():
+            break
+    kept.append(rest.select("query_id", "room", F.col("rest").alias("rank")))
+    ranks = kept[0]
+    for k in kept[1:]:
+        ranks = ranks.unionByName(k)
+    return ranks.groupBy("query_id", "room").agg(F.sum("rank").alias("rank"))
+
+
+def room_ranks(nodes: DataFrame, queries: DataFrame, most: int = 50, **options: float) -> tuple[DataFrame, DataFrame]:
+    """(seeding, room, rank), the ``most`` best rooms of each seeding, and (query_id, seeding) of every query (query_id, query).
+
+    A query seeds the rooms whose names contain its words, by how many do; all queries that name no room share one seeding, of all rooms alike. Words meet rooms by the parts
+    of their names: a room lists them, which are its name's length squared at most.
+    """
+    name = F.lower("room")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n))))
+    rooms = settle(nodes.select("room", "wings"))
+    listed = rooms.where("room <> ''").select("room", F.explode(F.array_distinct(parts)).alias("word"))
+    words = queries.select("query_id", F.explode(tokens("query")).alias("word"))
+    named = settle(words.join(listed, "word").groupBy("query_id", "room").agg(F.count(F.lit(1)).cast("double").alias("mass")))
+    own = F.concat(F.lit("q"), F.col("query_id").cast("string"))
+    seeds = named.select(own.alias("query_id"), "room", "mass").unionByName(rooms.select(F.lit("all").alias("query_id"), "room", F.lit(1.0).alias("mass")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("rank", 12)), "room"))
+    ranks = pagerank_of_queries(rooms, seeds, **options).withColumn("place", place).where(F.col("place") <= most).select(F.col("query_id").alias("seeding"), "room", "rank")
+    known = named.select("query_id").distinct().withColumn("named", F.lit(True))
+    return ranks, queries.select("query_id").distinct().join(known, "query_id", "left").select("query_id", F.when(F.col("named"), own).otherwise("all").alias("seeding"))

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import dialect
 from tessera.functions import text as T
-from tessera.functions.udfs import compact_line
 
 #: Bytes of a query that pass untouched, that a cut-out must have, and that it may have.
 SAFE_BYTES, LEAST_BYTES, MOST_BYTES = 200, 10, 500
@@ -112,11 +112,7 @@ def add_drawers(rows: DataFrame) -> DataFrame:
     """Raw drawers with ids from their content, and for each a compressed fact that is derived from it."""
     raw = rows.withColumn("id", F.concat(F.lit("drawer_"), F.substring(T.content_hash("content"), 1, 24))).dropDuplicates(["id"]).select("id", "wing", "room", "content", F.lit("raw").alias("kind"), F.lit(None).cast("string").alias("derived_from"))
 
-    @F.pandas_udf("string")
-    def line(content: pd.Series, wing: pd.Series, room: pd.Series) -> pd.Series:
-        return pd.Series([compact_line(c, w, r, "", "") for c, w, r in zip(content, wing, room, strict=True)])
-
-    facts = raw.select(F.concat("id", F.lit("_fact")).alias("id"), "wing", "room", line("content", "wing", "room").alias("content"), F.lit("fact").alias("kind"), F.col("id").alias("derived_from"))
+    facts = raw.select(F.concat("id", F.lit("_fact")).alias("id"), "wing", "room", dialect.line("content", F.col("wing"), F.col("room")).alias("content"), F.lit("fact").alias("kind"), F.col("id").alias("derived_from"))
     return raw.unionByName(facts)
 
 
@@ -151,34 +147,6 @@ def facts(rows: DataFrame, payload: str = "tool_input") -> DataFrame:
     return rows.withColumn("_f", run(F.col(payload))).withColumn("facts", F.col("_f.facts")).withColumn("files", F.col("_f.files")).drop("_f")
 
 
-#: Signs of a person and of a project, and their weights.
-PERSON = ((r"(?m)^(?:> )?{n}:", 3), (r"\b{n} (?:said|asked|told|thinks|wants|wrote|laughed)\b", 2), (r"\b(?:hey|hi|thanks|dear),? {n}\b", 4))
-PROJECT = ((r"\b(?:build|building|deploy|install|run|ship|release)(?:ed|ing)? {n}\b", 2), (r"\b{n}[- ]?v?\d+(?:\.\d+)+\b", 3), (r"\b{n}\.(?:py|rs|js|ts|go|md)\b|\bimport {n}\b", 3))
-
-
-def entity_scores(texts: Sequence[str], name: str) -> tuple[float, float]:
-    """(person, project): weighted counts of signs; a pronoun within two lines of the name counts two for a person."""
-    person = project = 0.0
-    n = re.escape(name)
-    for text in texts:
-        person += sum(w * len(re.findall(p.format(n=n), text, re.I)) for p, w in PERSON)
-        project += sum(w * len(re.findall(p.format(n=n), text, re.I)) for p, w in PROJECT)
-        lines = text.split("\n")
-        for k, line in enumerate(lines):
-            if re.search(rf"\b{n}\b", line):
-                person += 2 * bool(re.search(r"\b(?:he|she|they|him|her|them|his|their)\b", "\n".join(lines[max(0, k - 2) : k + 3]), re.I))
-    return person, project
-
-
-def classify_entity(texts: Sequence[str], name: str) -> str:
-    """person from a share of .7 on, project up to .3, else uncertain; uncertain without any sign."""
-    person, project = entity_scores(texts, name)
-    if person + project == 0:
-        return "uncertain"
-    share = person / (person + project)
-    return "person" if share >= 0.7 else "project" if share <= 0.3 else "uncertain"
-
-
 def branch_sessions(sessions: DataFrame, branch: str) -> DataFrame:
     """Sessions that carry a branch's tag."""
     return sessions.where(F.array_contains("tags", f"branch:{branch}"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
+from tessera.operators import clusters as CL
 from tessera.plans import base as B
 from tessera.plans.registry import query
 
@@ -121,10 +122,44 @@ def cluster_centroids(spark, d):
     return c.select("label", F.round(F.aggregate(F.transform("centroid", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("weighted"), "n")
 
 
-@query("cluster_overlap", "WITH m AS (SELECT DISTINCT user_id % 30 AS cluster_id, event_id % 40 AS member_id FROM events), s AS (SELECT cluster_id, count(*) AS z FROM m GROUP BY ALL), b AS (SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) AS n FROM m x JOIN m y ON x.member_id = y.member_id AND x.cluster_id < y.cluster_id GROUP BY ALL) SELECT a, b, round(n / least(p.z, q.z)::DOUBLE, 6) AS overlap FROM b JOIN s p ON p.cluster_id = a JOIN s q ON q.cluster_id = b WHERE n / least(p.z, q.z)::DOUBLE > 0.5")
+_MEMBERS = "SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id, event_id % 977 AS member_id FROM events"
+_OVERLAPS = """s AS (SELECT cluster_id, count(*) AS z FROM m GROUP BY ALL), b AS (SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) AS n FROM m x JOIN m y ON x.member_id = y.member_id AND x.cluster_id < y.cluster_id GROUP BY ALL),
+o AS (SELECT a, b, n / least(p.z, q.z)::DOUBLE AS overlap FROM b JOIN s p ON p.cluster_id = a JOIN s q ON q.cluster_id = b WHERE n > {0} * least(p.z, q.z) + 1e-9)"""
+
+
+def _members(spark, d):
+    return B.table(spark, d, "events").selectExpr("CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id", "event_id % 977 AS member_id")
+
+
+@query("cluster_overlap", f"WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.2)} SELECT a, b, round(overlap, 6) AS overlap FROM o")
 def cluster_overlap(spark, d):
-    m = B.table(spark, d, "events").selectExpr("user_id % 30 AS cluster_id", "event_id % 40 AS member_id")
-    return A.cluster_overlap(m, 0.5).withColumn("overlap", F.round("overlap", 6))
+    """No two of these clusters are equal, so classes are clusters."""
+    return CL.overlapping(_members(spark, d), 0.2).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("clusters_refined", f"""WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.2)}, f AS (SELECT b AS cluster_id, min(a) AS absorbed_by FROM o GROUP BY b),
+g AS (SELECT cluster_id, member_id FROM m UNION SELECT absorbed_by, member_id FROM f JOIN m USING (cluster_id)),
+x AS (SELECT cluster_id, member_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM g JOIN embeddings ON vec_id = member_id),
+c AS (SELECT cluster_id, sum(a * a) AS square FROM (SELECT cluster_id, i, avg(v) AS a FROM x GROUP BY ALL) GROUP BY cluster_id)
+SELECT cluster_id, absorbed_by, n AS size, round(square, 6) AS square FROM (SELECT cluster_id, count(*) AS n FROM g GROUP BY ALL) LEFT JOIN f USING (cluster_id) LEFT JOIN c USING (cluster_id)""")
+def clusters_refined(spark, d):
+    """Clusters merged in the order of their ids, with the squared length of their new centroids."""
+    vectors = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("member_id"), "embedding")
+    square = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)
+    return CL.refine(_members(spark, d), vectors, 0.2).select("cluster_id", "absorbed_by", "size", F.round(square, 6).alias("square"))
+
+
+@query("source_duplicates", """WITH RECURSIVE d AS (SELECT doc_id AS id, 'f' || (doc_id % 30) AS source_file, strlen(coalesce(text, '')) AS z, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS w FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY z DESC, id) AS r, count(*) OVER (PARTITION BY source_file) >= 5 AND z >= 20 AND len(w) > 0 AS looked FROM d),
+e AS MATERIALIZED (SELECT y.id, list(x.id) AS before FROM n x JOIN n y USING (source_file) WHERE x.looked AND y.looked AND x.r < y.r AND least(len(x.w), len(y.w)) >= 0.85 * greatest(len(x.w), len(y.w))
+  AND 1 - len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE < 0.15 GROUP BY y.id),
+g AS (SELECT source_file, 0 AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT source_file FROM n) UNION ALL
+  SELECT g.source_file, n.r, CASE WHEN n.looked AND NOT list_has_any(coalesce(before, []), kept) THEN list_append(kept, n.id) ELSE kept END FROM g JOIN n ON n.source_file = g.source_file AND n.r = g.r + 1 LEFT JOIN e ON e.id = n.id),
+k AS (SELECT unnest(kept) AS id FROM (SELECT source_file, kept FROM g QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY r DESC) = 1))
+SELECT n.id, source_file, CASE WHEN z < 20 THEN 'short' WHEN NOT looked OR k.id IS NOT NULL THEN 'kept' ELSE 'dropped' END AS status FROM n LEFT JOIN k ON k.id = n.id""")
+def source_duplicates(spark, d):
+    """What the greedy rule keeps of every source, longest first."""
+    return CL.within_source(B.drawers(spark, d))
 
 
 @query("duplicate_stats", "SELECT 'f' || (doc_id % 30) AS source_file, count(*) AS n, CASE WHEN count(*) > 20 THEN floor(0.4 * count(*)) ELSE 0 END::BIGINT AS estimate FROM documents GROUP BY 1 HAVING count(*) >= 5 ORDER BY n DESC, source_file LIMIT 15")

@@ -153,12 +153,20 @@ def active_leases(spark, d):
     return C.active_leases(B.leases(spark, d), B.now()).select("action_id", "agent_id")
 
 
-@query("reservation_conflicts", "WITH r AS (SELECT 'p' || (event_id % 300) AS path, 'a' || (user_id % 9) AS holder, event_id % 2 = 0 AS exclusive FROM events WHERE event_type = 'click'), w AS (SELECT DISTINCT 'p' || (event_id % 300) AS path, 'a' || (user_id % 9) AS agent_id FROM events WHERE event_type = 'signup') SELECT path, agent_id, min(CASE WHEN holder = agent_id THEN 'same_agent' WHEN exclusive THEN 'conflict' END) AS verdict FROM w JOIN r USING (path) WHERE holder = agent_id OR exclusive GROUP BY ALL")
+_HELD = ["event_id AS reservation_id", "concat_ws('/', 'src', concat('m', event_id % 6), CASE WHEN event_id % 4 > 0 THEN concat('f', event_id % 9, CASE WHEN event_id % 2 = 0 THEN '.rs' ELSE '.py' END) END) AS path", "concat('a', user_id % 5) AS agent_id", "event_id % 3 = 0 AS exclusive", "ts AS expires_at"]
+_WANTED = ["CASE event_id % 5 WHEN 0 THEN concat('src/m', event_id % 7, '/f', event_id % 9, '.rs') WHEN 1 THEN concat('src/m', event_id % 7) WHEN 2 THEN concat('src/*/f', event_id % 9, '.*') WHEN 3 THEN concat('src/m', event_id % 7, '/f?.py/deeper') ELSE concat('docs/m', event_id % 7) END AS path", "concat('a', user_id % 5) AS agent_id", "event_id % 2 = 0 AS exclusive"]
+
+
+@query("reservation_conflicts", f"""WITH h AS (SELECT {', '.join(_HELD)}, string_split(path, '/') AS hp FROM events WHERE event_type = 'click' AND event_id % 7 <> 3),
+w AS (SELECT *, string_split(path, '/') AS wp FROM (SELECT DISTINCT {', '.join(_WANTED)} FROM events WHERE event_type = 'signup')),
+j AS (SELECT w.path, w.agent_id, w.exclusive, reservation_id, CASE WHEN h.agent_id = w.agent_id THEN 'same_agent' ELSE 'conflict' END AS verdict, h.agent_id AS holder
+  FROM w JOIN h ON (h.agent_id = w.agent_id OR h.exclusive OR w.exclusive) AND len(list_filter(range(1, least(len(hp), len(wp)) + 1), lambda i: NOT hp[i] GLOB wp[i])) = 0)
+SELECT path, agent_id, exclusive, verdict, holder FROM j QUALIFY row_number() OVER (PARTITION BY path, agent_id, exclusive ORDER BY reservation_id) = 1""")
 def reservation_conflicts(spark, d):
+    """Files, folders and globs wanted against files and folders held: the first reservation in the way."""
     e = B.table(spark, d, "events")
-    held = e.where("event_type = 'click'").selectExpr("concat('p', event_id % 300) AS path", "concat('a', user_id % 9) AS agent_id", "true AS active", "event_id % 2 = 0 AS exclusive")
-    wanted = e.where("event_type = 'signup'").selectExpr("concat('p', event_id % 300) AS path", "concat('a', user_id % 9) AS agent_id").distinct()
-    return C.conflicts(held, wanted)
+    held = e.where("event_type = 'click'").selectExpr(*_HELD, "event_id % 7 <> 3 AS active")
+    return C.conflicts(held, e.where("event_type = 'signup'").selectExpr(*_WANTED)).select("path", "agent_id", "exclusive", "verdict", "holder")
 
 
 @query("action_list", B.sql("actions", " SELECT action_id, priority FROM actions WHERE project = 'p3' AND status = 'pending' ORDER BY priority, created_at DESC, action_id LIMIT 50"))
@@ -172,15 +180,20 @@ def next_action(spark, d):
     return C.unblocked(a, B.action_edges(spark, d)).where("project = 'p3' AND status <> 'done'").orderBy(F.desc("priority"), "created_at", "action_id").limit(1).select("action_id")
 
 
-@query("saturation_report", """WITH e AS (SELECT event_id, ts, user_id % 30 AS thread_id, CASE event_type WHEN 'error' THEN 'blocker' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'claim' ELSE 'action' END AS event_type, 'cannot open /x/' || event_id || ' ' || (user_id % 3) AS content FROM events),
+_SAID = "CASE event_type WHEN 'error' THEN concat('cannot open /x/', event_id, ' ', user_id % 3) WHEN 'click' THEN 'Hello, I am new here' WHEN 'signup' THEN CASE WHEN user_id % 4 = 0 THEN 'Working on it' ELSE 'not mine' END ELSE CASE WHEN event_id % 5 = 0 THEN 'That is the same task again' ELSE 'done' END END"
+
+
+@query("saturation_report", f"""WITH e AS (SELECT event_id, ts, user_id, user_id % 30 AS thread_id, CASE event_type WHEN 'error' THEN 'blocker' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'claim' ELSE 'action' END AS event_type, {_SAID} AS content FROM events),
 r AS (SELECT e.* FROM e WHERE ts > (SELECT max(ts) FROM events) - to_hours(240))
 SELECT 'new_actions' AS detector, '' AS subject, count(*) AS n FROM r WHERE event_type = 'action' UNION ALL SELECT 'messages', '', count(*) FROM r WHERE event_type = 'message' UNION ALL SELECT 'claims', '', count(*) FROM r WHERE event_type = 'claim'
 UNION ALL SELECT 'repeated_blocker', 'cannot open <path> <num>', count(*) FROM r WHERE event_type = 'blocker' HAVING count(*) >= 2
-UNION ALL SELECT 'stale_thread', thread_id::VARCHAR, count(*) FROM r GROUP BY thread_id HAVING max(ts) < (SELECT max(ts) FROM events) - to_minutes(600)""")
+UNION ALL SELECT 'stale_thread', thread_id::VARCHAR, count(*) FROM r GROUP BY thread_id HAVING max(ts) < (SELECT max(ts) FROM events) - to_minutes(600)
+UNION ALL SELECT 'duplicate_work', user_id::VARCHAR, count(*) FROM r WHERE contains(lower(content), 'same task') GROUP BY user_id
+UNION ALL SELECT 'stale_introduction', user_id::VARCHAR, count(*) FROM r WHERE contains(content, 'Hello') AND user_id NOT IN (SELECT user_id FROM r WHERE content = 'Working on it') GROUP BY user_id HAVING count(*) >= 2""")
 def saturation_report(spark, d):
     events = B.table(spark, d, "events")
     last = events.agg(F.max("ts")).first()[0]
-    e = events.selectExpr("ts", "user_id % 30 AS thread_id", "CASE event_type WHEN 'error' THEN 'blocker' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'claim' ELSE 'action' END AS event_type", "concat('cannot open /x/', event_id, ' ', user_id % 3) AS content")
+    e = events.selectExpr("ts", "user_id AS agent_id", "user_id % 30 AS thread_id", "CASE event_type WHEN 'error' THEN 'blocker' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'claim' ELSE 'action' END AS event_type", f"{_SAID} AS content")
     return C.saturation(e, F.lit(last), 240, 600)
 
 

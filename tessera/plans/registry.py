@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
-MODULES = ("search", "facts", "counts", "life", "more", "talk", "words")
+MODULES = ("search", "facts", "counts", "life", "more", "talk", "words", "corpus")
 
 _queries: dict[str, Builder] = {}
 _oracles: dict[str, str] = {}

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import metrics, vectors
 from tessera.functions import text as T
+from tessera.operators import graph as G
 from tessera.operators import retrieval as R
 from tessera.operators import text_index as TI
 from tessera.operators import vector_index as VI
-from tessera.operators.settle import shared_dir
+from tessera.operators.settle import settle, shared_dir
 from tessera.plans import base as B
 from tessera.plans.registry import query
 
@@ -253,3 +254,34 @@ def room_prior_search(spark, d):
     inside = docs.where("wing = 'src1' AND room = 'en'").select("id")
     s = _rounded(R.bm25(B.texts(spark, d), B.queries(spark, d))).join(inside, "id", "left_semi")
     return R.top_k(s, 5).select("query_id", "id", "rank")
+
+
+_PUSH = """t{1} AS (SELECT sd, room, sum(got) AS rest FROM (SELECT x.sd, l.room, x.inflow AS got FROM (SELECT sd, wing, sum(0.85 * rest / degree) AS inflow FROM t{0} JOIN deg USING (room) JOIN l USING (room) GROUP BY sd, wing) x JOIN l USING (wing)
+  UNION ALL SELECT sd, room, -0.85 * rest / degree FROM t{0} JOIN deg USING (room) JOIN l USING (room)) GROUP BY sd, room HAVING sum(got) > 1e-15)"""
+_ROUNDS = 8
+
+
+@query("search_with_rooms", B.sql("drawers,words,queries,qwords", _HYBRID + """,
+cand AS (SELECT query_id, id, score, place FROM p WHERE place <= 30), cw AS (SELECT query_id, id, term FROM cand JOIN words USING (id)), cl AS (SELECT cand.query_id, cand.id, coalesce(dl.dl, 0) AS dl FROM cand LEFT JOIN dl USING (id)),
+cs AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM cl GROUP BY query_id), ct AS (SELECT query_id, id, term, count(*) AS tf FROM cw SEMI JOIN qt USING (query_id, term) GROUP BY ALL), cdf AS (SELECT query_id, term, count(*) AS df FROM ct GROUP BY ALL),
+cb AS (SELECT query_id, id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * cl.dl / avgdl))) AS b FROM ct JOIN cdf USING (query_id, term) JOIN cs USING (query_id) JOIN cl USING (query_id, id) JOIN qt USING (query_id, term) GROUP BY ALL),
+best AS (SELECT query_id, id, score FROM cand LEFT JOIN cb USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * score + 0.3 * coalesce(b, 0) / (coalesce(b, 0) + 1), 9) DESC, id) <= 10),
+l AS (SELECT DISTINCT wing || '/' || room AS room, wing FROM drawers WHERE room <> '' UNION SELECT DISTINCT wing || '/' || room, 'lang ' || room FROM drawers WHERE room <> ''),
+sz AS (SELECT wing, count(*) AS z FROM l GROUP BY wing), deg AS (SELECT room, sum(z - 1)::DOUBLE AS degree FROM l JOIN sz USING (wing) GROUP BY room HAVING sum(z - 1) > 0),
+nm AS (SELECT query_id, room, count(*)::DOUBLE AS mass FROM qwords, (SELECT DISTINCT room FROM l) WHERE contains(lower(room), term) GROUP BY ALL),
+sd AS (SELECT 'q' || query_id AS sd, room, mass FROM nm UNION ALL SELECT 'all', room, 1.0 FROM (SELECT DISTINCT room FROM l)),
+t0 AS (SELECT sd, room, mass / sum(mass) OVER (PARTITION BY sd) AS rest FROM sd), """ + ", ".join(_PUSH.format(k, k + 1) for k in range(_ROUNDS)) + """,
+rk AS (SELECT sd, room, sum(x) AS rank FROM (""" + " UNION ALL ".join(f"SELECT sd, room, {'0.15 * ' if k < _ROUNDS else ''}rest AS x FROM t{k}" for k in range(_ROUNDS + 1)) + """) GROUP BY sd, room),
+rt AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY sd ORDER BY round(rank, 12) DESC, room) <= 50),
+fu AS (SELECT b.query_id, b.id, d.wing, round(0.7 * b.score + 0.3 * coalesce(rank, 0), 9) AS fused FROM best b JOIN drawers d USING (id) LEFT JOIN rt ON rt.room = d.wing || '/' || d.room AND rt.sd = CASE WHEN b.query_id IN (SELECT query_id FROM nm) THEN 'q' || b.query_id ELSE 'all' END)
+SELECT query_id, id, wing, round(fused, 6) AS fused FROM fu QUALIFY row_number() OVER (PARTITION BY query_id, wing ORDER BY fused DESC, id) <= 2"""))
+def search_with_rooms(spark, d):
+    """The whole search for all queries at once: fused streams, BM25 within the candidates, the rooms' ranks from the query's own words, at most two hits of a source."""
+    docs, q = B.drawers(spark, d), B.queries(spark, d)
+    fused = settle(R.diversify(_hybrid(spark, d).select("query_id", "id", "score", "session"), "session", 3, 30))  # read for words, counts and scores
+    best = R.rerank(fused.select("query_id", "id", "score").join(docs.select("id", "content"), "id"), q, 10)
+    place = F.concat_ws("/", "wing", "room")
+    nodes = docs.where("room <> ''").groupBy(place.alias("room")).agg(F.collect_set(F.col("wing")).alias("w"), F.collect_set(F.concat(F.lit("lang "), F.col("room"))).alias("r")).select("room", F.concat("w", "r").alias("wings"))
+    ranks, seedings = G.room_ranks(nodes, q, rounds=_ROUNDS)
+    found = R.fuse_rooms(best.select("query_id", "id", "score").join(docs.select("id", "wing", place.alias("room")), "id"), ranks, seedings)
+    return R.max_per_source(found.select("query_id", "id", "wing", F.col("fused").alias("score")), "wing", 2).select("query_id", "id", "wing", F.round("score", 6).alias("fused"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import udfs as U
+from tessera.operators import coordination as C
 from tessera.operators import graph as G
 from tessera.operators import ingest as I
 from tessera.operators import knowledge as K
@@ -317,10 +318,55 @@ def stream_follow_ups(spark, d):
     return found.groupBy("agent_id").agg(F.count_if("is_follow_up").alias("follow_ups"), F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_window_dedup", "SELECT count(DISTINCT event_type || user_id) AS fresh FROM events")
+def _in_runs(spark, rows, operator):
+    """What a stream gives that is stopped and taken up again: ``rows`` (with ``ts``) come six days at a time, as ``part`` says; two rows of a far day let all out."""
+    last = rows.drop("part").where("false")
+    far = [spark.sql(f"SELECT TIMESTAMP '2200-01-0{k} 00:00:00' AS ts") for k in (1, 2)]
+    source, checkpoint, out = (shared_dir(spark, what) for what in ("parts", "checkpoint", "stream"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, S.ROCKSDB)
+    try:
+        for part in [*(rows.where(F.col("part") == k).drop("part") for k in range(6)), *(last.unionByName(f, allowMissingColumns=True) for f in far)]:  # thirty days, whatever the table's size
+            part.write.mode("append").parquet(source)
+            found = operator(spark.readStream.schema(last.schema).parquet(source))
+            found.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(found.schema).parquet(f"{out}/*")
+
+
+#: The part of its stream that an event comes in: that of its six days, or for a tenth of them the next.
+_PART = "floor(datediff(ts, DATE '2024-01-01') / 6) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS part"
+
+
+@query("stream_window_dedup", """WITH RECURSIVE e AS (SELECT user_id % 40 AS session_id, event_type AS h, ts FROM events),
+f AS (SELECT session_id, h, min(ts) AS t FROM e GROUP BY ALL UNION ALL SELECT f.session_id, f.h, min(e.ts) FROM f JOIN e ON e.session_id = f.session_id AND e.h = f.h AND e.ts > f.t + INTERVAL 2 DAY GROUP BY f.session_id, f.h, f.t)
+SELECT session_id, n, fresh FROM (SELECT session_id, count(*) AS n FROM e GROUP BY ALL) JOIN (SELECT session_id, count(*) AS fresh FROM f GROUP BY ALL) USING (session_id)""")
 def stream_window_dedup(spark, d):
-    """Within a window as long as the table, each content passes once."""
-    return _streamed(spark, d, ["concat(event_type, user_id) AS content", "ts"], lambda s: S.dedup_within(s, 10**9), "append").agg(F.count(F.lit(1)).alias("fresh"))
+    """The rolling rule over a stream in several runs."""
+    rows = B.table(spark, d, "events").selectExpr("user_id % 40 AS session_id", "event_type AS content", "ts", _PART)
+    said = _in_runs(spark, rows, lambda s: S.dedup_rolling(s, seconds=2 * 86_400, late="13 days")).where("session_id IS NOT NULL")
+    return said.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh"))
+
+
+_SAYS = "CASE event_type WHEN 'click' THEN 'Hello, I am available' WHEN 'signup' THEN 'working on it' ELSE 'done' END AS content"
+_UNCLAIMED = "SELECT user_id AS agent_id, count(*) AS n FROM events e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'signup' AND c.user_id = e.user_id AND c.ts BETWEEN e.ts - INTERVAL 6 HOUR AND e.ts + INTERVAL 6 HOUR) GROUP BY user_id"
+
+
+@query("unclaimed_introductions", _UNCLAIMED)
+def unclaimed_introductions(spark, d):
+    """Introductions that no claim of the same agent came near."""
+    rows = B.table(spark, d, "events").selectExpr("user_id AS agent_id", _SAYS, "ts")
+    return C.unclaimed_introductions(rows, "6 hours").groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_unclaimed_introductions", _UNCLAIMED)
+def stream_unclaimed_introductions(spark, d):
+    """The same from a stream in several runs, by an outer join of the stream with itself; a tenth of the events come six days late."""
+    rows = B.table(spark, d, "events").selectExpr("user_id AS agent_id", _SAYS, "ts", _PART)
+    found = _in_runs(spark, rows, lambda s: C.unclaimed_introductions(s, "6 hours", "13 days"))
+    return found.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_fingerprint_dedup", "SELECT DISTINCT user_id, event_type FROM events")

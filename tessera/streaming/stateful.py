@@ -14,12 +14,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tessera.functions.text import content_hash
 
 WINDOW_SECONDS, CAPACITY, LATE, IDLE_SECONDS = 300, 4096, "10 minutes", 30 * 86_400
 _MICRO = 1_000_000
+#: The state store (spark.sql.streaming.stateStore.providerClass) that ``dedup_rolling`` needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _micros(ts: pd.Timestamp) -> int:
@@ -54,28 +58,81 @@ def dedup_within(stream: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     return _timed(stream.withColumn("content_hash", content_hash("content")), f"{seconds} seconds").dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def dedup_rolling(stream: DataFrame, key: str = "session_id", seconds: int = WINDOW_SECONDS, capacity: int = CAPACITY, late: str = LATE) -> DataFrame:
-    """(key, content_hash, ts, fresh): exact rolling rule for each key. A copy does not refresh its entry; an entry expires when it is
-    older than ``seconds``; beyond ``capacity`` entries the oldest goes first."""
+def _rolling(seconds: int, capacity: int) -> type[StatefulProcessor]:
+    """A key's rows wait until the watermark has passed them, so they are judged in the order of their time whatever batch they came in."""
+
+    class Rolling(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "t long, hash string")
+            self.seen = handle.getMapState("seen", "hash string", "place long")  # what counts as seen, and its place in the order of entry
+            self.order = handle.getMapState("order", "place long", "t long, hash string")
+            self.ends = handle.getValueState("ends", "first long, next long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+            known = timerValues.getCurrentWatermarkInMs()
+            new = [(_micros(ts), h) for part in rows for ts, h in zip(part["ts"], part["content_hash"], strict=True) if _micros(ts) // 1000 >= known]
+            if new:
+                self.waiting.appendList(new)
+                self.handle.registerTimer(min(new)[0] // 1000 + 1)
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+            due = [x for x in held if x[0] // 1000 < now]
+            rest = held[len(due) :]
+            if rest and due:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            elif held and not rest:
+                self.waiting.clear()
+            first, following = self.ends.get() if self.ends.exists() else (0, 0)
+            out = []
+            for t, h in due:
+                while first < following:  # the oldest are first, and go when they are too old
+                    at, old = self.order.getValue((first,))
+                    if t - at <= seconds * _MICRO:
+                        break
+                    first = self._drop(first, old)
+                fresh = not self.seen.containsKey((h,))
+                if fresh:
+                    self.seen.updateValue((h,), (following,))
+                    self.order.updateValue((following,), (t, h))
+                    following += 1
+                    if following - first > capacity:
+                        first = self._drop(first, self.order.getValue((first,))[1])
+                out.append((*key, h, _time(t), fresh))
+            if due:
+                self.ends.update((first, following))
+                self.handle.registerTimer(due[-1][0] // 1000 + seconds * 1000 + 2)  # by then all that is known has aged out
+            elif not held and first < following and now > self.order.getValue((following - 1,))[0] // 1000 + seconds * 1000:
+                for state in (self.seen, self.order, self.ends):
+                    state.clear()
+            if out:
+                yield pd.DataFrame(out, columns=["key", "content_hash", "ts", "fresh"])
+
+        def _drop(self, place: int, old: str) -> int:
+            self.order.removeKey((place,))
+            self.seen.removeKey((old,))
+            return place + 1
+
+        def close(self) -> None:
+            pass
+
+    return Rolling
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], held):
-        entries = dict(zip(*held, strict=True)) if held else {}
-        rows = pd.concat(list(batches)).sort_values(["ts", "content_hash"])
-        out = []
-        for h, ts in zip(rows["content_hash"], rows["ts"], strict=True):
-            t = _micros(ts)
-            while entries and t - entries[first := next(iter(entries))] > seconds * _MICRO:  # entries stand in order of time
-                del entries[first]
-            fresh = h not in entries
-            if fresh:
-                entries[h] = t
-                if len(entries) > capacity:
-                    del entries[next(iter(entries))]
-            out.append((*k, h, ts, fresh))
-        return pd.DataFrame(out, columns=[key, "content_hash", "ts", "fresh"]), (list(entries), list(entries.values())), max(entries.values()) + seconds * _MICRO
-
-    hashed = _timed(stream.select(key, content_hash("content").alias("content_hash"), "ts"), late)
-    return _by_key(hashed, key, step, "content_hash string, ts timestamp, fresh boolean", "hashes array<string>, times array<long>", "append")
+
+def dedup_rolling(stream: DataFrame, key: str = "session_id", seconds: int = WINDOW_SECONDS, capacity: int = CAPACITY, late: str = LATE) -> DataFrame:
+    """(key, content_hash, ts, fresh): the rolling rule for each key, in the order of time. A copy does not refresh its entry; an entry expires when it is
+    older than ``seconds``; beyond ``capacity`` entries the oldest goes first.
+
+    Rows come out once the watermark, ``late`` behind the newest event, has passed them; of rows of one time the lesser hash is first; rows that come behind the watermark are dropped; a null content is empty. So the result does not
+    depend on how rows fall into micro-batches. Entries and waiting rows are kept apart in RocksDB, which the session must have for its state store, and go with their time.
+    """
+    hashed = _timed(stream.select(F.col(key).alias("key"), content_hash(F.coalesce("content", F.lit(""))).alias("content_hash"), "ts"), late)
+    rows = hashed.groupBy("key").transformWithStateInPandas(_rolling(seconds, capacity)(), f"key {dict(hashed.dtypes)['key']}, content_hash string, ts timestamp, fresh boolean", "append", "eventTime")
+    return rows.withColumnRenamed("key", key)
 
 
 def dedup_fingerprint(stream: DataFrame, *columns: str) -> DataFrame:

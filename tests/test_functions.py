@@ -91,21 +91,26 @@ def test_ids_and_names(spark):
     assert udfs.fnv1a(b"a", 32) == 0xE40C292C and udfs.fnv1a(b"a", 64) == 0xAF63DC4C8601EC8C
     a, b = (one(spark, udfs.cluster_id(F.lit("w"), F.array(*map(F.lit, ids)))) for ids in (["x", "y"], ["y", "x"]))
     assert a == b and a.startswith("auto-w-") and len(a) == 15
-    assert udfs.cluster_name(["Graph search, graph index", "index graph"]) == "graph-index-search"
-    assert udfs.cluster_name([]) == "empty-cluster" and udfs.cluster_name(["the and"]) == "misc-cluster"
     assert udfs.edit_distance("kitten", "sitting") == 3 and udfs.spell("serch", ["search", "fetch"]) == "search" and udfs.spell("Serch", ["search"]) == "Serch"
 
 
 def test_memories(spark):
-    text = "We decided to use tables instead of files because they are faster.\n\n```\ncode because\n```\n\nshort\n\nThe build had an error and a crash, now it is broken again."
+    text = "We decided on tables rather than files, and the reasons are plain.\n\n```\ncode because\n```\n\nshort\n\nThe build had an error and crashed, then it stopped working again."
     rows = spark.createDataFrame([(1, text), (2, None)], "id long, content string")
     got = udfs.memories(rows).collect()
     assert [(r.kind, r.segment) for r in got] == [("decision", 0), ("problem", 3)] or [r.kind for r in got] == ["decision", "problem"]
     assert udfs.marker_score("fail fail", [r"(?i)\b(fail|bug)\b"]) == 2
 
 
-def test_dialect_and_entities():
-    line = udfs.compact_line("We chose Kafka because it scales. Kafka streams work.", "w", "r", "2024-01-02", "notes", ["Kafka"])
-    assert line.startswith("w|r|2024-01-02|notes\n0:KAF|kafka_") and '"We chose Kafka because it scales."' in line
-    assert udfs.entity_candidates(["Ada met Bob. Ada left.", "then Ada came"]) == {"Ada": 3}
-    assert udfs.compression_ratio(100, 33) == 3.0
+def test_dialect(spark):
+    from tessera.functions import dialect as D
+
+    said = "We chose Kafka because it scales well. I love Kafka_streams, and Ada hopes it is the core API!\nThe reason why is KeyValue."
+    rows = spark.createDataFrame([(said,), ("",), (None,), ("  \n",), ("ab cd",)], "t string")
+    got = [r[0] for r in rows.select(D.line("t", F.lit("w"), F.lit(""), F.lit("2024-01-02"), F.lit("/a/notes.tar.gz"))).collect()]
+    assert got == ["w|?|2024-01-02|notes.tar\n0:KAF+ADA|api_kafka_streams_keyvalue|\"The reason why is KeyValue\"|love+hope|DECISION+CORE+TECHNICAL", "", "", "", "w|?|2024-01-02|notes.tar\n0:???|misc"]
+    assert [r[0] for r in rows.select(D.entities("t", {"Ada": "A1", "kafka": "K1"})).collect()][0] == ["A1"]
+    assert D.top_words(said, 4) == ["api", "kafka_streams", "keyvalue", "ada"]
+    long_ = "é" * 30 + " decided"
+    assert one(spark, D.key_sentence(F.lit(long_))) == "é" * 26 + "..." and one(spark, D.key_sentence(F.lit("short. No."))) == ""
+    assert one(spark, D.ratio(F.lit("a b c d e f g"), F.lit("a b"))) == 4.5 and one(spark, D.line(F.lit("Some words here"))) == "0:???|some_words|\"Some words here\""

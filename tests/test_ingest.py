@@ -39,8 +39,6 @@ def test_facts_and_entities(spark):
     assert I.tool_facts('{"path": "src/a.py", "n": 3, "tags": ["x", "y"], "o": {}}') == ("path: src/a.py; n: 3; tags: x, y", ["src/a.py"])
     assert I.tool_facts(None) == I.tool_facts("[1]") == ("", [])
     assert I.facts(spark.createDataFrame([('{"f": "b.md"}',)], "tool_input string")).first().files == ["b.md"]
-    assert I.classify_entity(["Ada: hello\nAda said she will come"], "Ada") == "person"
-    assert I.classify_entity(["we deploy Kafka and import kafka, Kafka v2.1"], "Kafka") == "project" and I.classify_entity(["Zed"], "Zed") == "uncertain"
 
 
 def test_filing_and_updates(spark):
@@ -73,9 +71,6 @@ def test_hand_fixtures(spark):
     triples = spark.createDataFrame([("Bob", "Ann", "husband", None)], "subject string, object string, predicate string, valid_to timestamp")
     assert [r.verdict for r in knowledge.contradictions(knowledge.claims(said), triples).collect()] == ["relationship_mismatch"]
     assert spark.createDataFrame([("x.PNG",), ("none",)], "j string").where(knowledge.image_payload(F.col("j"))).count() == 1
-    held = spark.createDataFrame([("p", "a", True, True)], "path string, agent_id string, active boolean, exclusive boolean")
-    want = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "b")], "path string, agent_id string")
-    assert {r.agent_id: r.verdict for r in coordination.conflicts(held, want).collect()} == {"a": "same_agent", "b": "conflict"}
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 3)], "g int, id int, cost int").withColumn("priority", F.col("id")).withColumn("id", F.col("id").cast("string"))
     assert lifecycle.pack_context(rows, "g", "cost", 4).first().chosen == ["2"]
 

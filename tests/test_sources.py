@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.udfs import within_source_duplicates
 from tessera.sources import chats, files, stores
 
 
@@ -119,10 +118,3 @@ def test_incremental(spark):
     msgs = spark.createDataFrame([("s", "u1", 1), ("s", "u2", 5), ("s", "u2", 5), ("t", "u1", 1)], "session_id string, uuid string, ts int")
     cursor = spark.createDataFrame([("s", 5)], "session_id string, cursor int")
     assert sorted(r.id for r in stores.sweep(msgs, cursor).collect()) == ["sweep_s_u2", "sweep_t_u1"]
-
-
-def test_within_source_duplicates(spark):
-    base = "one two three four five six seven eight nine ten"
-    rows = [(k, "f", t) for k, t in enumerate([base + " eleven", base, base, "other words entirely in this one here", "tiny", "x y z w v u t s r q p"])] + [(10, "g", base), (11, "g", base)]
-    got = {r.id: r.status for r in within_source_duplicates(spark.createDataFrame(rows, "id long, source_file string, content string")).collect()}
-    assert got == {0: "kept", 1: "dropped", 2: "dropped", 3: "kept", 4: "short", 5: "kept", 10: "kept", 11: "kept"}

@@ -28,23 +28,64 @@ def run(spark, tmp_path):
     return go
 
 
-def test_rolling_dedup_does_not_refresh(run):
-    rows = [[("s", " a ", at(0)), ("s", "a", at(300))], [("s", "a", at(301)), ("t", "a", at(302)), ("s", "b", at(302))]]
-    got = run(rows, "session_id string, content string, ts timestamp", S.dedup_rolling)
-    assert sorted((r.session_id, r.ts, r.fresh) for r in got) == [("s", at(0), True), ("s", at(300), False), ("s", at(301), True), ("s", at(302), True), ("t", at(302), True)]
+SAID = "session_id string, content string, ts timestamp"
+END = [("end", "end", at(10**6))], [("end", "end", at(10**6 + 1))]
 
 
-def test_rolling_dedup_capacity(run):
-    rows = [[("s", c, at(k)) for k, c in enumerate("abca")]]
-    got = run(rows, "session_id string, content string, ts timestamp", lambda d: S.dedup_rolling(d, capacity=2))
-    assert [r.fresh for r in sorted(got, key=lambda r: r.ts)] == [True, True, True, True]
-
-
-def test_state_of_quiet_keys_goes(run):
-    """A key that was quiet until the watermark passed its window is forgotten, which changes no result; a memory that was idle begins anew."""
-    rows = [[("s", "a", at(0))], [("t", "a", at(5000))], [("t", "b", at(9000))], [("s", "a", at(9001)), ("s", "a", at(9002))]]
-    got = run(rows, "session_id string, content string, ts timestamp", S.dedup_rolling)
-    assert [r.fresh for r in sorted(got, key=lambda r: r.ts) if r.session_id == "s"] == [True, True, False]
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, S.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def replayed(rows, seconds=300, capacity=4096):
+    """The rule over all rows in the order of time."""
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x.strip().encode()).hexdigest()
+    held, out = {}, []
+    for key, h, t in sorted(((k, digest(c), t) for k, c, t in rows), key=lambda x: (x[2], x[1])):
+        own = held.setdefault(key, {})
+        for old in [o for o, since in own.items() if (t - since).total_seconds() > seconds]:
+            del own[old]
+        fresh = h not in own
+        if fresh:
+            own[h] = t
+            if len(own) > capacity:
+                del own[next(iter(own))]
+        out.append((key, h, t, fresh))
+    return sorted(out)
+
+
+def test_rolling_dedup_by_time_whatever_the_batches(run, rocks):
+    """B at 800 s comes after A at 1000 s; at 1150 s it is 350 s old, and so fresh."""
+    rows = [[("s", " a ", at(0)), ("s", "a", at(300)), ("s", "A", at(1000))], [("s", "b", at(800)), ("t", "a", at(302))], [("s", "b", at(1150)), ("s", "a", at(301))], *END]
+    got = sorted((r.session_id, r.content_hash, r.ts, r.fresh) for r in run(rows, SAID, lambda d: S.dedup_rolling(d, late="2000 seconds")) if r.session_id != "end")
+    assert got == [x for x in replayed([r for part in rows for r in part]) if x[0] != "end"]
+    assert (at(1150), True) in {(t, f) for _, _, t, f in got} and (at(301), True) in {(t, f) for k, _, t, f in got if k == "s"}
+
+
+def test_rolling_dedup_many_batches(run, rocks):
+    import random
+
+    r = random.Random(5)
+    rows = [("st"[r.randrange(2)], r.choice("abcdefgh"), at(10 * k + r.randrange(10))) for k in range(300)]
+    parts, rest = [], list(rows)
+    while rest:
+        parts.append(sorted(rest[:60], key=lambda _: r.random()))
+        rest = rest[60:]
+    parts[1][0], parts[2][0] = parts[2][0], parts[1][0]  # a row that comes a batch late
+    got = sorted((x.session_id, x.content_hash, x.ts, x.fresh) for x in run([*parts, *END], SAID, lambda d: S.dedup_rolling(d, seconds=120, capacity=4, late="2000 seconds")) if x.session_id != "end")
+    assert got == replayed(rows, 120, 4)
+
+
+def test_rolling_dedup_drops_what_is_too_late(run, rocks):
+    rows = [[("s", "a", at(0))], [("s", "b", at(5000))], [("t", "c", at(5001))], [("s", "a", at(10)), ("s", "b", at(5010))], *END]
+    got = sorted((x.ts, x.fresh) for x in run(rows, SAID, lambda d: S.dedup_rolling(d, late="60 seconds")) if x.session_id == "s")
+    assert got == [(at(0), True), (at(5000), True), (at(5010), False)]
 
 
 def test_idle_memories_begin_anew(run):
@@ -91,3 +132,12 @@ def test_upsert_sink(spark, tmp_path):
     q.stop()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("id").max("version").collect()
     assert sorted(map(tuple, got)) == [(1, 3), (2, 1)]
+
+
+def test_introductions_wait_for_late_claims(run, rocks):
+    """A claim that comes two batches late counts; one behind the watermark does not."""
+    from tessera.operators import coordination as C
+
+    rows = [[("a", "hello", at(0)), ("b", "hello", at(10))], [("c", "hello", at(4000))], [("a", "working on it", at(600))], [("z", "done", at(20_000))], [("b", "claimed", at(20))], *[[("z", "done", at(10**6 + k))] for k in range(3)]]
+    got = run(rows, "agent_id string, content string, ts timestamp", lambda s: C.unclaimed_introductions(s, "1 hour", "2 hours"))
+    assert sorted((r.agent_id, r.ts) for r in got) == [("b", at(10)), ("c", at(4000))]
