@@ -19,11 +19,12 @@ Nothing that grows with the corpus passes through the driver.
 
 Defined results: a null or blank text is one end; a null doc_id learns, as crc32 of nothing is 0, and stays null; repeated rows count each; a very long text is
 a block of its own; with no training texts N and V are 0 and every token has the base probability 1; ties have no order that matters; an empty table gives an empty result; other columns are not looked at.
-The test takes the parent's probabilities to 1/2048 of a nat. Numbers replace words exactly: no hash stands for a word or context.
+The test takes the parent's probabilities to 1/16 of a nat. Numbers replace words exactly: no hash stands for a word or context.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -35,14 +36,14 @@ import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CRC_TABLE, Tables, crc32_sql, documents, file_system, new_path, settle
 
-ORDER, MIN_COUNT, GAIN, NATS = 2, 4, 3.0, 2048
+ORDER, MIN_COUNT, GAIN, NATS = 2, 4, 3.0, 16
 FOLDS, HELD_OUT = 5, 1
-BLOCK_TOKENS, SHARD_TOKENS, HOT_COUNT = 1 << 20, 1 << 21, 1 << 18
+BLOCK_TOKENS, SHARD_TOKENS, HOT_COUNT = 1 << 20, 1 << 22, 1 << 18
 BLOCK = "block long, bin int, doc_ids array<long>, held array<boolean>, lengths binary, ids binary, words binary, n_tokens long, n_train long"
 SENT = "shard int, block long, bin int, a binary, b binary, c binary, d binary, e binary"
 BACK = "block long, bin int, shard int, a binary, b binary, c binary, hot_states array<long>, hot_parts array<array<double>>"
@@ -71,6 +72,17 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def pack_steps(x: np.ndarray) -> bytes:
+    """Numbers by their steps, for those that nearly ascend."""
+    d = np.diff(x, prepend=0)
+    return pack(np.where(d < 0, -2 * d - 1, 2 * d))
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    d = unpack(data)
+    return np.cumsum(np.where(d & 1, -(d >> 1) - 1, d >> 1))
+
+
 def pack_words(words: list[bytes]) -> bytes:
     sizes = pack(np.fromiter(map(len, words), np.int64, len(words)))
     return len(sizes).to_bytes(8, "little") + sizes + zstandard.compress(b"".join(words), 1)
@@ -117,22 +129,22 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 class Answers:
-    """What was written for the blocks of a bin, by block and shard; the last bin is kept."""
+    """What was written for the blocks of a bin, by block and shard; the last bin is kept. ``hot``: where the answers of hot contexts are, if there are any."""
 
-    def __init__(self, path: str):
-        self.path, self.bin, self.rows = path, None, {}
+    def __init__(self, path: str, hot: str | None = None):
+        self.paths, self.bin, self.rows = [path, *([hot] if hot else [])], None, {}
 
     def of(self, bin_: int, block: int) -> dict[int, dict]:
         if bin_ != self.bin:
             from pyarrow import fs
 
-            store, at = file_system(self.path)
             self.bin, self.rows = bin_, {}
-            for x in store.get_file_info(fs.FileSelector(f"{at}/bin={bin_}", allow_not_found=True)):
-                if x.base_name.endswith(".parquet"):
-                    with store.open_input_file(x.path) as file:
-                        for row in pq.ParquetFile(file).read().to_pylist():
-                            self.rows.setdefault(row["block"], {})[row["shard"]] = row
+            for store, at in map(file_system, self.paths):
+                for x in store.get_file_info(fs.FileSelector(f"{at}/bin={bin_}", allow_not_found=True)):
+                    if x.base_name.endswith(".parquet"):
+                        with store.open_input_file(x.path) as file:
+                            for row in pq.ParquetFile(file).read().to_pylist():
+                                self.rows.setdefault(row["block"], {}).setdefault(row["shard"], {}).update(row)
         return self.rows.get(block, {})
 
 
@@ -168,43 +180,55 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """The different (context, successor) pairs of a block at one level, in the order in which they are sent."""
+    """The different (context, successor) pairs of a block at one level, and those of them that are sent, in the order of shards.
+
+    A pair that only unlearnt texts of the block have, and whose shorter one was never learnt, has count 0 and stays here, unless it is the first of its context, whose answer it brings.
+    """
 
     def __init__(self, text: Text, shards: Shards):
         self.at = np.flatnonzero(text.seen >= MIN_COUNT)
         states, own = np.unique(text.state[self.at], return_inverse=True)
         keys, first, self.of = np.unique(own * len(text.number) + text.ids[self.at], return_index=True, return_inverse=True)
-        place = self.at[first]
-        words, state, seen = text.number[text.ids[place]], text.state[place], text.seen[place]
+        place, self.context = self.at[first], keys // max(len(text.number), 1)
         n = np.bincount(self.of, text.learnt[self.at], len(keys)).astype(np.int64)
+        new = np.zeros(len(keys), bool)
+        new[runs(self.context)] = True
+        some = np.flatnonzero((n > 0) | (text.bound[place] > 0) | new)
+        place, self.contexts = place[some], len(states)
+        words, state, seen = text.number[text.ids[place]], text.state[place], text.seen[place]
         shard = shards.of_pairs(state, seen, words)
-        self.order = np.argsort(shard.astype(np.uint16) if shards.n < 1 << 16 else shard, kind="stable")
-        self.shard, self.words, self.state, self.n, self.seen = (x[self.order] for x in (shard, words, state, n, seen))
-        self.loss = np.rint(-np.log(text.p[place][self.order]) * NATS).clip(0, 65535).astype(np.int64)
-        self.runs, self.hot = runs(self.shard, self.state), self.seen >= shards.hot
+        order = np.argsort(shard.astype(np.uint16) if shards.n < 1 << 16 else shard, kind="stable")
+        self.order = some[order]
+        self.shard, self.words, self.state, self.n, self.seen = shard[order], words[order], state[order], n[self.order], seen[order]
+        # only what has been learnt needs the parent's probability, which is the same in every block
+        self.loss = np.where(self.n > 0, np.rint(-np.log(text.p[place][order]) * NATS), 0).clip(0, 65535).astype(np.int64)
+        self.runs, self.hot, self.shards = runs(self.shard, self.state), self.seen >= shards.hot, shards.n
 
     def sent(self) -> Iterator[tuple[int, list[bytes]]]:
         """By shard: contexts and whether they are hot, the number of their pairs, successors, counts, the parent's losses."""
         for a, b in zip(cut := runs(self.shard), np.append(cut[1:], len(self.shard))[: len(cut)], strict=True):
             at = self.runs[np.searchsorted(self.runs, a) : np.searchsorted(self.runs, b)]
-            yield int(self.shard[a]), [pack(2 * self.state[at] + self.hot[at]), pack(np.diff(np.append(at, b))), pack(self.words[a:b]), pack(self.n[a:b]), pack(self.loss[a:b])]
+            yield int(self.shard[a]), [pack(np.diff(2 * self.state[at] + self.hot[at], prepend=0)), pack(np.diff(np.append(at, b))), pack(self.words[a:b]), pack(self.n[a:b]), pack(self.loss[a:b])]
 
     def back(self, answers: dict[int, dict]) -> tuple[np.ndarray, ...]:
         """By pair in the order of ``of``: count, successors of the context, whether it is a state, number of the longer context."""
         rows = [answers[s] for s in self.shard[runs(self.shard)].tolist()]
         join = lambda c: np.concatenate([unpack(r[c]) for r in rows]) if rows else np.zeros(0, np.int64)
-        counts, heads, longer = join("a"), join("b"), join("c")
-        hot = {s: p for r in rows for s, p in zip(r["hot_states"] or (), r["hot_parts"] or (), strict=True)}
+        counts, heads = join("a"), join("b")
+        longer = np.concatenate([unpack_steps(r["c"]) for r in rows]) if rows else np.zeros(0, np.int64)
+        hot = {s: p for r in rows if r["hot_parts"] for s, p in zip(r["hot_states"], r["hot_parts"], strict=True)}
         for k in np.flatnonzero(self.hot[self.runs]).tolist():
             successors, keep = hot[int(self.state[self.runs[k]])]
             heads[k] = 2 * int(successors) + int(keep)
         numbers = np.zeros(len(counts), np.int64)
         numbers[counts >= MIN_COUNT] = longer
-        heads = np.repeat(heads, np.diff(np.append(self.runs, len(counts)))) if len(counts) else heads
-        out = [np.empty_like(counts) for _ in range(4)]
-        for x, y in zip(out, (counts, heads >> 1, heads & 1, numbers), strict=True):
-            x[self.order] = y
-        return tuple(out)
+        numbers = np.where(numbers > 0, numbers * self.shards + self.shard, 0)  # a shard counts its own from 1
+        out = [np.zeros(len(self.context), np.int64) for _ in range(2)]
+        out[0][self.order], out[1][self.order] = counts, numbers
+        by_context = np.zeros(self.contexts, np.int64)
+        by_context[self.context[self.order[self.runs]]] = heads
+        heads = by_context[self.context]
+        return out[0], heads >> 1, heads & 1, out[1]
 
 
 class Text:
@@ -219,6 +243,7 @@ class Text:
         self.count[self.order] = np.concatenate([unpack(answers[s]["b"]) for s in sorted(answers)])
         self.starts = np.cumsum(lengths) - lengths
         self.learnt = np.repeat(~np.array(row["held"], bool), lengths)
+        self.bound = self.count[self.ids]  # how often a longer pair can come at most
         self.p = self.base = shards.root(self.count)[self.ids]
         end = self.count[words.index(b"")]
         self._shift(self.number[self.ids], self.count[self.ids], 0, end)
@@ -236,14 +261,15 @@ class Text:
         self.p[pairs.at] = np.where(keep, (c + successors * p) / (seen + successors), p)
         state, counts = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         state[pairs.at], counts[pairs.at] = number, c
+        self.bound = counts
         self._shift(state, counts, 0, 0)
 
 
-def over_blocks(held: DataFrame, paths: list[str], shards: Shards, schema: str, what: Callable[[dict, Text, Pairs | None], Iterator[tuple]], last: bool) -> DataFrame:
+def over_blocks(held: DataFrame, paths: list[tuple], shards: Shards, schema: str, what: Callable[[dict, Text, Pairs | None], Iterator[tuple]], last: bool) -> DataFrame:
     """``what`` over every block after as many levels as there are answers; the first of them are those of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = [Answers(p) for p in paths]
+        files = [Answers(*p) for p in paths]
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -317,17 +343,18 @@ def merge_words(n_shards: int) -> Callable[[int, list[dict]], Iterator[tuple]]:
     return merge
 
 
-def merge_pairs(n_shards: int, last: bool) -> Callable[[int, list[dict]], Iterator[tuple]]:
+def merge_pairs(last: bool) -> Callable[[int, list[dict]], Iterator[tuple]]:
     """Counts, contexts with their test, numbers of longer contexts; hot contexts' parts in a row of their own."""
 
     def merge(shard: int, rows: list[dict]) -> Iterator[tuple]:
         heads, sizes, words, n, loss = ([unpack(r[c]) for r in rows] for c in "abcde")
+        heads = [np.cumsum(h) for h in heads]  # they ascend within a block
         marks = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes, strict=True)])
         words, n, loss = np.concatenate(words), np.concatenate(n), np.concatenate(loss)
         order = np.lexsort((words, marks))
         first = runs(marks[order], words[order])
         c = np.add.reduceat(n[order], first)
-        head, p = marks[order][first], np.exp(-loss[order][first] / NATS)
+        head, p = marks[order][first], np.exp(-np.maximum.reduceat(loss[order], first) / NATS)
         own = runs(head)
         spans = np.diff(np.append(own, len(head)))
         successors, seen = np.add.reduceat((c > 0).astype(np.int64), own), np.add.reduceat(c, own)
@@ -338,7 +365,7 @@ def merge_pairs(n_shards: int, last: bool) -> Callable[[int, list[dict]], Iterat
         keep = np.add.reduceat(gain, own) > GAIN
         hot = np.flatnonzero(head[own] & 1)
         yield -1, -1, shard, None, None, None, (head[own[hot]] >> 1).tolist(), np.column_stack([successors[hot], seen[hot], np.add.reduceat(plain, own)[hot]]).astype(float).tolist()
-        longer = np.cumsum(c >= MIN_COUNT) * n_shards + shard
+        longer = np.cumsum(c >= MIN_COUNT)
         entry = np.empty(len(order), np.int64)
         entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
         answer = 2 * successors + keep
@@ -348,19 +375,28 @@ def merge_pairs(n_shards: int, last: bool) -> Callable[[int, list[dict]], Iterat
             at += len(e)
             counts = c[e]
             numbers = longer[e][counts >= MIN_COUNT]
-            yield row["block"], row["bin"], shard, pack(counts), pack(answer[np.searchsorted(head[own], h)]), pack(np.zeros_like(numbers) if last else numbers), (h[h & 1 == 1] >> 1).tolist(), None
+            yield row["block"], row["bin"], shard, pack(counts), pack(answer[np.searchsorted(head[own], h)]), pack_steps(np.zeros_like(numbers) if last else numbers), (h[h & 1 == 1] >> 1).tolist(), None
 
     return merge
 
 
-def settled_hot(answers: DataFrame) -> DataFrame:
-    """The answers, with the successors and the test of hot contexts: a row of ``answers`` asks for those that it names."""
-    parts = answers.where("block < 0").select(F.explode(F.arrays_zip("hot_states", "hot_parts")).alias("x")).select(F.col("x.hot_states").alias("state"), F.col("x.hot_parts").alias("p"))
+def settled_hot(path: str, bins: int, tables: Tables) -> str | None:
+    """Where the successors and the test of hot contexts are, for the rows that name some; None if there are none."""
+    answers = tables.spark.read.schema(BACK).parquet(path)
+    parts = answers.where("bin < 0").select(F.explode(F.arrays_zip("hot_states", "hot_parts")).alias("x")).select(F.col("x.hot_states").alias("state"), F.col("x.hot_parts").alias("p"))
     sums = parts.groupBy("state").agg(*(F.sum(F.col("p")[k]).alias(n) for k, n in enumerate(("successors", "seen", "plain"))))
-    tested = sums.select("state", F.array("successors", (F.col("plain") - F.col("seen") * F.log("seen") > GAIN).cast("double")).alias("hot_part"))
-    asked = answers.where("block >= 0 AND size(hot_states) > 0").select("block", "shard", F.explode("hot_states").alias("state"))
-    found = asked.join(tested, "state").groupBy("block", "shard").agg(F.collect_list("state").alias("hot_states"), F.collect_list("hot_part").alias("hot_parts"))
-    return answers.where("block >= 0").drop("hot_states", "hot_parts").join(found, ["block", "shard"], "left").select(*(c.split(" ")[0] for c in BACK.split(", ")))
+    tested = tables.store(sums.select("state", F.array("successors", (F.col("plain") - F.col("seen") * F.log("seen") > GAIN).cast("double")).alias("hot_part")))
+    if tested.isEmpty():
+        return None
+    asked = answers.where("bin >= 0").select("bin", "block", "shard", F.explode("hot_states").alias("state"))
+    found = asked.join(tested, "state").groupBy("bin", "block", "shard").agg(F.collect_list("state").alias("hot_states"), F.collect_list("hot_part").alias("hot_parts"))
+    return write_back(found, bins, tables)
+
+
+def release(spark: SparkSession) -> None:
+    """A hint to the driver's JVM: what it no longer refers to is gone, so Spark drops the shuffles of results that have been stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -384,14 +420,17 @@ def score(docs: DataFrame, order: int = ORDER, hot: int = HOT_COUNT) -> DataFram
     n_tokens, train, bins = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_distinct("bin")).first()
     parts = docs.sparkSession.sparkContext.defaultParallelism
     shards, bins = Shards(max(parts, -(-n_tokens // SHARD_TOKENS)), hot), max(parts, bins)
-    answers = tables.store(by_shard(send_words(held.select("block", "bin", "held", "lengths", "ids", "words"), shards), merge_words(shards.n), shards))
-    vocabulary = answers.where("block < 0").agg(F.coalesce(F.sum(F.col("hot_parts")[0][0]), F.lit(0.0))).first()[0]
-    shards = Shards(shards.n, hot, train, int(vocabulary))
-    paths = [write_back(answers.where("block >= 0"), bins, tables)]
+    spark = docs.sparkSession
+    path = write_back(by_shard(send_words(held.select("block", "bin", "held", "lengths", "ids", "words"), shards), merge_words(shards.n), shards), bins, tables)
+    heads = spark.read.schema(BACK).parquet(path).where("bin < 0")
+    vocabulary = heads.agg(F.coalesce(F.sum(F.col("hot_parts")[0][0]), F.lit(0.0))).first()[0]
+    shards, paths = Shards(shards.n, hot, train, int(vocabulary)), [(path, None)]
     for level in range(1, order + 1):
+        release(spark)
         sent = over_blocks(held, paths, shards, SENT, sent_pairs, False)
-        answers = tables.store(by_shard(sent, merge_pairs(shards.n, level == order), shards))
-        paths.append(write_back(settled_hot(answers), bins, tables))
+        path = write_back(by_shard(sent, merge_pairs(level == order), shards), bins, tables)
+        paths.append((path, settled_hot(path, bins, tables)))
+    release(spark)
     scores = over_blocks(held, paths, shards, SCORES, document_scores, True)
     out = settle(scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score")))
     tables.clear()

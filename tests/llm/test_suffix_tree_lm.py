@@ -107,7 +107,7 @@ def test_empty_and_untrained(docs_of):
 
 def test_unseen_texts_are_likelier_than_by_words_alone(spark):
     rows = S.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert rows[0] > 0.9 * rows[1]
+    assert rows[0] > 0.95 * rows[1]
 
 
 def test_a_state_is_a_distribution():
@@ -123,6 +123,6 @@ def test_a_state_is_a_distribution():
 def test_packing_round_trip():
     r = np.random.default_rng(1)
     for x in (np.zeros(0, np.int64), np.array([0]), r.integers(0, 300, 1000), r.integers(0, 1 << 40, 1000)):
-        assert (S.unpack(S.pack(x)) == x).all()
+        assert (S.unpack(S.pack(x)) == x).all() and (S.unpack_steps(S.pack_steps(x)) == x).all()
     words = [b"", b"a", b"\xff\x00", b"b" * 1000]
     assert S.unpack_words(S.pack_words(words)) == words and S.unpack_words(S.pack_words([])) == []
