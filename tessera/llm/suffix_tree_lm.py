@@ -236,16 +236,15 @@ class Text:
 
     def __init__(self, row: dict, answers: dict[int, dict], shards: Shards):
         self.ids, lengths = unpack(row["ids"]), unpack(row["lengths"])
-        words = unpack_words(row["words"])
-        self.order = np.argsort(shards.of_words(words), kind="stable")
-        self.number, self.count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        self.number[self.order] = np.concatenate([unpack(answers[s]["a"]) for s in sorted(answers)])
-        self.count[self.order] = np.concatenate([unpack(answers[s]["b"]) for s in sorted(answers)])
+        self.number, self.count = (np.zeros(int(self.ids.max()) + 1, np.int64) for _ in range(2))
+        for x in answers.values():
+            at = unpack_steps(x["c"])
+            self.number[at], self.count[at] = unpack(x["a"]), unpack(x["b"])
         self.starts = np.cumsum(lengths) - lengths
         self.learnt = np.repeat(~np.array(row["held"], bool), lengths)
         self.bound = self.count[self.ids]  # how often a longer pair can come at most
         self.p = self.base = shards.root(self.count)[self.ids]
-        end = self.count[words.index(b"")]
+        end = self.count[self.ids[lengths[0] - 1]]  # a text's last token
         self._shift(self.number[self.ids], self.count[self.ids], 0, end)
 
     def _shift(self, state: np.ndarray, seen: np.ndarray, first: int, first_seen: int) -> None:
@@ -321,7 +320,7 @@ def send_words(held: DataFrame, shards: Shards) -> DataFrame:
                 order = np.argsort(shard, kind="stable")
                 cuts = runs(shard[order])
                 groups = zip(cuts, [*cuts[1:], len(order)], strict=True)
-                yield batch_of([(int(shard[order[a]]), row["block"], row["bin"], pack_words([words[i] for i in order[a:b]]), pack(n[order[a:b]]), None, None, None) for a, b in groups], SENT)
+                yield batch_of([(int(shard[order[a]]), row["block"], row["bin"], pack_words([words[i] for i in order[a:b]]), pack(n[order[a:b]]), pack_steps(order[a:b]), None, None) for a, b in groups], SENT)
 
     return held.mapInArrow(run, SENT)
 
@@ -338,7 +337,7 @@ def merge_words(n_shards: int) -> Callable[[int, list[dict]], Iterator[tuple]]:
         yield -1, -1, shard, None, None, None, None, [[float(sum(n > 0 for n in total.values()))]]
         for row in rows:
             words = unpack_words(row["a"])
-            yield row["block"], row["bin"], shard, pack(np.array([number[w] for w in words])), pack(np.array([total[w] for w in words])), None, None, None
+            yield row["block"], row["bin"], shard, pack(np.array([number[w] for w in words])), pack(np.array([total[w] for w in words])), row["c"], None, None
 
     return merge
 
@@ -415,8 +414,8 @@ def sent_pairs(row: dict, _: Text, pairs: Pairs | None) -> Iterator[tuple]:
 
 def score(docs: DataFrame, order: int = ORDER, hot: int = HOT_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
-    tables = Tables(docs.sparkSession)
-    held = tables.store(blocks(docs))
+    tables, whole = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    held = whole.store(blocks(docs))
     n_tokens, train, bins = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.count_distinct("bin")).first()
     parts = docs.sparkSession.sparkContext.defaultParallelism
     shards, bins = Shards(max(parts, -(-n_tokens // SHARD_TOKENS)), hot), max(parts, bins)
@@ -425,6 +424,8 @@ def score(docs: DataFrame, order: int = ORDER, hot: int = HOT_COUNT) -> DataFram
     heads = spark.read.schema(BACK).parquet(path).where("bin < 0")
     vocabulary = heads.agg(F.coalesce(F.sum(F.col("hot_parts")[0][0]), F.lit(0.0))).first()[0]
     shards, paths = Shards(shards.n, hot, train, int(vocabulary)), [(path, None)]
+    held = tables.store(held.drop("words"))  # numbers stand for them from here on
+    whole.clear()
     for level in range(1, order + 1):
         release(spark)
         sent = over_blocks(held, paths, shards, SENT, sent_pairs, False)
