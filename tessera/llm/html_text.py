@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import settle
@@ -398,7 +398,7 @@ def judge(wrapper: str, seen: dict[int, tuple[int, int, bool, int]]) -> tuple[li
 # --- jobs -----------------------------------------------------------------------------------------------------------------
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
-HELD = "host string, skel long, slot int, skeleton string, chars long, linked long, low long, high long, pages long"
+HELD = "host string, skel long, slot int, skeleton string, chars long, linked long, low long, high long, pages array<long>"
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -407,28 +407,36 @@ def rows_in(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)).alias("host"))
 
 
+def least_of(pages: str) -> Column:
+    """The SHOWN_BY least of arrays that have no more each: one a batch of pages, then one a skeleton."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pages)))), 1, SHOWN_BY)
+
+
 def held_by_slots(rows: DataFrame) -> DataFrame:
-    """What the slots of each skeleton hold. ``pages`` has a bit set for each of 63 classes of pages by their hash; slot -1 carries the skeleton."""
+    """What the slots of each skeleton hold. ``pages``: the SHOWN_BY least hashes of different pages, so whether there are as many is known exactly; slot -1 carries the skeleton."""
+
+    least = lambda pages: pages if len(pages) <= SHOWN_BY else set(sorted(pages)[:SHOWN_BY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, list] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html)
-                bit = 1 << (xxhash.xxh64_intdigest((html or "").encode("utf-8", "surrogatepass")) % 63)
-                found.setdefault((host, page.key, -1), [page.skeleton, 0, 0, 0, 0, 0])[5] |= bit
+                one = {xxhash.xxh64_intdigest((html or "").encode("utf-8", "surrogatepass")) - (1 << 63)}
+                own = found.setdefault((host, page.key, -1), [page.skeleton, 0, 0, 0, 0, set()])
+                own[5] = least(own[5] | one)
                 for text, linked, slot in zip(page.lines, page.linked, page.slots, strict=True):
                     digest = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-                    own = found.setdefault((host, page.key, slot), [None, 0, 0, digest, digest, 0])
+                    own = found.setdefault((host, page.key, slot), [None, 0, 0, digest, digest, set()])
                     own[1] += len(text)
                     own[2] += linked
                     own[3], own[4] = min(own[3], digest), max(own[4], digest)
-                    own[5] |= bit
-            columns = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [()] * 9
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5]
+                    own[5] = least(own[5] | one)
+            columns = list(zip(*((*k, *v[:5], sorted(v[5])) for k, v in found.items()), strict=True)) or [()] * 9
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split(" ")[0] for x in HELD.split(", ")])
 
-    sums = [F.max("skeleton").alias("skeleton"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("pages").alias("pages")]
+    sums = [F.max("skeleton").alias("skeleton"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"), least_of("pages").alias("pages")]
     return rows.select("host", "html").mapInArrow(run, HELD).groupBy("host", "skel", "slot").agg(*sums)
 
 
@@ -475,7 +483,7 @@ def masks(held: DataFrame, wrappers: DataFrame) -> DataFrame:
     skeletons = held.where("slot = -1").select("host", "skel", "skeleton").join(wrappers, "host").select("host", "skel", "skeleton", "nodes")
     falls = settle(skeletons.mapInArrow(fall, "host string, skel long, slot int, at int, has boolean"))
     by_slot = falls.where("at >= 0").join(held.drop("skeleton"), ["host", "skel", "slot"]).groupBy("host", "at")
-    fixed = (F.min("low") == F.max("high")) & (F.bit_count(F.bit_or("pages")) >= SHOWN_BY)
+    fixed = (F.min("low") == F.max("high")) & (F.size(least_of("pages")) >= SHOWN_BY)
     seen = by_slot.agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), fixed.alias("fixed"), F.sum(F.when(F.col("has"), 0).otherwise(F.col("chars"))).alias("bare"))
     listed = seen.groupBy("host").agg(F.collect_list(F.struct("at", "chars", "linked", "fixed", "bare")).alias("seen"))  # the slots of a wrapper
 

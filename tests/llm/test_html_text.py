@@ -135,3 +135,19 @@ def test_sql(spark):
 def test_long_page():
     html = "<article>" + "<p>w</p>" * 20_000 + "</article>"
     assert H.extract([html, html])[0] == "\n".join(["w"] * 20_000)
+
+
+def test_a_template_text_is_told_by_different_pages(spark):
+    """Three pages of a host that share their last line drop it, two keep it, copies of a page count once; whatever the pages hash to."""
+    html = "<body><h2>Head {0}</h2><div><p>long text of page {0}, and so on and on</p></div><div>the shared last line</div></body>"
+    rows = []
+    for h in range(70):
+        n = 3 if h % 2 else 2
+        rows += [(len(rows) + k, f"http://host{h}.example/{k}", html.format(f"{h} {min(k, n - 1)}")) for k in range(4)]
+    got = {r.page_id: r.text for r in H.main_text(pages(spark, rows).repartition(5)).collect()}
+    hosts: dict = {}
+    for i, url, text in rows:
+        hosts.setdefault(url.split("/")[2], []).append((i, text))
+    for own in hosts.values():
+        assert [got[i] for i, _ in own] == H.extract([t for _, t in own])
+    assert len({"shared" in t for t in got.values()}) == 2
