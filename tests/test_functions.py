@@ -113,4 +113,4 @@ def test_dialect(spark):
     assert D.top_words(said, 4) == ["api", "kafka_streams", "keyvalue", "ada"]
     long_ = "é" * 30 + " decided"
     assert one(spark, D.key_sentence(F.lit(long_))) == "é" * 26 + "..." and one(spark, D.key_sentence(F.lit("short. No."))) == ""
-    assert one(spark, D.ratio(F.lit("a b c d e f g"), F.lit("a b"))) == 4.5 and one(spark, D.line(F.lit("Some words here"))) == "0:???|some_words|\"Some words here\""
+    assert one(spark, D.ratio(F.lit("a b c d e f g"), F.lit("a b"))) == 4.5 and one(spark, D.line(F.lit("Some words here"))) == "0:???|words|\"Some words here\""
