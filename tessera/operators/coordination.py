@@ -117,11 +117,13 @@ def unclaimed_introductions(events: DataFrame, within: str = "1 hour", late: str
     """(agent_id, ts): introductions with no claim of the same agent in the time ``within`` before or after. For tables and for streams (agent_id, content, ts).
 
     In a stream both sides have a watermark, so an introduction waits until no claim can come any more, and a claim that is late but not behind the watermark counts; state goes with it.
-    A null agent introduces itself for ever.
+    A null agent never claims; a row without a time says nothing.
     """
     timed = events.select("agent_id", "content", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    said = timed.where(mentions(F.col("content"), INTRODUCES)).select("agent_id", "ts")
-    claims = timed.where(mentions(F.col("content"), CLAIMS)).select(F.col("agent_id").alias("claimant"), F.col("ts").alias("claimed_at"))
+    # the text is tied to the time: a filter that isn't would be taken below the watermark, which must see all events
+    text = F.when(F.col("ts").isNotNull(), F.col("content"))
+    said = timed.where(mentions(text, INTRODUCES)).select("agent_id", "ts")
+    claims = timed.where(mentions(text, CLAIMS)).select(F.col("agent_id").alias("claimant"), F.col("ts").alias("claimed_at"))
     near = (F.col("agent_id") == F.col("claimant")) & (F.col("claimed_at") >= F.col("ts") - F.expr(f"INTERVAL {within}")) & (F.col("claimed_at") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
     return said.join(claims, near, "left_outer").where(F.col("claimant").isNull()).select("agent_id", "ts")
 

@@ -122,22 +122,22 @@ def cluster_centroids(spark, d):
     return c.select("label", F.round(F.aggregate(F.transform("centroid", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("weighted"), "n")
 
 
-_MEMBERS = "SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id, event_id % 977 AS member_id FROM events"
+_MEMBERS = "SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id, CASE WHEN event_id % 2 = 0 THEN event_id % 97 ELSE event_id % 977 END AS member_id FROM events"
 _OVERLAPS = """s AS (SELECT cluster_id, count(*) AS z FROM m GROUP BY ALL), b AS (SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) AS n FROM m x JOIN m y ON x.member_id = y.member_id AND x.cluster_id < y.cluster_id GROUP BY ALL),
 o AS (SELECT a, b, n / least(p.z, q.z)::DOUBLE AS overlap FROM b JOIN s p ON p.cluster_id = a JOIN s q ON q.cluster_id = b WHERE n > {0} * least(p.z, q.z) + 1e-9)"""
 
 
 def _members(spark, d):
-    return B.table(spark, d, "events").selectExpr("CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id", "event_id % 977 AS member_id")
+    return B.table(spark, d, "events").selectExpr("CASE WHEN user_id % 3 = 0 THEN user_id % 90 ELSE user_id % 600 END AS cluster_id", "CASE WHEN event_id % 2 = 0 THEN event_id % 97 ELSE event_id % 977 END AS member_id")
 
 
-@query("cluster_overlap", f"WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.2)} SELECT a, b, round(overlap, 6) AS overlap FROM o")
+@query("cluster_overlap", f"WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.1)} SELECT a, b, round(overlap, 6) AS overlap FROM o")
 def cluster_overlap(spark, d):
     """No two of these clusters are equal, so classes are clusters."""
-    return CL.overlapping(_members(spark, d), 0.2).withColumn("overlap", F.round("overlap", 6))
+    return CL.overlapping(_members(spark, d), 0.1).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("clusters_refined", f"""WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.2)}, f AS (SELECT b AS cluster_id, min(a) AS absorbed_by FROM o GROUP BY b),
+@query("clusters_refined", f"""WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.1)}, f AS (SELECT b AS cluster_id, min(a) AS absorbed_by FROM o GROUP BY b),
 g AS (SELECT cluster_id, member_id FROM m UNION SELECT absorbed_by, member_id FROM f JOIN m USING (cluster_id)),
 x AS (SELECT cluster_id, member_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM g JOIN embeddings ON vec_id = member_id),
 c AS (SELECT cluster_id, sum(a * a) AS square FROM (SELECT cluster_id, i, avg(v) AS a FROM x GROUP BY ALL) GROUP BY cluster_id)
@@ -146,7 +146,7 @@ def clusters_refined(spark, d):
     """Clusters merged in the order of their ids, with the squared length of their new centroids."""
     vectors = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("member_id"), "embedding")
     square = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)
-    return CL.refine(_members(spark, d), vectors, 0.2).select("cluster_id", "absorbed_by", "size", F.round(square, 6).alias("square"))
+    return CL.refine(_members(spark, d), vectors, 0.1).select("cluster_id", "absorbed_by", "size", F.round(square, 6).alias("square"))
 
 
 @query("source_duplicates", """WITH RECURSIVE d AS (SELECT doc_id AS id, 'f' || (doc_id % 30) AS source_file, strlen(coalesce(text, '')) AS z, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS w FROM documents),

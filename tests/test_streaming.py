@@ -138,6 +138,6 @@ def test_introductions_wait_for_late_claims(run, rocks):
     """A claim that comes two batches late counts; one behind the watermark does not."""
     from tessera.operators import coordination as C
 
-    rows = [[("a", "hello", at(0)), ("b", "hello", at(10))], [("c", "hello", at(4000))], [("a", "working on it", at(600))], [("z", "done", at(20_000))], [("b", "claimed", at(20))], *[[("z", "done", at(10**6 + k))] for k in range(3)]]
+    rows = [[("a", "hello", at(0)), ("b", "hello", at(10))], [("c", "hello", at(4000))], [("a", "working on it", at(600))], [("z", "done", at(20_000))], [("z", "done", at(20_001))], [("b", "claimed", at(20))], *[[("z", "done", at(10**6 + k))] for k in range(3)]]
     got = run(rows, "agent_id string, content string, ts timestamp", lambda s: C.unclaimed_introductions(s, "1 hour", "2 hours"))
     assert sorted((r.agent_id, r.ts) for r in got) == [("b", at(10)), ("c", at(4000))]
