@@ -206,16 +206,18 @@ def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
-def dealt(kind: int, bucket: np.ndarray, squeeze: bool, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """A row for each bucket that has something."""
+def parted(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The arrays' parts in each bucket that has something."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
-    out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        blob = packed(*(x[order[a:b]] for x in arrays))
-        out.append((kind, int(bucket[a]), compress(blob) if squeeze else blob))
-    return out
+        yield int(bucket[a]), [x[order[a:b]] for x in arrays]
+
+
+def dealt(kind: int, bucket: np.ndarray, squeeze: bool, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """A row for each bucket that has something."""
+    return [(kind, b, compress(packed(*own)) if squeeze else packed(*own)) for b, own in parted(bucket, *arrays)]
 
 
 def doc_bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -254,11 +256,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("doc_id", stand_in).alias("key"), "text")
 
 
-def repeated_windows(key: np.ndarray, at: np.ndarray, later: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+def repeated_windows(key: np.ndarray, at: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows ``later`` (indices, in any order) as covered stretches."""
     order = later[np.lexsort((at[later], key[later]))]
     own, first, last = ranges(key[order], at[order].astype(np.int64))
-    return dealt(RANGE, doc_bucket(own, buckets), True, own, first.astype("<u4"), last.astype("<u4"))
+    return own, first.astype("<u4"), last.astype("<u4")
 
 
 def hot_classes(rows: DataFrame) -> np.ndarray | None:
@@ -295,20 +297,28 @@ def find_anchors(rows: DataFrame, shards: int, buckets: int, hot: np.ndarray | N
                 key, at = keys[w_text], w_at.astype(np.uint32)
                 first, later = settle_contexts(key, at, w_h, w)
                 out += dealt(HOT_WINDOW, (w[first] % np.uint64(shards)).astype(np.int64), False, key[first], at[first], w_h[first], w[first])
-                out += repeated_windows(key, at, later, buckets)
+                own, *covered = repeated_windows(key, at, later)
+                out += dealt(RANGE, doc_bucket(own, buckets), True, own, *covered)
             yield rows_of(out)
 
     return rows.mapInArrow(run, ROWS)
 
 
 def meet(anchors: DataFrame, buckets: int) -> DataFrame:
-    """Per hash: later occurrences of a context are settled; first ones of different contexts are open, to be compared. Later ones of a hot anchor's windows are covered."""
+    """Per hash: later occurrences of a context are settled; first ones of different contexts are open, to be compared. Later ones of a hot anchor's windows are covered.
+
+    A task makes one row for each kind and bucket of documents (more only beyond MARKS_HELD marks), whatever it has read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {ANCHOR: [], HOT_WINDOW: []}
-        marks: dict[tuple[int, int], list[list[np.ndarray]]] = {}  # what each task has marked in a bucket of documents goes on as one row
+        marks: dict[tuple[int, int], list[list[np.ndarray]]] = {}
         size = 0
 
+        def mark(kind: int, key: np.ndarray, *arrays: np.ndarray) -> None:
+            for bucket, own in parted(doc_bucket(key, buckets), key, *arrays):
+                marks.setdefault((kind, bucket), []).append(own)
+
         def gathered() -> pa.RecordBatch:
             out = [(kind, bucket, compress(packed(*(np.concatenate(x) for x in zip(*own, strict=True))))) for (kind, bucket), own in marks.items()]
             marks.clear()
@@ -324,10 +334,9 @@ def meet(anchors: DataFrame, buckets: int) -> DataFrame:
                 if size > MARKS_HELD:
                     yield gathered()
                     size = 0
-        yield gathered()
         if parts[HOT_WINDOW]:
             key, at, h, w = (np.concatenate(x) for x in zip(*parts.pop(HOT_WINDOW), strict=True))
-            yield rows_of(repeated_windows(key, at, settle_contexts(key, at, h, w)[1], buckets))
+            mark(RANGE, *repeated_windows(key, at, settle_contexts(key, at, h, w)[1]))
         if parts[ANCHOR]:
             key, at, h, c = (np.concatenate(x) for x in zip(*parts.pop(ANCHOR), strict=True))
             first, later = settle_contexts(key, at, h, c)
@@ -336,13 +345,14 @@ def meet(anchors: DataFrame, buckets: int) -> DataFrame:
             several[1:] = mine[1:] == mine[:-1]
             several[:-1] |= several[1:].copy()
             left = first[several]
-            yield rows_of(dealt(SETTLED, doc_bucket(key[later], buckets), True, key[later], at[later]))
-            yield rows_of(dealt(OPEN, doc_bucket(key[left], buckets), True, key[left], at[left], h[left]))
+            mark(SETTLED, key[later], at[later])
+            mark(OPEN, key[left], at[left], h[left])
+        yield gathered()
 
-    return anchors.repartition(buckets // SHARDS_EACH, "kind", "bucket").mapInArrow(run, ROWS)
+    return anchors.repartition(buckets, "kind", "bucket").mapInArrow(run, ROWS)
 
 
-def by_document(rows: DataFrame, *kinds: str) -> DataFrame:
+def by_document(rows: DataFrame, buckets: int, *kinds: str) -> DataFrame:
     """(key, marks): the packed arrays of each document, from rows that are packed by bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,12 +367,12 @@ def by_document(rows: DataFrame, *kinds: str) -> DataFrame:
             own = cuts[at : at + 4097]
             yield pa.RecordBatch.from_arrays([pa.array(key[own[:-1]]), pa.array([packed(*(x[a:b] for x in rest)) for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["key", "marks"])
 
-    return rows.repartition("bucket").select("bucket", "blob").mapInArrow(run, "key long, marks binary")
+    return rows.repartitionById(buckets, "bucket").select("bucket", "blob").mapInArrow(run, "key long, marks binary")
 
 
-def fetch_contexts(texts: DataFrame, open_: DataFrame, shards: int) -> DataFrame:
+def fetch_contexts(texts: DataFrame, open_: DataFrame, shards: int, buckets: int) -> DataFrame:
     """The bytes of the contexts that are open, dealt by their anchor's hash."""
-    joined = texts.join(by_document(open_, "<u4", "<u8"), "key")
+    joined = texts.join(by_document(open_, buckets, "<u4", "<u8"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,7 +489,7 @@ def compare(contexts: DataFrame, buckets: int) -> DataFrame:
             key, first, last = ranges(*repeated_starts(parts))
             yield rows_of(dealt(RANGE, doc_bucket(key, buckets), True, key, first.astype("<u4"), last.astype("<u4")))
 
-    return contexts.repartition(buckets // SHARDS_EACH, "bucket").mapInArrow(run, ROWS)
+    return contexts.repartition(buckets, "bucket").mapInArrow(run, ROWS)
 
 
 def cover(n: int, settled: bytes | None, found: bytes | None) -> np.ndarray:
@@ -513,12 +523,14 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     # shards follow the corpus, so that what a task holds does not
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = buckets = SHARDS_EACH * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # documents have one bucket a partition, so that what tasks mark goes as a row for each block of the shuffle
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    shards = SHARDS_EACH * buckets
     met = settle(meet(find_anchors(rows, shards, buckets, hot_classes(rows)), buckets))
-    texts = rows.repartition(buckets // SHARDS_EACH, "key")
-    found = compare(fetch_contexts(texts, met.where(F.col("kind") == OPEN), shards), buckets).union(met.where(F.col("kind") == RANGE))
-    settled = by_document(met.where(F.col("kind") == SETTLED), "<u4").withColumnRenamed("marks", "settled")
-    found = by_document(found, "<u4", "<u4").withColumnRenamed("marks", "found")
+    texts = rows.repartition(buckets, "key")
+    found = compare(fetch_contexts(texts, met.where(F.col("kind") == OPEN), shards, buckets), buckets).union(met.where(F.col("kind") == RANGE))
+    settled = by_document(met.where(F.col("kind") == SETTLED), buckets, "<u4").withColumnRenamed("marks", "settled")
+    found = by_document(found, buckets, "<u4", "<u4").withColumnRenamed("marks", "found")
     marks = settled.join(found, "key", "full")
     return texts.join(marks, "key", "left")
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import suffix_array as A
 from tessera.llm import suffix_dedup as X
@@ -83,6 +84,18 @@ def test_a_line_among_different_surroundings(docs_of, monkeypatch):
     assert {g.n_removed for g in X.suffix_dedup(docs).collect()} == {0}
 
 
+def test_a_task_makes_one_row_for_a_bucket(docs_of, monkeypatch):
+    """Copies within tasks, copies that meet later, windows of hot anchors: a task's marks in a bucket go as one row."""
+    monkeypatch.setattr(X, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(X, "HOT", 2)
+    r = random.Random(7)
+    pool = passages(r, 8)
+    docs = docs_of([(k, " ".join(r.choices(pool, k=4)) + "".join(r.choices("xyz ", k=90))) for k in range(300)])
+    rows = X.keyed(docs)
+    met = X.meet(X.find_anchors(rows, 32, 8, X.hot_classes(rows)), 8).groupBy(F.spark_partition_id().alias("task"), "kind", "bucket").count().collect()
+    assert {m.kind for m in met} == {X.SETTLED, X.OPEN, X.RANGE} and max(m["count"] for m in met) == 1
+
+
 def test_classes_of_anchors_are_even():
     data = np.random.default_rng(6).integers(97, 123, 400_000).astype(np.uint8)
     (_, _, h, _), _ = X.batch_anchors(data, np.array([0, len(data)]))
