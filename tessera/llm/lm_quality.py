@@ -34,7 +34,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +166,10 @@ def grams_in(rows: DataFrame, n_docs: int) -> DataFrame:
 
 
 def gram_counts(rows: DataFrame, n_docs: int) -> DataFrame:
-    return grams_in(rows, n_docs).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    """(lang, a, b, n0, n1): how often each model has met an n-gram, null for never. ``rows`` have the model's number before their language."""
+    number, lang = F.split("lang", ":", 2)[0], F.split("lang", ":", 2)[1]
+    found = grams_in(rows, n_docs).select(number.alias("model"), lang.alias("lang"), "a", "b", "n")
+    return found.groupBy(*KEY).agg(*(F.sum(F.when(F.col("model") == str(m), F.col("n"))).alias(f"n{m}") for m in range(len(MODELS))))
 
 
 def block_grams(rows: DataFrame, n_docs: int) -> DataFrame:
@@ -189,21 +192,34 @@ def context(order: int) -> list[Column]:
     return [F.shiftrightunsigned("a", BITS).alias("ha"), b.alias("hb")]
 
 
+def each(rule: Callable[[int], Column]) -> list[Column]:
+    """A column for each model."""
+    return [rule(m) for m in range(len(MODELS))]
+
+
 def discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) from the counts of counts; where these are too few, half of a count of one and less of more."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    rule = lambda k: F.when(usable, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5)
-    return n.select("lang", *[rule(k).alias(f"d{k}") for k in (1, 2, 3)])
+    """(lang, d1, d2, d3 of each model) from the counts of counts; where these are too few, half of a count of one and less of more."""
+    n = counts.groupBy("lang").agg(*[F.count_if(F.col(f"n{m}") == k).cast("double").alias(f"c{k}_{m}") for k in (1, 2, 3, 4) for m in range(len(MODELS))])
+
+    def rule(k: int, m: int) -> Column:
+        c = {j: F.col(f"c{j}_{m}") for j in (1, 2, 3, 4)}
+        y = c[1] / (c[1] + 2 * c[2])
+        usable = (c[1] > 0) & (c[2] > 0) & (c[3] > 0)
+        return F.when(usable, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * c[k + 1] / c[k]))).otherwise(0.5).alias(f"d{k}_{m}")
 
+    return n.select("lang", *[rule(k, m) for k in (1, 2, 3) for m in range(len(MODELS))])
 
-def discount(n: Column) -> Column:
-    return F.when(n >= 3, F.col("d3")).when(n == 2, F.col("d2")).otherwise(F.col("d1"))
+
+def discount(m: int) -> Column:
+    n = F.col(f"n{m}")
+    return F.when(n >= 3, F.col(f"d3_{m}")).when(n == 2, F.col(f"d2_{m}")).when(n == 1, F.col(f"d1_{m}"))
 
 
 class Model:
-    """Count tables of all orders; ``counts[k]``: (lang, a, b, left), ``contexts[k]``: (lang, ha, hb, total, weight of what was discounted)."""
+    """Count tables of all orders, the models side by side, so that an n-gram is a row for all of them and moves once.
+
+    ``counts[k]``: (lang, a, b, left), ``contexts[k]``: (lang, ha, hb, total, weight of what was discounted); null for what a model has not met.
+    """
 
     def __init__(self, highest: DataFrame, tables: Tables, order: int = ORDER):
         self.order, self.counts, self.contexts = order, {}, {}
@@ -212,25 +228,28 @@ class Model:
             table = tables.store(table)
             cuts = settle(discounts(table))  # a row a language
             cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
-            self.counts[k] = table.join(cuts, "lang").select(*KEY, (F.col("n") - discount(F.col("n"))).alias("left"), "n", discount(F.col("n")).alias("d"))
-            self.contexts[k] = self.counts[k].groupBy("lang", *context(k)).agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("cut"))
+            counts = table.join(cuts, "lang").select(*KEY, *each(lambda m: F.col(f"n{m}")), *each(lambda m: discount(m).alias(f"d{m}")))
+            self.counts[k] = counts.select(*KEY, *each(lambda m: (F.col(f"n{m}") - F.col(f"d{m}")).alias(f"left{m}")))
+            sums = [f(m) for m in range(len(MODELS)) for f in (lambda m: F.sum(f"n{m}").cast("double").alias(f"total{m}"), lambda m: F.sum(f"d{m}").alias(f"cut{m}"))]
+            self.contexts[k] = counts.groupBy("lang", *context(k)).agg(*sums)
             if k > 1:
-                table = table.groupBy("lang", *suffix(k)).agg(F.count(F.lit(1)).alias("n"))
-        self.sizes = table.groupBy("lang").agg((F.count(F.lit(1)) + 1).cast("double").alias("size"))
+                met = lambda m: F.count(f"n{m}")
+                table = table.groupBy("lang", *suffix(k)).agg(*each(lambda m: F.when(met(m) > 0, met(m)).alias(f"n{m}")))
+        self.sizes = table.groupBy("lang").agg(*each(lambda m: F.when(F.count(f"n{m}") > 0, F.count(f"n{m}") + 1).cast("double").alias(f"size{m}")))
 
     def score(self, sets: dict[int, DataFrame]) -> DataFrame:
-        """(lang, a, b, p) of the n-grams ``sets[order]`` by one count join and one context join for each order, from the lowest up."""
+        """(lang, a, b, p0, p1) of the n-grams ``sets[order]`` by one count join and one context join for each order, from the lowest up."""
         below = None
         for k in range(1, self.order + 1):
-            grams = sets[k].join(self.counts[k].select(*KEY, "left"), KEY, "left")
+            grams = sets[k].join(self.counts[k], KEY, "left")
             grams = grams.select("*", *context(k)).join(self.contexts[k], ["lang", "ha", "hb"], "left")
             if below is None:
-                grams = grams.join(self.sizes, "lang", "left").withColumn("lower", 1 / F.coalesce("size", F.lit(2.0)))
+                grams = grams.join(self.sizes, "lang", "left").select("*", *each(lambda m: (1 / F.coalesce(f"size{m}", F.lit(2.0))).alias(f"lower{m}")))
             else:
                 shorter = grams.select("*", *(c.alias(n) for c, n in zip(suffix(k), ("sa", "sb"), strict=True)))
-                grams = shorter.join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("lower")), ["lang", "sa", "sb"])
-            p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.coalesce("left", F.lit(0.0)) + F.col("cut") * F.col("lower")) / F.col("total"))
-            below = grams.select(*KEY, p.alias("p"))
+                grams = shorter.join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), *each(lambda m: F.col(f"p{m}").alias(f"lower{m}"))), ["lang", "sa", "sb"])
+            seen = lambda m: (F.coalesce(f"left{m}", F.lit(0.0)) + F.col(f"cut{m}") * F.col(f"lower{m}")) / F.col(f"total{m}")
+            below = grams.select(*KEY, *each(lambda m: F.when(F.col(f"total{m}").isNull(), F.col(f"lower{m}")).otherwise(seen(m)).alias(f"p{m}")))
         return below
 
 
@@ -342,16 +361,13 @@ def document_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learnt = labelled.where("NOT held_out").select("doc_id", F.col("sort").alias("model"))
     if learnt.count() <= BROADCAST_IDS:
         learnt = F.broadcast(learnt)
-    # both models are one set of tables: a language of a model is a language of its own there
-    of_model = lambda model: F.concat(model, F.lit(":"), F.col("lang")).alias("lang")
-    model = Model(gram_counts(rows.join(learnt, "doc_id").select(of_model(F.col("model")), "text", "block"), n), tables)
+    number = F.when(F.col("model") == MODELS[0], "0:").otherwise("1:")
+    model = Model(gram_counts(rows.join(learnt, "doc_id").select(F.concat(number, "lang").alias("lang"), "text", "block"), n), tables)
     grams = tables.store(block_grams(rows, n))
-    wanted = grams.where("first").select(F.explode(F.array(*(of_model(F.lit(m)) for m in MODELS))).alias("lang"), "a", "b")
-    scored = tables.store(model.score(gram_sets(wanted, tables)).select(*KEY, F.log("p").cast("float").alias("log")))
-    name, lang = F.split("lang", ":", 2)[0], F.split("lang", ":", 2)[1]
-    pairs = scored.select(name.alias("model"), lang.alias("lang"), "a", "b", "log").groupBy(*KEY).agg(*(F.max(F.when(F.col("model") == m, F.col("log"))).alias(n) for m, n in zip(MODELS, ("log_p", "log_q"), strict=True)))
-    texts.paths.append(path := block_tables(grams.drop("first"), pairs))
-    known = settle(model.sizes.where(name == MODELS[1]).select(lang.alias("lang"), F.lit(True).alias("known")))
+    wanted = grams.where("first").select(*KEY)
+    scored = tables.store(model.score(gram_sets(wanted, tables)).select(*KEY, *(F.log(f"p{m}").cast("float").alias(x) for m, x in enumerate(("log_p", "log_q")))))
+    texts.paths.append(path := block_tables(grams.drop("first"), scored))
+    known = settle(model.sizes.where("size1 IS NOT NULL").select("lang", F.lit(True).alias("known")))
     tables.clear()
     marked = add_up(rows, path).join(labelled, "doc_id", "left").join(known, "lang", "left")
     contrast = F.when((F.col("n") > 0) & F.col("known"), (F.col("log_q") - F.col("log_p")) / F.col("n"))

@@ -149,3 +149,18 @@ def test_contrast_finds_toxic_texts_of_common_n_grams(spark, docs_of):
     labels = spark.createDataFrame([(k, 1, int(k >= 300)) for k in range(400) if k % 2], "doc_id long, quality int, toxic int")
     got = {x.doc_id: x.kept for x in L.classify(docs_of(rows), labels).collect()}
     assert sum(not got[k] for k in range(300, 400, 2)) >= 45 and sum(got[k] for k in range(0, 300, 2)) >= 135
+
+
+def test_an_n_gram_is_one_row_for_both_models(spark, docs_of, monkeypatch):
+    made, score = [], L.Model.score
+
+    def watched(self, sets):
+        out = score(self, sets)
+        made.append((out.count(), sets[L.ORDER].select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(L.Model, "score", watched)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    L.document_scores(docs_of([(k, f"text {k} of some words") for k in range(30)]), labels)
+    ((rows, grams),) = made
+    assert rows == grams > 0
