@@ -1,7 +1,7 @@
 """Clusters and near-duplicates: overlap of member sets, merging in order, and the greedy choice of what to keep within a source.
 
 Sets meet by their rarest members alone (prefix filtering): two sets of enough in common share one of the rare ones, however common the rest is. Equal sets
-are one class first, so copies never meet in pairs. Results say a class or a partner a row, never all pairs of a group.
+are one class first, so copies never meet in pairs; only ``overlapping``, whose result is the pairs, lists them for every class in the end.
 """
 
 from __future__ import annotations
@@ -41,13 +41,27 @@ def _pairs(sets: DataFrame, sizes: DataFrame, prefix: Column, fits: Column) -> D
     return shared.where(fits)
 
 
+def _sets(members: DataFrame) -> DataFrame:
+    return settle(members.where("cluster_id IS NOT NULL AND member_id IS NOT NULL").select(F.col("cluster_id").alias("owner"), F.col("member_id").alias("member")).distinct())
+
+
 def overlapping(members: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, overlap), a < b: classes of equal clusters by their least ids, whose shared members are more than ``threshold`` of the smaller one's.
+    """(a, b, overlap), a < b: all pairs of clusters whose shared members are more than ``threshold`` of the smaller one's; equal clusters overlap by 1.
 
-    members: (cluster_id, member_id). Rows with nulls are left out.
+    members: (cluster_id, member_id). Rows with nulls are left out. Classes of equal clusters are compared, then every one's clusters are listed.
     """
-    sets = settle(members.where("cluster_id IS NOT NULL AND member_id IS NOT NULL").select(F.col("cluster_id").alias("owner"), F.col("member_id").alias("member")).distinct())
-    classes = _classes(sets)
+    sets = _sets(members)
+    classes = settle(_classes(sets))
+    near = _near_classes(sets, classes, threshold)
+    if threshold < 1:
+        near = near.unionByName(classes.groupBy(F.col("rep").alias("a")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", F.col("a").alias("b"), F.lit(1.0).alias("overlap")))
+    one, other = classes.select(F.col("rep").alias("a"), F.col("owner").alias("x")), classes.select(F.col("rep").alias("b"), F.col("owner").alias("y"))
+    every = near.join(one, "a").join(other, "b").where("a <> b OR x < y")
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+
+
+def _near_classes(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, overlap), a < b: of classes by their least ids; sets: (owner, member), classes: (owner, rep, size)."""
     reps = settle(classes.where("owner = rep").select("owner", "size"))
     kept = settle(sets.join(reps.select("owner"), "owner", "left_semi"))
     least = F.floor(F.col("size") * threshold + 1e-9) + 1  # members that a set of this size must share with a larger one
@@ -63,8 +77,9 @@ def refine(members: DataFrame, vectors: DataFrame | None = None, threshold: floa
     ``centroid`` are those after merging; vectors: (member_id, embedding), members without one don't count for the centroid.
     """
     sets = settle(members.where("cluster_id IS NOT NULL AND member_id IS NOT NULL").select("cluster_id", "member_id").distinct())
-    classes = settle(_classes(sets.select(F.col("cluster_id").alias("owner"), F.col("member_id").alias("member"))))
-    near = overlapping(sets, threshold)
+    named = sets.select(F.col("cluster_id").alias("owner"), F.col("member_id").alias("member"))
+    classes = settle(_classes(named))
+    near = _near_classes(named, classes, threshold)
     both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("other"))
     own = F.col("rep") if threshold < 1 else F.lit(None)  # a copy overlaps by 1

@@ -133,7 +133,7 @@ def _members(spark, d):
 
 @query("cluster_overlap", f"WITH m AS ({_MEMBERS}), {_OVERLAPS.format(0.1)} SELECT a, b, round(overlap, 6) AS overlap FROM o")
 def cluster_overlap(spark, d):
-    """No two of these clusters are equal, so classes are clusters."""
+    """All pairs of clusters that share more than a tenth of the smaller one's members, equal ones too."""
     return CL.overlapping(_members(spark, d), 0.1).withColumn("overlap", F.round("overlap", 6))
 
 

@@ -65,6 +65,15 @@ def test_refined_clusters(spark, threshold):
         assert got[c][2] == pytest.approx([sum(known) / len(known), 1.0])
 
 
+@pytest.mark.parametrize("threshold", [0.3, 1.0])
+def test_overlapping_lists_equal_clusters(spark, threshold):
+    clusters = random_clusters(3) | {99: {500, 501}, 98: {500, 501}, 97: {500, 501}}
+    df = spark.createDataFrame([(c, m) for c, ms in clusters.items() for m in ms] + [(None, 1), (1, None)], "cluster_id long, member_id long")
+    got = {(r.a, r.b): r.overlap for r in CL.overlapping(df, threshold).collect()}
+    share = {(a, b): len(clusters[a] & clusters[b]) / min(len(clusters[a]), len(clusters[b])) for a, b in itertools.combinations(sorted(clusters), 2)}
+    assert got == pytest.approx({k: x for k, x in share.items() if x > threshold + 1e-9})
+
+
 def test_clusters_settle(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (3, "d"), (4, "x"), (4, "y")], "cluster_id long, member_id string")
     assert sorted(map(tuple, CL.refine_all(df, 0.4).collect())) == [(1, "a"), (1, "b"), (1, "c"), (1, "d"), (4, "x"), (4, "y")]
