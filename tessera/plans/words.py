@@ -33,9 +33,10 @@ def token_profiles(spark, d):
 s AS (SELECT id, regexp_extract_all(text, '\p{Han}+|\p{Hiragana}+|\p{Katakana}+|\p{Hangul}+|[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+') AS s FROM c)
 SELECT id, len(s)::INT AS n, s[len(s)] AS last, id % 2 = 0 AS has_cjk FROM s""")
 def script_segments(spark, d):
+    """Runs of one script; a text without any has no last one."""
     c = _docs(spark, d, "concat(text, if(doc_id % 2 = 0, ' 中文かなカナ한글', '')) AS text")
     s = c.select("id", T.cjk_segments("text").alias("s"), T.has_cjk("text").alias("has_cjk"))
-    return s.select("id", F.size("s").alias("n"), F.element_at("s", -1).alias("last"), "has_cjk")
+    return s.select("id", F.size("s").alias("n"), F.try_element_at("s", F.lit(-1)).alias("last"), "has_cjk")
 
 
 @query("redacted_secrets", r"""WITH c AS (SELECT doc_id AS id, text || ' key AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || ' then password: ' || md5(doc_id::VARCHAR) || ' end' AS text FROM documents)
