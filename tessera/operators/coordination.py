@@ -82,9 +82,12 @@ def overlapping_paths(held: DataFrame, wanted: DataFrame, both_ways: bool = Fals
 
 def conflicts(reservations: DataFrame, wanted: DataFrame, both_ways: bool = False) -> DataFrame:
     """``wanted`` (path, agent_id, exclusive) that meets an active reservation, with ``verdict``, ``holder`` and ``until``: the first reservation in the order of ``reservation_id`` that overlaps
-    and is the agent's own (same_agent) or, if either is exclusive, another's (conflict). Shared ones pass each other."""
+    and is the agent's own (same_agent) or, if either is exclusive, another's (conflict). Shared ones pass each other.
+
+    Of a holder's reservations of one path, exclusive or not, only the first can be the answer, so paths meet once for each holder, however often they were reserved."""
     w = wanted.select("path", "agent_id", "exclusive").distinct()
-    r = reservations.where("active").select(F.col("path").alias("held_path"), F.col("agent_id").alias("holder"), F.col("exclusive").alias("held_exclusive"), "reservation_id", "expires_at")
+    r = reservations.where("active").groupBy(F.col("path").alias("held_path"), F.col("agent_id").alias("holder"), F.col("exclusive").alias("held_exclusive")).agg(F.min(F.struct("reservation_id", "expires_at")).alias("x"))
+    r = r.select("held_path", "holder", "held_exclusive", "x.reservation_id", "x.expires_at")
     own = F.col("holder") == F.col("agent_id")
     hit = overlapping_paths(r, w, both_ways).where(own | F.col("exclusive") | F.col("held_exclusive"))
     first = hit.groupBy("path", "agent_id", "exclusive").agg(F.min(F.struct("reservation_id", F.when(own, "same_agent").otherwise("conflict").alias("verdict"), "holder", F.col("expires_at").alias("until"))).alias("x"))

@@ -36,6 +36,20 @@ def test_conflicts(spark):
     assert C.conflicts(held.limit(0), wanted).count() == 0
 
 
+def test_reservations_of_a_path_meet_once(spark, monkeypatch):
+    rows = [(k, "src/a" if k % 2 else None, "xy"[k % 3 % 2], k % 5 == 0, k % 50 - k // 50) for k in range(3000)]
+    held = spark.createDataFrame(rows, "reservation_id long, path string, agent_id string, exclusive boolean, expires_at long").withColumn("active", F.col("reservation_id") > 30)
+    wanted = spark.createDataFrame([("src/a", "x", False), ("", "y", True), ("src/*", "z", False)], "path string, agent_id string, exclusive boolean")
+    met, plain = [], C.overlapping_paths
+    monkeypatch.setattr(C, "overlapping_paths", lambda held, *rest: met.append(held.count()) or plain(held, *rest))
+    got = {r.path: (r.verdict, r.holder, r.until) for r in C.conflicts(held, wanted).collect()}
+    want = {}
+    for path, agent, exclusive in (("src/a", "x", False), ("", "y", True), ("src/*", "z", False)):
+        first = min(r for r in rows if r[0] > 30 and overlaps(path, r[1] or "", False) and (r[2] == agent or exclusive or r[3]))
+        want[path] = ("same_agent" if first[2] == agent else "conflict", first[2], first[4])
+    assert got == want and met == [8]
+
+
 def folded(clusters, threshold):
     """Pairs in order, each later cluster into the first that it overlaps."""
     ids, members, into = sorted(clusters), {c: set(m) for c, m in clusters.items()}, {}
