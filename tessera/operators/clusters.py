@@ -6,6 +6,11 @@ are one class first, so copies never meet in pairs; only ``overlapping``, whose
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,26 +142,83 @@ def first_independent(nodes: DataFrame, edges: DataFrame, most: int = 200) -> Da
     raise RuntimeError("choices did not settle")
 
 
+#: Words that are told from rare ones by their counts, and ids that are broadcast to keep texts from being sent.
+COMMON, BROADCAST_IDS = 65_536, 1_000_000
+
+
+def _candidates(texts: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(x, y, sx, sy): pairs of one source that may have ``share`` of their words in common (Jaccard), the smaller first (ties by node); texts: (id, content), sets: (node, source, size).
+
+    Of a text its rarest words leave as 64-bit hashes, as many as must hold a shared one; the order is by counts for the COMMON most frequent hashes and by the hash for the rest, the same for all.
+    Two texts whose first shared word stands too far back are no pair. Equal hashes of different words add pairs, and never lose one.
+    """
+    hashed = texts.select("id", F.transform(F.array_distinct(T.tokens("content")), lambda w: F.xxhash64(w)).alias("w"))
+    counts = hashed.select(F.explode("w").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow().combine_chunks()
+    common = np.array(top.column(0), np.int64)
+    by_hash = np.argsort(common)
+    held = texts.sparkSession.sparkContext.broadcast((common[by_hash], (len(common) - by_hash).astype(np.int64)))  # COMMON at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = held.value
+        for batch in batches:
+            sizes, h = np.array(pc.list_value_length(batch.column(1)), np.int64), np.array(batch.column(1).flatten(), np.int64)
+            rank = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, place[at], 0)
+            order = np.lexsort((h, rank, np.repeat(np.arange(len(sizes)), sizes)))
+            first = sizes - np.ceil(sizes * share - 1e-9).astype(np.int64) + 1
+            first = np.where(sizes > 0, first, 0)
+            kept = (np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(sizes)][:-1], sizes)) < np.repeat(first, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first)], pa.int32()), pa.array(h[order][kept]))], ["id", "w"])
+
+    rare = hashed.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, w array<bigint>")
+    keyed = settle(rare.join(sets.select(F.col("node").alias("id"), F.xxhash64("source").alias("scope"), "size"), "id"))
+    each = keyed.select("id", "size", "scope", F.posexplode("w").alias("p", "h")).select("id", "size", "p", F.xxhash64("scope", "h").alias("key"))
+    x, y = each.toDF("x", "sx", "px", "key"), each.toDF("y", "sy", "py", "key")
+    pairs = x.join(y, "key").where(((F.col("sx") < F.col("sy")) | ((F.col("sx") == F.col("sy")) & (F.col("x") < F.col("y")))) & (F.col("sx") >= share * F.col("sy") - 1e-9))
+    found = pairs.groupBy("x", "y", "sx", "sy").agg(F.min("px").alias("px"), F.min("py").alias("py"))
+    most = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
+    found = found.where(most >= share / (1 + share) * (F.col("sx") + F.col("sy")) - 1e-9)
+    source = sets.select(F.col("node").alias("x"), F.col("source").alias("of_x")), sets.select(F.col("node").alias("y"), F.col("source").alias("of_y"))
+    return found.join(source[0], "x").join(source[1], "y").where("of_x = of_y").select("x", "y", "sx", "sy")
+
+
 def within_source(drawers: DataFrame, distance: float = 0.15, least_group: int = 5, short: int = 20) -> DataFrame:
     """(id, source_file, status): kept, dropped or short; the greedy rule of a source, for all sources at once.
 
     In sources of ``least_group`` drawers or more, longest first (in bytes, ties by id), a drawer goes if its words' Jaccard distance to one that was kept is below
     ``distance``. Shorter ones than ``short`` bytes are looked at by no one; a drawer without words stays. Ids are unique and not null. A null text is empty; a null source is a source.
     """
-    rows = drawers.select("id", "source_file", F.coalesce("content", F.lit("")).alias("content")).select("id", "source_file", F.octet_length("content").alias("bytes"), F.array_distinct(T.tokens("content")).alias("words"))
-    rows = rows.withColumn("source", F.coalesce(F.concat(F.lit("s"), F.col("source_file").cast("string")), F.lit("")))
-    groups = rows.groupBy("source").agg((F.count(F.lit(1)) >= least_group).alias("looked"))
-    marked = settle(rows.join(groups, "source").withColumn("in", F.col("looked") & (F.col("bytes") >= short) & (F.size("words") > 0)))
-    asked = marked.where(F.col("in"))
-    word_set = F.sha2(F.array_join(F.array_sort("words"), "\n"), 256)
-    ranked = asked.select("id", "source", "words", F.struct((-F.col("bytes")).alias("b"), F.col("id")).alias("rank"), word_set.alias("set"))
-    firsts = settle(ranked.groupBy("source", "set").agg(F.min("rank").alias("rank"), F.min_by("words", "rank").alias("words")).select(F.col("rank.id").alias("node"), "source", "rank", "words"))
-    sets = firsts.select(F.col("node").alias("owner"), F.explode(F.transform("words", lambda w: F.struct(F.col("source").alias("s"), w.alias("w")))).alias("member"))
     share = 1 - distance
-    sizes = firsts.select(F.col("node").alias("owner"), F.size("words").alias("size"))
-    # similarity over ``share`` needs that share of either set in common, so one of the rarest of the smaller
-    met = _pairs(settle(sets), sizes, F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1, 1 - F.col("both") / (F.col("sx") + F.col("sy") - F.col("both")) < F.lit(distance))
-    edges = settle(met.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    texts = drawers.select("id", F.coalesce("content", F.lit("")).alias("content"))
+    words = F.array_distinct(T.tokens("content"))
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source_file").cast("string")), F.lit(""))
+    # words are read from the texts again where they are needed: what is stored is numbers
+    word_set = F.unhex(F.sha2(F.array_join(F.array_sort("words"), "\n"), 256))
+    rows = drawers.select("id", "source_file", F.coalesce("content", F.lit("")).alias("content")).select("id", "source_file", F.octet_length("content").alias("bytes"), words.alias("words"))
+    rows = rows.select("id", "source_file", source.alias("source"), "bytes", F.size("words").alias("size"), word_set.alias("set"))
+    groups = rows.groupBy("source").agg((F.count(F.lit(1)) >= least_group).alias("looked"))
+    marked = settle(rows.join(groups, "source").withColumn("in", F.col("looked") & (F.col("bytes") >= short) & (F.col("size") > 0)))
+    ranked = marked.where(F.col("in")).select("source", "set", "size", F.struct((-F.col("bytes")).alias("b"), F.col("id")).alias("rank"))
+    firsts = settle(ranked.groupBy("source", "set", "size").agg(F.min("rank").alias("rank")).select(F.col("rank.id").alias("node"), "source", "size", "rank"))
+    met = settle(_candidates(texts, firsts, share))
+    # a text is sent once for every pair that it may be in; others stay where they are
+    asked = met.select(F.col("x").alias("id")).union(met.select(F.col("y").alias("id"))).distinct()
+    if asked.count() <= BROADCAST_IDS:  # checked
+        texts = texts.join(F.broadcast(asked), "id", "left_semi")
+    said = texts.select("id", F.array_join(F.array_distinct(T.tokens("content")), " ").alias("said"))  # no word has a blank in it
+    both = met.join(said.toDF("x", "of_x"), "x").join(said.toDF("y", "of_y"), "y").select("x", "y", "sx", "sy", "of_x", "of_y")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(set(one.split(" ")).intersection(other.split(" "))) for one, other in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], ["x", "y", "sx", "sy", "both"])
+
+    kind = met.schema["x"].dataType.simpleString()
+    both = both.mapInArrow(shared, f"x {kind}, y {kind}, sx int, sy int, both long")
+    edges = settle(both.where(1 - F.col("both") / (F.col("sx") + F.col("sy") - F.col("both")) < F.lit(distance)).select(F.col("x").alias("u"), F.col("y").alias("v")))
     chosen = first_independent(firsts.select("node", "rank"), edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     kept = chosen.where("kept").select(F.col("node").alias("id"), F.lit(True).alias("stays"))
     status = F.when(F.col("bytes") < short, "short").when(~F.col("in") | F.col("stays"), "kept").otherwise("dropped")

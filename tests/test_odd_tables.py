@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from tessera.operators import clusters as CL
 from tessera.operators import retrieval as R
 from tessera.plans import registry
 from tests.test_oracles import rows
@@ -66,3 +67,15 @@ def test_most_similar_in_blocks(spark):
     for block in (R.SET_BYTES, 2000):
         assert {r.query_id: (r.id, r.score) for r in R.most_similar(docs, queries, 0.4, block).collect()} == want
     assert R.most_similar(docs.limit(0), queries).count() == 0 and R.most_similar(docs, queries.limit(0)).count() == 0
+
+
+def test_source_duplicates_stores_no_words(spark, tmp_path, monkeypatch):
+    stored, plain = [], CL.settle
+    monkeypatch.setattr(CL, "settle", lambda df: stored.extend(x.dataType.simpleString() for x in df.schema if x.name != "source" and x.name != "source_file") or plain(df))
+    texts = near_copies(4, 600)
+    texts[100], texts[200] = "", None
+    for k in range(300, 330):  # thirty rows on is the same source
+        texts[k] = " ".join(f"v{k * 7 % 11 + i}" for i in range(20))
+        texts[k + 30], texts[k + 60] = texts[k] + " more", "more " + texts[k]
+    assert {r[-1] for r in same(spark, tmp_path, "source_duplicates", documents=documents(texts))} == {"kept", "dropped", "short"}
+    assert stored and not [x for x in stored if "string" in x]
