@@ -130,9 +130,16 @@ def room_similarity(drawers: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Two rooms that are similar enough share one of their rarest words: of a room's ``n`` words in order of rarity only the first
     ``n - ceil(threshold * n) + 1`` look for partners, so a word that most rooms have brings no pairs together unless the
-    threshold is low. Candidates are then counted exactly.
+    threshold is low. Candidates are then counted exactly. Under a threshold of one half nearly all pairs are candidates; then a wing's rooms meet at each of
+    their words at once, and only counts of pairs are sent on.
     """
     words = drawers.select("wing", "room", F.explode(F.array_distinct(F.filter(F.split("content", r"\s+"), lambda w: w != ""))).alias("word")).distinct()
+    if threshold < 0.5:
+        sizes = words.groupBy("wing", "room").agg(F.count(F.lit(1)).alias("size"))
+        met = words.alias("a").join(words.alias("b"), (F.col("a.wing") == F.col("b.wing")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.room") < F.col("b.room")))
+        counted = met.groupBy(F.col("a.wing").alias("wing"), F.col("a.room").alias("room_a"), F.col("b.room").alias("room_b")).agg(F.count(F.lit(1)).alias("both"))
+        counted = counted.join(sizes.toDF("wing", "room_a", "size_a"), ["wing", "room_a"]).join(sizes.toDF("wing", "room_b", "size_b"), ["wing", "room_b"])
+        return counted.select("wing", "room_a", "room_b", (F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
     room = Window.partitionBy("wing", "room")
     common = words.groupBy("wing", "word").agg(F.count(F.lit(1)).alias("rooms")).where("rooms > 1")  # others have no partner
     sized = words.withColumn("size", F.count(F.lit(1)).over(room))

@@ -79,3 +79,11 @@ def test_source_duplicates_stores_no_words(spark, tmp_path, monkeypatch):
         texts[k + 30], texts[k + 60] = texts[k] + " more", "more " + texts[k]
     assert {r[-1] for r in same(spark, tmp_path, "source_duplicates", documents=documents(texts))} == {"kept", "dropped", "short"}
     assert stored and not [x for x in stored if "string" in x]
+
+
+def test_rooms_meet_at_their_words_once(spark, tmp_path):
+    texts = near_copies(5, 400)
+    texts[100], texts[200], texts[300] = "", None, "A a\nA"
+    assert same(spark, tmp_path, "room_synonymy", documents=documents(texts))
+    plan = registry.queries()["room_synonymy"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 3
